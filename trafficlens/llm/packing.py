@@ -112,5 +112,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capaci
     packed = ranked.where(full).withColumn("sequence_id", F.col("base") + F.col("bin")).withColumn("offset", (F.col("rank") - F.col("bin") * F.col("class")) * F.col("length"))
     rest = ranked.where(~full).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "first_free")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    last = rest.groupBy(F.lit(0)).applyInPandas(_first_fit(capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    last = rest.groupBy("first_free").applyInPandas(_first_fit(capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return packed.select(*out).unionByName(last.select(*out))
