@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dup, packing, sharding
+from . import bpe, fingerprint, near_dup, packing, sharding
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op4_minhash_dedup, op7_sharding, op8_packing)}
+    return {f.__name__: f for f in (op3_bpe, op4_minhash_dedup, op6_fingerprints, op7_sharding, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
