@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, near_dup, packing, sharding, url_filter
+from . import bpe, fingerprint, near_dup, packing, sharding, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -40,7 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op4_minhash_dedup, op6_fingerprints, op7_sharding, op8_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_minhash_dedup, op6_fingerprints, op7_sharding, op8_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
