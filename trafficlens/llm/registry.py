@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, near_dup, packing, sharding, toxicity, url_filter
+from . import bpe, cotrain, fingerprint, near_dup, packing, sharding, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: The rules that op10 judges by.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -44,7 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_minhash_dedup, op6_fingerprints, op7_sharding, op8_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_minhash_dedup, op6_fingerprints, op7_sharding, op8_packing, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
