@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cotrain, fingerprint, near_dup, packing, sharding, toxicity, url_filter
+from . import bpe, cotrain, fingerprint, maxent_lm, near_dup, packing, sharding, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_minhash_dedup, op6_fingerprints, op7_sharding, op8_packing, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_minhash_dedup, op5_lm_scoring, op6_fingerprints, op7_sharding, op8_packing, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
