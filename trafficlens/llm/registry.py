@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cotrain, fingerprint, maxent_lm, near_dup, packing, sharding, toxicity, url_filter
+from . import ann_graph, bpe, cotrain, fingerprint, maxent_lm, near_dup, packing, sharding, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -52,7 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_minhash_dedup, op5_lm_scoring, op6_fingerprints, op7_sharding, op8_packing, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ann, op3_bpe, op4_minhash_dedup, op5_lm_scoring, op6_fingerprints, op7_sharding, op8_packing, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
