@@ -57,6 +57,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     e = spool(e.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), "edges")
+    old = None
     for _ in range(max_rounds):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         # large-star: every larger neighbour of u is linked to u's smallest neighbour (u included)
@@ -66,11 +67,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.col("lo").alias("x"), "m").unionByName(low.select(F.col("hi").alias("x"), "m"))
         nxt = spool(small.where("x <> m").select(F.col("x").alias("hi"), F.col("m").alias("lo")).distinct(), "edges")
-        old = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         new = nxt.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         e = nxt
-        if old == new:
+        if old == new or not new[0]:
             break
+        old = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = e.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "node")

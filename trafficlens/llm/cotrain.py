@@ -33,7 +33,7 @@ CONFIDENT = 0.9
 PAIR_BINS = 256
 LANG_BINS, SOURCE_BINS = 8, 32
 BLOCK_BYTES = 1 << 19
-N_STATS, N_LAYOUT = 7, 6
+N_STATS, N_LAYOUT = 10, 6
 TEXT_DIM = PAIR_BINS + N_STATS
 META_DIM = LANG_BINS + SOURCE_BINS + N_LAYOUT
 
@@ -62,9 +62,18 @@ def text_features(block: Block) -> np.ndarray:
         pair[:-1] = (raw[:-1].astype(np.int64) * 31 + raw[1:].astype(np.int64) * 17) % PAIR_BINS
     bins = np.bincount(doc * PAIR_BINS + pair, minlength=n * PAIR_BINS).reshape(n, PAIR_BINS)
     words = np.maximum(block.n_words, 1)
-    distinct = np.array([len(np.unique(h)) for h in np.split(block.word_hash(), block.word_offsets[1:-1])]) if n else np.empty(0)
+    hashes = block.word_hash()
+    distinct, repeats, most = np.zeros(n), np.zeros(n), np.zeros(n)
+    for i in range(n):
+        h = hashes[block.word_offsets[i] : block.word_offsets[i + 1]]
+        if len(h):
+            count = np.unique(h, return_counts=True)[1]
+            distinct[i], most[i], repeats[i] = len(count), count.max(), (h[1:] == h[:-1]).sum()
     stats = np.stack(
-        [_shares(_UPPER[raw], block, size), _shares(_LETTER[raw], block, size), _shares(_DIGIT[raw], block, size), _shares(_MARK[raw], block, size), distinct / words, np.minimum(size / words, 40) / 10, np.log1p(words) / 10],
+        [
+            *(_shares(flag[raw], block, size) for flag in (_UPPER, _LETTER, _DIGIT, _MARK)),
+            distinct / words, distinct / words * np.log1p(words) / 5, repeats / words, most / words, np.minimum(size / words, 40) / 10, np.log1p(words) / 10,
+        ],
         axis=1,
     )
     return np.concatenate([np.sqrt(bins / size[:, None]), stats], axis=1).astype(np.float16)
@@ -204,6 +213,13 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, rounds:
     return text, meta, Linear.fit(np.clip(both, -12, 12), y[own], ridge=0.1)
 
 
+def combined(model: tuple, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chances of good quality by the text view, by the metadata view and by both."""
+    text, meta, join = model
+    zt, zm = text.logits(t), meta.logits(m)
+    return sigmoid(zt), sigmoid(zm), sigmoid(join.logits(np.clip(np.stack([zt, zm], 1), -12, 12)))
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, text_score, meta_score, score, predicted) for every row: score is the chance of good quality.
 
@@ -218,12 +234,30 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, meta, join = shared.value
         for b in batches:
-            zt = text.logits(_unpack(b.column(1).to_pylist(), TEXT_DIM))
-            zm = meta.logits(_unpack(b.column(2).to_pylist(), META_DIM))
-            s = sigmoid(join.logits(np.clip(np.stack([zt, zm], 1), -12, 12)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigmoid(zt)), pa.array(sigmoid(zm)), pa.array(s)], ["doc_id", "text_score", "meta_score", "score"])
+            views = combined(shared.value, _unpack(b.column(1).to_pylist(), TEXT_DIM), _unpack(b.column(2).to_pylist(), META_DIM))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, views)], ["doc_id", "text_score", "meta_score", "score"])
 
     scored = feats.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
     return scored.select("doc_id", hold_out().alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that are likelier good than not. Without labels of both classes all stay."""
+    model = fit(spool(features(docs), "quality-features"), labels)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    text, lang, source, n_chars = (names.index(c) for c in ("text", "lang", "source", "n_chars"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in blocks(b.column(text), BLOCK_BYTES):
+                own = b.slice(block.first, block.n)
+                m = meta_features(block, *(own.column(k).to_pylist() for k in (lang, source, n_chars)))
+                # as stored for training: half precision
+                p = combined(shared.value, text_features(block).astype(np.float64), m.astype(np.float64))[2]
+                yield own.filter(pa.array(p >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

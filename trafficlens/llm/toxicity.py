@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textblocks import Block, blocks
@@ -194,8 +194,9 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((s[k] + s[k + 1]) / 2, 0.2, 0.8))
 
 
-def hold_out(doc_id="doc_id", folds: int = 5, fold: int = 0):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == fold
+def hold_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
+    """Whether a row is in the fold that training leaves out; a row without id is in none."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_words: int) -> list:
@@ -273,25 +274,40 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS, max_wor
     return model
 
 
+def _judged(part: pa.RecordBatch, block: Block, model: ConvModel, lang: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of a block's rows and the thresholds of their languages (0.5 where none was calibrated)."""
+    limits = [model.thresholds.get(x or "", 0.5) for x in part.column(lang).to_pylist()] if lang >= 0 else [0.5] * block.n
+    return model.scores(word_rows(block), block.word_offsets), np.array(limits)
+
+
 def score(docs: DataFrame, model: ConvModel) -> DataFrame:
-    """Adds toxicity (0 to 1), toxic_threshold (of the row's language, else 0.5) and toxic to every row; other columns stay."""
+    """(doc_id, toxicity 0 to 1, toxic_threshold, toxic) for every row of docs (doc_id, text, lang)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in blocks(b.column(1), BLOCK_BYTES):
+                part = b.slice(block.first, block.n)
+                p, limit = _judged(part, block, shared.value, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(limit), pa.array(p >= limit)], ["doc_id", "toxicity", "toxic_threshold", "toxic"])
+
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, toxicity double, toxic_threshold double, toxic boolean")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose score is below their language's threshold. Trains on docs and labels; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     names = docs.columns
-    text, lang = names.index("text"), names.index("lang") if "lang" in names else -1
+    text, lang = names.index("text"), names.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
             for block in blocks(b.column(text), BLOCK_BYTES):
                 part = b.slice(block.first, block.n)
-                p = m.scores(word_rows(block), block.word_offsets)
-                limit = np.array([m.thresholds.get(x or "", 0.5) for x in part.column(lang).to_pylist()] if lang >= 0 else [0.5] * block.n)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array(limit), pa.array(p >= limit)], [*names, "toxicity", "toxic_threshold", "toxic"])
-
-    from pyspark.sql import types as T
+                p, limit = _judged(part, block, shared.value, lang)
+                yield part.filter(pa.array(p < limit))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_threshold", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -299,5 +315,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Repeated rows give repeated results; an empty table gives no rows. Extra columns are ignored.
     """
-    scored = score(docs.select("doc_id", "text", "lang"), fit(docs, labels))
+    scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", hold_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.col("toxic_threshold").alias("lang_threshold"), F.col("toxic").alias("rejected"))
