@@ -28,8 +28,10 @@ from .toxicity import hold_out, platt
 SAMPLE_DOCS = 8_000
 PER_ROUND = 150
 ROUNDS = 3
-#: A view's confident label must be at least this sure.
-CONFIDENT = 0.9
+#: A view labels for the other only above the score at which its labels hold for this share of the calibration rows, of which at
+#: least SUPPORT must lie there. A weak view, which nothing makes so sure, teaches nothing.
+PRECISION = 0.995
+SUPPORT = 40
 PAIR_BINS = 256
 LANG_BINS, SOURCE_BINS = 8, 32
 BLOCK_BYTES = 1 << 19
@@ -155,9 +157,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _confident(pool: DataFrame, text: Linear, meta: Linear, per_round: int) -> list:
+def _sure_from(sure: np.ndarray, right: np.ndarray) -> float:
+    """The lowest certainty from which on all higher cuts of the calibration rows reach PRECISION; above 1 if there is none."""
+    order = np.argsort(-sure, kind="stable")
+    share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    good = np.flatnonzero(share >= PRECISION)
+    return float(sure[order[good[-1]]]) if len(good) and good[-1] + 1 >= SUPPORT else 2.0
+
+
+def _confident(pool: DataFrame, views: tuple[Linear, Linear], limits: dict, per_round: int) -> list:
     """The unlabelled documents that each view is most sure of: per_round for each view and class, at most, over all of pool."""
-    shared = pool.sparkSession.sparkContext.broadcast((text, meta))
+    shared = pool.sparkSession.sparkContext.broadcast(views)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views = shared.value
@@ -166,7 +176,7 @@ def _confident(pool: DataFrame, text: Linear, meta: Linear, per_round: int) -> l
                 p = sigmoid(views[k].logits(_unpack(b.column(1 + k).to_pylist(), dim)))
                 for y, sure in ((1, p), (0, 1 - p)):
                     top = np.argsort(-sure, kind="stable")[:per_round]
-                    top = top[sure[top] >= CONFIDENT]
+                    top = top[sure[top] >= limits[k, y]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), k), pa.int32()), pa.array(np.full(len(top), y), pa.int32()), pa.array(sure[top]), *(b.column(c).take(pa.array(top)) for c in range(3))], ["view", "y", "sure", "doc_id", "t", "m"])
 
     found = pool.select("doc_id", "t", "m").mapInArrow(run, "view int, y int, sure double, doc_id long, t binary, m binary")
@@ -202,7 +212,10 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, rounds:
         meta.calibrate(m[own], y[own])
         if k == rounds:
             break
-        new = [r for r in _confident(pool, text, meta, per_round * (k + 1)) if (r["view"], r["doc_id"]) not in seen]
+        limits = {}
+        for v, p in enumerate((sigmoid(text.logits(t[own])), sigmoid(meta.logits(m[own])))):
+            limits[v, 1], limits[v, 0] = _sure_from(p, y[own] == 1), _sure_from(1 - p, y[own] == 0)
+        new = [r for r in _confident(pool, (text, meta), limits, per_round * (k + 1)) if (r["view"], r["doc_id"]) not in seen]
         for view, other, dim in ((0, "m", META_DIM), (1, "t", TEXT_DIM)):  # what one view is sure of teaches the other
             mine = [r for r in new if r["view"] == view]
             seen |= {(view, r["doc_id"]) for r in mine}
