@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import common
+from . import keys as _keys  # noqa: F401  registers on import
 from . import requests as _requests  # noqa: F401  registers on import
 
 
