@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import change as _change  # noqa: F401  registers on import
 from . import common
 from . import keys as _keys  # noqa: F401  registers on import
+from . import live as _live  # noqa: F401  registers on import
 from . import log as _log  # noqa: F401  registers on import
 from . import requests as _requests  # noqa: F401  registers on import
 
