@@ -98,7 +98,10 @@ class ConvModel:
         return np.maximum(best + self.bias, 0) @ self.out + self.out_bias
 
     def scores(self, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * self.logits(rows, offsets).astype(np.float64) + self.shift)))
+        return self.calibrated(self.logits(rows, offsets).astype(np.float64))
+
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -35, 35)))
 
 
 class _Adam:
@@ -266,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS, max_wor
     z = model.logits(*_take(rows, held)).astype(np.float64)
     # the sample holds more toxic rows than the corpus; the shift back is left to the threshold at 0.5 of balanced odds
     model.scale, model.shift = platt(z, y[held])
-    p = 1 / (1 + np.exp(-(model.scale * z + model.shift)))
+    p = model.calibrated(z)
     for name in np.unique(lang[held]):
         own = lang[held] == name
         if own.sum() >= 40:
