@@ -36,8 +36,8 @@ _PARTS = {
 }
 
 
-def _scores(more: str, source: str) -> str:
-    rows = " UNION ALL ".join(f"SELECT interval_no, '{k}' AS key, {i} AS place, {e} AS score FROM {source} WHERE n_lines0 IS NOT NULL" for i, (k, e) in enumerate(_PARTS.items()))
+def _scores(more: str, source: str, parts: dict | None = None) -> str:
+    rows = " UNION ALL ".join(f"SELECT interval_no, '{k}' AS key, {i} AS place, {e} AS score FROM {source} WHERE n_lines0 IS NOT NULL" for i, (k, e) in enumerate((parts or _PARTS).items()))
     return f""", pc AS ({rows}{more}), rk AS (SELECT *, row_number() OVER (PARTITION BY interval_no ORDER BY score DESC, place) AS rn FROM pc),
 w AS (SELECT interval_no, max(CASE WHEN rn = 1 THEN score END) AS p, max(CASE WHEN rn = 2 THEN score END) AS s, max(CASE WHEN rn = 3 THEN score END) AS q, max(CASE WHEN rn = 1 THEN key END) AS prim FROM rk GROUP BY 1),
 cs AS (SELECT sh.interval_no, CASE WHEN p IS NOT NULL THEN round(least(100.0, p + (100 - p) * (0.15 * s / 100 + 0.05 * q / 100)) * least(100.0, p + (100 - p) * (0.15 * s / 100 + 0.05 * q / 100)) / 100, 6) END AS score, prim AS "primary" FROM sh LEFT JOIN w ON w.interval_no = sh.interval_no)"""

@@ -7,13 +7,15 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import change as C
 from ..operators import rules as R
 from ..sources.access_log import render_line
 from ..sources.tables_view import requests_view
 from ..streaming import live as S
+from .change import _DENSE, _PARTS, _scores, alert_rules
 from .common import over_requests, query
-from .keys import KEYS
-from .requests import CLAIMED, rules
+from .keys import KEYS, key_intervals
+from .requests import CLAIMED, TOTALS, lanes, rules, totals
 
 
 def request_stream(spark, d) -> DataFrame:
@@ -51,3 +53,38 @@ def _(spark, d):
 @query("r11_sliding_flux", over_requests(", x AS (SELECT interval_start - to_hours(k) AS span_start FROM r, (SELECT unnest([0, 1, 2, 3]) AS k)) SELECT span_start, span_start + INTERVAL 4 HOUR AS span_end, count(*) AS flux FROM x GROUP BY 1"))
 def _(spark, d):
     return _result(spark, S.sliding_flux(request_stream(spark, d), "4 hours", "1 hour", "1 hour"))
+
+
+@query("r3_stream_key_retention", over_requests(KEYS + " SELECT stream, key, interval_no, island_start, hits FROM il WHERE stream <> 'ips'"))
+def _(spark, d):
+    keys = key_intervals(spark, d).where("stream <> 'ips'").select("stream", "key", "interval_no", "hits")
+    return _result(spark, S.stream_key_retention(S.replay(spark, keys, "interval_no"), 1), "append")
+
+
+@query("r6_stream_alerts", over_requests(CLAIMED + _DENSE + " SELECT lane, direction, threshold, interval_no, value, CASE WHEN active THEN 'triggered' ELSE 'recovered' END AS event FROM tr WHERE active <> was"))
+def _(spark, d):
+    dense = C.dense_lanes(lanes(spark, d), totals(spark, d))
+    return _result(spark, S.stream_alerts(S.replay(spark, dense, "interval_no"), alert_rules(spark), 3), "append")
+
+
+_COUNTS = TOTALS + ", sh AS (SELECT * FROM t), pr AS (SELECT *, " + ", ".join(f"lag({c}) OVER (ORDER BY interval_no) AS {c}0" for c in ("n_lines", "bytes", "errors")) + " FROM t)"
+
+
+@query("r7_stream_change", over_requests(_COUNTS + _scores("", "pr", {k: v for k, v in _PARTS.items() if k in ("lines", "bytes", "errs")}) + " SELECT * FROM cs"))
+def _(spark, d):
+    return S.stream_change(spark, S.replay(spark, totals(spark, d), "interval_no"), S.shared_folder(spark, "change"))
+
+
+@query("r8_stream_rules", over_requests(CLAIMED + " SELECT line_id, claim FROM c"))
+def _(spark, d):
+    folder = S.shared_folder(spark, "rules")
+    rules(spark).write.parquet(f"{folder}/table")
+    return S.stream_rules(request_stream(spark, d), f"{folder}/table", folder)
+
+
+@query("r9_stream_log_sink", over_requests(TOTALS + " SELECT interval_no, n_lines, bytes, errors FROM t"))
+def _(spark, d):
+    folder = S.shared_folder(spark, "sink")
+    t = totals(spark, d)
+    S.write_intervals(S.replay(spark, t, "interval_no"), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(t.schema).json(f"{folder}/log").select(*t.columns)

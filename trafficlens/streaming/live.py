@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -111,3 +113,63 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str) -
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, in spark.checkpoint.dir; a local one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def replay(spark: SparkSession, df: DataFrame, order: str, parts: int = 3) -> DataFrame:
+    """A table as a stream in so many batches, cut by ascending order: each batch is one file."""
+    path = shared_folder(spark, "replay")
+    cuts = df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        part = df
+        if lo is not None:
+            part = part.where(F.col(order) >= lo)
+        if hi is not None:
+            part = part.where(F.col(order) < hi)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_change(spark: SparkSession, totals: DataFrame, folder: str) -> DataFrame:
+    """Change scores of closed intervals. totals: a stream of (interval_no, n_lines, bytes, errors), in order across batches.
+
+    Each batch is appended to the table of closed intervals; its rows are scored against it, the row before the batch included.
+    """
+    from ..operators.change import change_scores
+
+    fields = ["n_lines", "bytes", "errors"]
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        if batch.isEmpty():
+            return
+        batch.write.mode("overwrite").parquet(f"{folder}/closed/batch={number}")
+        first = batch.agg(F.min("interval_no")).first()[0]
+        closed = spark.read.parquet(f"{folder}/closed")
+        start = closed.where(F.col("interval_no") < first).agg(F.max("interval_no")).first()[0]
+        shape = closed.where(F.col("interval_no") >= (start if start is not None else first)).select("interval_no", *fields, *(F.lit(None).cast("double").alias(c) for c in ("mean_bytes", "marked_pct", "b16_pct")))
+        change_scores(shape).where(F.col("interval_no") >= first).select("interval_no", "score", "primary").write.mode("overwrite").parquet(f"{folder}/scores/batch={number}")
+        batch.unpersist()
+
+    totals.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/scores").drop("batch")
+
+
+def stream_rules(requests: DataFrame, rules_path: str, folder: str) -> DataFrame:
+    """Claims of a stream under a rule table that is read anew for each batch, so that rules may change while it runs."""
+    from ..operators.rules import claim_lines, match_rules
+
+    spark = requests.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        rules = spark.read.parquet(rules_path)
+        claim_lines(match_rules(batch, rules)).select("line_id", "claim").write.mode("overwrite").parquet(f"{folder}/claims/batch={number}")
+
+    requests.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/claims").drop("batch")
