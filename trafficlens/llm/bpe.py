@@ -24,8 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Chunks of text between white space whose ids a worker keeps; it starts anew when full.
-CACHE_CHUNKS = 600_000
+#: Chunks of text between white space whose ids a worker keeps, in each of two generations: when the younger is full it becomes the
+#: older one, and what is met again moves back into the younger.
+CACHE_CHUNKS = 450_000
 CACHED_CHUNK_CHARS = 64
 #: Ids decoded or printed at once.
 SLICE = 1 << 16
@@ -84,6 +85,7 @@ class Encoder:
         self.symbols = dict(enumerate(byte_symbols()))
         self.fits: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         names = {**{i: t for t, i in vocab.items()}, **{i: t for t, i in self.special.items()}}
         self._decoded = self._offset_table([names.get(i, "") + " " for i in range(self.size)])
@@ -172,13 +174,15 @@ class Encoder:
     def _keep(self, text: str, ids: bytes) -> bytes:
         if len(text) <= CACHED_CHUNK_CHARS:
             if len(self.cache) >= CACHE_CHUNKS:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[text] = ids
         return ids
 
     def _word_ids(self, word: str) -> bytes:
         """A normalised word's ids, packed. As a chunk of its own it has the same ids, so both share the cache."""
         known = self.cache.get(word)
+        if known is None and (known := self.older.get(word)) is not None:
+            self._keep(word, known)
         if known is None:
             symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
             known = self._keep(word, array("I", self.encode_word(symbols)).tobytes())
@@ -216,7 +220,7 @@ class Encoder:
             for i, got in enumerate(out):
                 if got is None:
                     c = chunks[i]
-                    out[i] = self.cache.get(c) or self._keep(c, self.encode_chunk(c))
+                    out[i] = self.cache.get(c) or self._keep(c, self.older.get(c) or self.encode_chunk(c))
         return b"".join(out)
 
     # -- decoding -------------------------------------------------------------------------------------------------
