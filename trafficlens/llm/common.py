@@ -5,6 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +52,41 @@ def _remove_written() -> None:
             return
 
 
+#: Bits of an id filter. 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(may, not): rows of df whose id may be among ids, and rows whose id certainly is not; all columns, no shuffle.
+
+    ids has one column. A bitmap of hashed ids, of fixed size, is built by Spark and broadcast, so that a join on wide rows can be
+    left to the first part. However many ids there are, both parts stay right; the first only grows. Null ids are never among ids.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    at = bit(ids.columns[0]) + 1
+    rows = ids.where(F.col(ids.columns[0]).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    size = len(rows[0]["bits"]) if rows else 4096
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        start = (r["bucket"] - 1) * size
+        bitmap[start : start + size] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    marked = df.select("*", F.when(F.col(id_col).isNotNull(), bit(id_col)).alias("_bit"))
+
+    def side(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                last = b.num_columns - 1
+                bits = b.column(last)
+                pos = bits.fill_null(0).to_numpy(zero_copy_only=False)
+                hit = ((shared.value[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).astype(bool) & bits.is_valid().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(b.columns[:last], b.schema.names[:last]).filter(pa.array(hit == want))
+
+        return run
+
+    return marked.mapInArrow(side(True), df.schema), marked.mapInArrow(side(False), df.schema)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge list (a, b): component is the smallest node reachable.
 

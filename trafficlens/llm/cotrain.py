@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import split_by_ids, spool
 from .textblocks import Block, blocks
 from .toxicity import hold_out, platt
 
@@ -186,8 +186,11 @@ def _confident(pool: DataFrame, views: tuple[Linear, Linear], limits: dict, per_
 
 def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple | None:
     """(text view, metadata view, combining weights). Learns from labelled rows outside the held-out fold; None without both classes."""
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    marked = feats.where(~hold_out()).join(known, "doc_id")
+    may, rest = split_by_ids(feats, labels.select("doc_id").where("doc_id is not null"))
+    listed = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.lit(True).alias("labelled"))
+    feats = may.join(listed, "doc_id", "left").unionByName(rest.select("*", F.lit(None).cast("int").alias("y"), F.lit(None).cast("boolean").alias("labelled")))
+    feats = spool(feats, "quality-labelled")
+    marked = feats.where(~hold_out()).where("y is not null")
     half = sample // 2
     parts = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for y in (0, 1)]
     got = sorted({r["doc_id"]: r for r in parts[0].unionByName(parts[1]).collect()}.values(), key=lambda r: r["doc_id"])
@@ -204,7 +207,7 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, rounds:
         check = np.zeros(len(y), bool)
     own = check if check.any() else np.ones(len(y), bool)
     rows = {"t": [t[~check], y[~check]], "m": [m[~check], y[~check]]}
-    pool = feats.join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    pool = feats.where("labelled is null")
     seen: set = set()
     for k in range(rounds + 1):
         text, meta = Linear.fit(*rows["t"]), Linear.fit(*rows["m"])
