@@ -174,6 +174,13 @@ def test_fingerprints(spark, docs, rows):
     assert fingerprint.fingerprint_documents(empty(spark)).count() == 0
 
 
+def test_fingerprints_of_many_stretches(spark, monkeypatch):
+    docs = frame(spark, [(i * i, f"text {i} of many, as neighbours see it") for i in range(1200)] + [(0, "a second text zero")])
+    want = sorted(fingerprint.fingerprint_documents(docs).collect())
+    monkeypatch.setattr(fingerprint, "STRETCH_ROWS", 1)
+    assert sorted(fingerprint.fingerprint_documents(docs).collect()) == want and len(want) == 1201
+
+
 def test_sketches_merge_and_travel_as_text(spark):
     from pyspark.sql import functions as F
 

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 K = 128
 WORDS = 5
 BITS = 48
-#: Rows of one stretch of neighbouring documents, about, and the most stretches.
+#: Rows of one stretch of neighbouring documents, about.
 STRETCH_ROWS = 1500
-MOST_STRETCHES = 4000
 
 
 def let(value: Column, body) -> Column:
@@ -69,6 +68,18 @@ def from_text(fingerprint: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(parts)
 
 
+def constant_array(values: list, kind: str) -> Column:
+    """An array that the optimizer folds into one constant, made from one string in place of a literal for each value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def place_among(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most value, by halving; a null value counts none. The cuts are one constant of the plan."""
+    array = constant_array(cuts, "bigint")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(array, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, distinct_shingles, kept_in_edited).
 
@@ -81,22 +92,17 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = base.count()
-    stretches = min(MOST_STRETCHES, rows // STRETCH_ROWS + 1)
+    stretches = rows // STRETCH_ROWS + 1
     cuts: list[int] = []
     if stretches > 1:
-        at = [i / stretches for i in range(1, stretches)]
-        cuts = sorted(set(base.agg(F.percentile_approx("doc_id", at, 100 * stretches)).first()[0]))
-    stretch = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    base = base.withColumn("stretch", stretch)
+        at = constant_array([i / stretches for i in range(1, stretches)], "double")
+        cuts = sorted(set(base.agg(F.percentile_approx("doc_id", at, min(100 * stretches, 2**31 - 1))).first()[0] or []))
+    base = base.withColumn("stretch", place_among(F.col("doc_id"), cuts) if cuts else F.lit(0))
     firsts = sorted((r[0], r[1]) for r in base.groupBy("stretch").agg(F.min("doc_id")).collect())
-    if not firsts:
-        firsts = [(0, 0)]
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    guests = base.where(F.col("doc_id").isin(list(before)))
-    where = F.lit(None).cast("int")
-    for first, place in before.items():
-        where = F.when(F.col("doc_id") == first, place).otherwise(where)
-    both = base.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("stretch", where).withColumn("guest", F.lit(True)))
+    before = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
+    guest_of = docs.sparkSession.createDataFrame(before, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, stretch int")
+    guests = base.drop("stretch").join(F.broadcast(guest_of), "doc_id")
+    both = base.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
 
     in_order = Window.partitionBy("stretch").orderBy("guest", "doc_id", "text")
     n = F.length("text")
