@@ -102,3 +102,63 @@ def test_key_state_follows_a_zero_filled_history(spark):
             assert abs(got[i].burst - spread / mean * len(history) / 80) < 1e-5
     line = K.key_history(K.retention_islands(keys, 0), F.lit(100)).first()
     assert line.history == [count.get(j, 0) for j in range(max(got[max(k for k in count if k < 100)].island_start, 20), 100)]
+
+
+def token_distance(a, b):
+    if not a or not b:
+        return 2.0
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1] / len(a)
+
+
+def test_agent_distance_reaches_burst_strength_and_displays(spark):
+    rng = random.Random(3)
+    agents = ["a b c d e", "a b x", "q", "a b c d e f g h", ""]
+    lines = []
+    for i in range(500):
+        ua = rng.choice(agents)
+        lines.append((i, f"10.{rng.randrange(2)}.0.{rng.randrange(3)}", i // 8 + (40 if i > 300 else 0), ua, ua.split(), 1, "200"))
+    df = spark.createDataFrame(lines, "line_id long, ip string, interval_no long, user_agent string, ua_tokens array<string>, bytes long, status string")
+    hits = K.key_hits(K.with_agent_distance(df), {"words": F.col("ua_tokens"), "ips": F.array("ip")})
+    state = K.with_scores(K.with_agent_delta(K.key_state(K.retention_islands(K.key_intervals(hits)))))
+    got = {(r.stream, r.key, r.interval_no): r for r in state.collect()}
+    keep = {"words": 1, "ips": 2}
+    delta, first, seen, count, counts = {}, {}, {}, {}, {}
+    for _, ip, now, ua, tokens, _, _ in lines:
+        known = ip in first and now - seen["ips", ip] <= keep["ips"]
+        d = token_distance(first[ip][1], tokens) if known and first[ip][0] != ua else 0.0
+        if not known:
+            first[ip] = (ua, tokens)
+        for key in [("ips", ip), *(("words", t) for t in tokens)]:
+            if key not in seen or now - seen[key] > keep[key[0]]:
+                counts[key], count[key], delta[key] = (now, {}), 1, 0.0
+            else:
+                count[key] = 1 if seen[key] != now else count[key] + 1
+                delta[key] = (delta[key] * count[key] + d) / (count[key] + 1)
+            seen[key] = now
+            counts[key][1][now] = counts[key][1].get(now, 0) + 1
+            start, history = counts[key][0], [counts[key][1].get(i, 0) for i in range(max(counts[key][0], now - 80), now)]
+            r = got[(*key, now)]
+            if r.hits == count[key]:
+                assert abs(r.agent_delta - delta[key]) < 1e-5 and r.island_start == start
+                mean = sum(history) / len(history) if history else 0
+                spread = (sum((x - mean) ** 2 for x in history) / len(history)) ** 0.5 if history else 0
+                assert abs(r.strength - (mean * (1 + delta[key]) if history else r.hits)) < 1e-4
+                assert abs(r.burst - (spread / mean * (1 + delta[key]) * len(history) / 80 if len(history) > 1 else 0)) < 1e-4
+    assert any(r.agent_delta > 0.1 for r in got.values())
+    none = spark.createDataFrame([], "ip string, interval_no long")
+    ips = {k[1:]: r for k, r in got.items() if k[0] == "ips"}
+    for r in K.rank_ips_display(state, none).collect():
+        x = ips[r.key, r.interval_no]
+        assert r.value == x.score + (int(x.burst * 100) + int(x.agent_delta * 10) if x.prime_flux > 8 else 0)
+    histories = {(r.ip_prefix, r.interval_no): r.history for r in K.ip_group_history(state, 2).collect()}
+    groups = K.ip_groups(state, 2).collect()
+    assert groups and len(histories) == len(groups)
+    for g in groups:
+        own = [x for (ip, i), x in ips.items() if i == g.interval_no and ip.startswith(g.ip_prefix)]
+        assert abs(g.agent_delta - sum(x.agent_delta for x in own) / len(own)) < 1e-5
+        assert histories[g.ip_prefix, g.interval_no] == [sum(ips[x.key, i].hits for x in own if i >= x.island_start and (x.key, i) in ips) for i in range(g.interval_no - g.depth, g.interval_no)]

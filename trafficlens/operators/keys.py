@@ -18,8 +18,9 @@ def stream_tokens() -> dict[str, Column]:
 
 
 def key_hits(requests: DataFrame, streams: dict[str, Column] | None = None) -> DataFrame:
-    """(stream, key, interval_no, line_id, bytes, status): one row for each token; repeats count."""
-    parts = [requests.select(F.lit(n).alias("stream"), F.explode(c).alias("key"), "interval_no", "line_id", "bytes", "status") for n, c in (streams or stream_tokens()).items()]
+    """(stream, key, interval_no, line_id, bytes, status): one row for each token; repeats count. A line's distance is kept if there."""
+    more = [c for c in ("distance",) if c in requests.columns]
+    parts = [requests.select(F.lit(n).alias("stream"), F.explode(c).alias("key"), "interval_no", "line_id", "bytes", "status", *more) for n, c in (streams or stream_tokens()).items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -27,8 +28,10 @@ def key_hits(requests: DataFrame, streams: dict[str, Column] | None = None) -> D
 
 
 def key_intervals(hits: DataFrame) -> DataFrame:
+    """Counts of each key and interval; of hits with a distance also moved, its sum, and first_moved, that of the first hit."""
+    more = [F.sum("distance").alias("moved"), F.min_by("distance", "line_id").alias("first_moved")] if "distance" in hits.columns else []
     return hits.groupBy("stream", "key", "interval_no").agg(
-        F.count("*").alias("hits"), F.sum("bytes").alias("bytes"), F.max_by("status", "line_id").alias("last_status"), F.min("line_id").alias("first_line_id"), F.max("line_id").alias("last_line_id")
+        F.count("*").alias("hits"), F.sum("bytes").alias("bytes"), F.max_by("status", "line_id").alias("last_status"), F.min("line_id").alias("first_line_id"), F.max("line_id").alias("last_line_id"), *more
     )
 
 
@@ -88,9 +91,27 @@ def normalized_strength(total: Column, depth: Column, hits: Column, agent_delta:
     return F.when(depth == 0, hits.cast("double")).otherwise(total / depth * scale * (1 + agent_delta if agent_delta is not None else F.lit(1)))
 
 
+def with_agent_delta(islands: DataFrame) -> DataFrame:
+    """Adds agent_delta: the running mean of the lines' distances, whose weight restarts in each interval: (m + moved) / (hits + 1).
+
+    An island starts at 0, and the hit that begins it does not count.
+    """
+    place = ["stream", "key", "island_start"]
+    rest = [c for c in islands.columns if c not in (*place, "interval_no")]
+    per = islands.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("interval_no", *rest))).alias("steps"))
+    moved = lambda s, start: F.coalesce(s["moved"], F.lit(0.0)) - F.when(s["interval_no"] == start, F.coalesce(s["first_moved"], F.lit(0.0))).otherwise(0.0)
+    before = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0))
+    step = lambda acc, s: F.concat(acc, F.array((before(acc) + moved(s, F.col("island_start"))) / (s["hits"] + 1)))
+    per = per.withColumn("deltas", F.aggregate("steps", F.array().cast("array<double>"), step))
+    rows = per.select(*place, F.explode(F.arrays_zip("steps", "deltas")).alias("x"))
+    return rows.select(*(c if c in place else F.col(f"x.steps.{c}").alias(c) for c in islands.columns), F.col("x.deltas").alias("agent_delta"))
+
+
 def with_scores(state: DataFrame) -> DataFrame:
+    """Adds burst, strength and score; burst and strength grow with agent_delta where state has it."""
     t, q, d, n = (F.col(c) for c in ("history_total", "history_squares", "depth", "hits"))
-    return state.withColumn("burst", F.round(burstiness(t, q, d), 6)).withColumn("strength", F.round(normalized_strength(t, d, n), 6)).withColumn("score", n + F.col("prime_flux"))
+    delta = F.col("agent_delta") if "agent_delta" in state.columns else None
+    return state.withColumn("burst", F.round(burstiness(t, q, d, delta), 6)).withColumn("strength", F.round(normalized_strength(t, d, n, delta), 6)).withColumn("score", n + F.col("prime_flux"))
 
 
 def norm_denominator(totals: DataFrame, flux: int = 3) -> DataFrame:
@@ -125,20 +146,35 @@ def rank_keys(scored: DataFrame, k: int = 25) -> DataFrame:
 
 
 def rank_ips_display(scored: DataFrame, marked: DataFrame, k: int = 25) -> DataFrame:
-    """Addresses by score, with bursts added above a flux of 8; marked ones first on ties."""
+    """Addresses by score, with bursts (and agent_delta, if there) added above a flux of 8; marked ones first on ties."""
     own = scored.where("stream = 'ips'").join(marked.select(F.col("ip").alias("key"), "interval_no", F.lit(True).alias("marked")).distinct(), ["key", "interval_no"], "left")
-    value = F.col("score") + F.when(F.col("prime_flux") > 8, (F.col("burst") * 100).cast("int")).otherwise(0)
+    delta = (F.col("agent_delta") * 10).cast("int") if "agent_delta" in scored.columns else F.lit(0)
+    value = F.col("score") + F.when(F.col("prime_flux") > 8, (F.col("burst") * 100).cast("int") + delta).otherwise(0)
     out = own.select("key", "interval_no", value.cast("long").alias("value"), F.coalesce("marked", F.lit(False)).alias("marked"))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("interval_no").orderBy(F.desc("value"), F.desc("marked"), "key"))).where(F.col("place") <= k)
 
 
 def ip_groups(scored: DataFrame, min_members: int = 15) -> DataFrame:
-    """Address prefixes with enough active members in an interval: sums over the members, mean burst, deepest history."""
+    """Address prefixes with enough active members in an interval: sums over the members, mean burst, deepest history, mean agent_delta if there."""
+    more = [F.round(F.avg("agent_delta"), 6).alias("agent_delta")] if "agent_delta" in scored.columns else []
     own = scored.where("stream = 'ips'").withColumn("ip_prefix", T.ip_prefix(F.col("key")))
-    g = own.groupBy("ip_prefix", "interval_no").agg(F.count("*").alias("members"), F.sum("hits").alias("hits"), F.sum("prime_flux").alias("prime_flux"), F.sum("bytes").alias("bytes"), F.round(F.avg("burst"), 6).alias("burst"), F.max("depth").alias("depth"))
+    g = own.groupBy("ip_prefix", "interval_no").agg(F.count("*").alias("members"), F.sum("hits").alias("hits"), F.sum("prime_flux").alias("prime_flux"), F.sum("bytes").alias("bytes"), F.round(F.avg("burst"), 6).alias("burst"), F.max("depth").alias("depth"), *more)
     return g.where(F.col("members") >= min_members).withColumn("score", F.col("hits") + F.col("prime_flux"))
 
 
+def ip_group_history(scored: DataFrame, min_members: int = 15, depth: int = DEPTH) -> DataFrame:
+    """(ip_prefix, interval_no, history): zero-filled summed counts of a group's members over their retained intervals, oldest first."""
+    past = Window.partitionBy("key", "island_start").orderBy("interval_no").rangeBetween(-depth, -1)
+    own = scored.where("stream = 'ips'").withColumn("ip_prefix", T.ip_prefix(F.col("key"))).withColumn("past", F.collect_list(F.struct("interval_no", "hits")).over(past))
+    groups = own.groupBy("ip_prefix", "interval_no").agg(F.count("*").alias("members"), F.max("depth").alias("depth")).where(F.col("members") >= min_members)
+    per = own.select("ip_prefix", "interval_no", F.explode("past").alias("p")).groupBy("ip_prefix", "interval_no", F.col("p.interval_no").alias("at")).agg(F.sum("p.hits").alias("hits"))
+    sums = per.groupBy("ip_prefix", "interval_no").agg(F.map_from_entries(F.collect_list(F.struct("at", "hits"))).alias("m"))
+    i = F.col("interval_no")
+    filled = F.transform(F.sequence(i - F.col("depth"), i - 1), lambda at: F.coalesce(F.col("m")[at], F.lit(0).cast("long")))
+    history = F.when(F.col("depth") == 0, F.array().cast("array<bigint>")).otherwise(filled)
+    return groups.join(sums, ["ip_prefix", "interval_no"], "left").select("ip_prefix", "interval_no", history.alias("history"))
+
+
 def prefix_census(scored: DataFrame, min_members: int = 15) -> DataFrame:
     """Of each interval: prefixes, active prefixes, addresses for each prefix."""
     own = scored.where("stream = 'ips'").groupBy(T.ip_prefix(F.col("key")).alias("ip_prefix"), "interval_no").agg(F.count("*").alias("members"))
@@ -188,15 +224,17 @@ def agent_distance(requests: DataFrame, push: int = 5, interval_seconds: int = 6
     return j.select("line_id", F.col("key").alias("ip"), "interval_no", F.round(distance, 6).alias("distance"))
 
 
-def agent_delta(requests: DataFrame, distances: DataFrame) -> DataFrame:
-    """(ip, interval_no, agent_delta): running mean of the distances, whose weight restarts in each interval: (m + sum) / (n + 1)."""
-    n = requests.groupBy("ip", "interval_no").agg(F.count("*").alias("n")).join(distances.groupBy("ip", "interval_no").agg(F.sum("distance").alias("moved")), ["ip", "interval_no"], "left")
-    per = n.groupBy("ip").agg(F.array_sort(F.collect_list(F.struct("interval_no", "n", F.coalesce("moved", F.lit(0.0)).alias("moved")))).alias("steps"))
-    start = F.array().cast("array<struct<interval_no:bigint,agent_delta:double>>")
-    before = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["agent_delta"], F.lit(0.0))
-    step = lambda acc, s: F.struct(s["interval_no"].alias("interval_no"), ((before(acc) + s["moved"]) / (s["n"] + 1)).alias("agent_delta"))
-    fold = F.aggregate("steps", start, lambda acc, s: F.concat(acc, F.array(step(acc, s))))
-    return per.select("ip", F.inline(fold)).select("ip", "interval_no", F.round("agent_delta", 6).alias("agent_delta"))
+def with_agent_distance(requests: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:
+    """Adds distance: that of agent_distance, 0 for the lines it does not list."""
+    d = agent_distance(requests, push, interval_seconds).select("line_id", "distance")
+    return requests.join(d, "line_id", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+
+
+def agent_delta(requests: DataFrame, distances: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:
+    """(ip, interval_no, agent_delta) of the addresses, as in with_agent_delta; the first line of an island has no distance."""
+    n = requests.groupBy("ip", "interval_no").agg(F.count("*").alias("hits")).join(distances.groupBy("ip", "interval_no").agg(F.sum("distance").alias("moved")), ["ip", "interval_no"], "left")
+    per = n.select(F.lit("ips").alias("stream"), F.col("ip").alias("key"), "interval_no", "hits", "moved", F.lit(0.0).alias("first_moved"))
+    return with_agent_delta(retention_islands(per, push, interval_seconds)).select(F.col("key").alias("ip"), "interval_no", F.round("agent_delta", 6).alias("agent_delta"))
 
 
 def most_active(lanes: DataFrame, k: int = 3) -> DataFrame:

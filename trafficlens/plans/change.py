@@ -11,7 +11,7 @@ from ..operators import keys as K
 from ..operators import rules as R
 from ..sources.tables_view import hourly_requests
 from .common import over_requests, query
-from .keys import KEYS, key_intervals, scored
+from .keys import KEYS, agent_scored, key_intervals, scored
 from .requests import CLAIMED, TOTALS, known, lanes, totals
 
 
@@ -129,7 +129,7 @@ def _(spark, d):
 
 def candidates(spark, d):
     t = totals(spark, d)
-    return K.peak_candidates(scored(spark, d), K.norm_denominator(t), K.line_means(t), 4)
+    return K.peak_candidates(agent_scored(spark, d), K.norm_denominator(t), K.line_means(t), 4)
 
 
 def peaks(spark, d):

@@ -43,6 +43,12 @@ def scored(spark, d):
     return K.with_scores(K.key_state(islands(spark, d)))
 
 
+def agent_scored(spark, d):
+    """scored with the lines' agent distances in burst and strength; the SQL of the queries over scored has no such term."""
+    hits = K.key_hits(K.with_agent_distance(hourly_requests(spark, d)))
+    return K.with_scores(K.with_agent_delta(K.key_state(K.retention_islands(K.key_intervals(hits), 5, 60))))
+
+
 @query("g12_u1_key_intervals", over_requests(KEYS + " SELECT * FROM ki"))
 def _(spark, d):
     return key_intervals(spark, d)
