@@ -162,3 +162,51 @@ def test_agent_distance_reaches_burst_strength_and_displays(spark):
         own = [x for (ip, i), x in ips.items() if i == g.interval_no and ip.startswith(g.ip_prefix)]
         assert abs(g.agent_delta - sum(x.agent_delta for x in own) / len(own)) < 1e-5
         assert histories[g.ip_prefix, g.interval_no] == [sum(ips[x.key, i].hits for x in own if i >= x.island_start and (x.key, i) in ips) for i in range(g.interval_no - g.depth, g.interval_no)]
+
+
+def test_promotion_bounds_are_those_of_all_compete_lanes(spark):
+    rng = random.Random(8)
+    names = ["errors", "net1", "idle"]
+    counts = {n: [rng.randrange(0, 30) if n != "idle" and rng.random() < 0.8 else 0 for _ in range(120)] for n in names}
+    lanes = spark.createDataFrame([(n, i, x) for n in names for i, x in enumerate(counts[n]) if x] + [("bots", i, 500) for i in range(120)], "name string, interval_no long, hits long")
+    totals = spark.createDataFrame([(i, 60) for i in range(120)], "interval_no long, n_lines long")
+    maxima = C.lane_maxima(lanes, names, totals)
+    peaks = [[max(counts[n][max(0, i - 80) : i], default=0) for n in names] for i in range(120)]
+    got = {r.interval_no: r for r in maxima.collect()}
+    assert len(got) == 120
+    for i, r in got.items():
+        recent = [max(p) for p in peaks[max(0, i - 2) : i + 1]]
+        assert r.top == max(counts[n][i] for n in names) and abs(r.bound - sum(peaks[i]) / 3) < 1e-9 and abs(r.line_mean - sum(recent) / len(recent)) < 1e-9
+    bots = [(i, f"bot{rng.randrange(40)}", rng.randrange(1, 30)) for i in range(120) for _ in range(3)]
+    bots = {(i, k): n for i, k, n in bots}
+    want, done = [], set()
+    for i in range(120):
+        own = sorted(((-n, k) for (j, k), n in bots.items() if j == i and k not in done))
+        left = -sum(n for n, _ in own)
+        if got[i].top >= left:
+            continue
+        for place, (n, k) in enumerate(own[: 3 if i == 0 else 1]):
+            if -n < (got[i].bound if place == 0 or got[i].bound else left // 4):
+                break
+            want.append((k, i + 1, -n))
+            done.add(k)
+            left += n
+    frame = spark.createDataFrame([(i, k, n) for (i, k), n in bots.items()], "interval_no long, key string, hits long")
+    assert sorted(map(tuple, C.promote_bots(frame, maxima).collect())) == sorted(want) and len(want) > 5
+    ips = spark.createDataFrame([("ips", f"10.0.0.{i % 7}", i, 6, n, i) for i in range(120) for n in [rng.randrange(1, 40)]], "stream string, key string, interval_no long, depth long, hits long, first_line_id long")
+    marked = spark.createDataFrame([], "ip string, interval_no long, mark string")
+    promoted = {r.interval_no: r.hits for r in K.promote_ip(ips, marked, totals, maxima).collect()}
+    assert promoted == {r.interval_no: r.hits for r in ips.collect() if r.hits >= got[r.interval_no].line_mean and r.hits >= 6} and 0 < len(promoted) < 119
+
+
+def test_w17_promotes_only_where_every_compete_lane_has_fewer_hits(spark):
+    import __spark_entry__
+    from trafficlens.operators import rules as R
+    from trafficlens.plans import requests as Q
+    from trafficlens.sources.tables_view import hourly_requests
+
+    sf = "/root/testdata/sf0.001"
+    best = {r.interval_no: r.n for r in Q.lanes(spark, sf).where("name in ('errors', 'signups', 'net1', 'host', 'clicks')").groupBy("interval_no").agg(F.max("hits").alias("n")).collect()}
+    bots = {r.interval_no: r.n for r in R.bot_keys(hourly_requests(spark, sf)).groupBy("interval_no").agg(F.count("*").alias("n")).collect()}
+    for r in __spark_entry__.queries()["w17_promote_bots"](spark, sf).collect():
+        assert best.get(r.valid_from - 1, 0) < bots[r.valid_from - 1]

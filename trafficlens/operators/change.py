@@ -186,28 +186,40 @@ def peak_counts(peaks: DataFrame, depth: int = 80) -> DataFrame:
     return n.withColumn("mean_members", F.round(F.avg("members").over(Window.partitionBy("stream").orderBy("interval_no").rangeBetween(-(depth - 1), 0)), 6))
 
 
+def lane_maxima(lanes: DataFrame, names: list[str], totals: DataFrame, depth: int = 80, flux: int = 3) -> DataFrame:
+    """(interval_no, top, bound, line_mean) of every interval, over the compete lanes of these names; absent lanes have 0 hits.
+
+    top: the best count. bound: the mean of the lanes' maxima over the completed intervals. line_mean: the mean of the last flux
+    highest such maxima, this interval's included.
+    """
+    past = Window.partitionBy("lane").orderBy("interval_no").rowsBetween(-depth, -1)
+    dense = dense_lanes(lanes.where(F.col("name").isin(names)), totals).withColumn("peak", F.coalesce(F.max("value").over(past), F.lit(0)))
+    per = dense.groupBy("interval_no").agg(F.max("value").alias("top"), (F.sum("peak") / len(names)).alias("bound"), F.max("peak").alias("most"))
+    recent = Window.orderBy("interval_no").rowsBetween(1 - flux, 0)
+    return per.select("interval_no", "top", "bound", F.avg("most").over(recent).alias("line_mean"))
+
+
 def promote_bots(bots: DataFrame, lanes: DataFrame, most: int = 1, first: int = 3) -> DataFrame:
     """(name, valid_from, hits): bot names that become rules of their own.
 
-    bots: (interval_no, key, hits). lanes: (interval_no, top) with the best compete lane's count. In an interval where the bots
-    together exceed every compete lane, the most frequent name that reaches the mean of the lanes' best counts so far is promoted
-    (ties to the smaller name); up to three at the first interval. One ordered fold over interval-sized rows.
+    bots: (interval_no, key, hits). lanes: (interval_no, top, bound) of lane_maxima. In an interval where the bots together exceed
+    every compete lane, the most frequent name that reaches the mean of the lanes' maxima so far is promoted (ties to the smaller
+    name); up to three at the first interval. One ordered fold over interval-sized rows.
     """
-    rows = bots.join(lanes, "interval_no", "left").fillna(0, ["top"])
+    rows = bots.join(lanes.select("interval_no", "top", "bound"), "interval_no", "left").fillna(0, ["top", "bound"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         done: set = set()
-        out, tops = [], []
+        out = []
         for i, (now, g) in enumerate(pdf.sort_values("interval_no").groupby("interval_no")):
             g = g[~g["key"].isin(done)].sort_values(["hits", "key"], ascending=[False, True])
-            top = int(g["top"].max()) if len(g) else 0
-            tops.append(top)
-            total, bound = int(g["hits"].sum()), sum(tops[-3:]) / len(tops[-3:])
-            for k in range(first if i == 0 else most):
-                if k >= len(g) or top >= total:
-                    break
+            total = int(g["hits"].sum())
+            if not len(g) or int(g["top"].max()) >= total:
+                continue
+            bound = float(g["bound"].max())
+            for k in range(min(len(g), first if i == 0 else most)):
                 name, n = g["key"].iloc[k], int(g["hits"].iloc[k])
-                if n < (bound if k == 0 else total // 4):
+                if n < (bound if k == 0 or bound else total // 4):
                     break
                 out.append((name, int(now) + 1, n))
                 done.add(name)

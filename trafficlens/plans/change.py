@@ -12,7 +12,7 @@ from ..operators import rules as R
 from ..sources.tables_view import hourly_requests
 from .common import over_requests, query
 from .keys import KEYS, agent_scored, key_intervals, scored
-from .requests import CLAIMED, TOTALS, known, lanes, totals
+from .requests import CLAIMED, COMPETE, TOTALS, known, lanes, totals
 
 
 def _soft(x, h):
@@ -154,8 +154,7 @@ def _(spark, d):
 @query("w17_promote_bots")
 def _(spark, d):
     bots = R.bot_keys(hourly_requests(spark, d)).groupBy("interval_no", "key").agg(F.count("*").alias("hits"))
-    top = lanes(spark, d).where("name in ('errors', 'signups')").groupBy("interval_no").agg(F.max("hits").alias("top"))
-    return C.promote_bots(bots, top)
+    return C.promote_bots(bots, C.lane_maxima(lanes(spark, d), COMPETE, totals(spark, d)))
 
 
 @query("j4_compare_lanes", over_requests(CLAIMED + ", x AS (SELECT name, hits, row_number() OVER (ORDER BY hits DESC, name) AS place FROM lanes WHERE interval_no = 30), y AS (SELECT name, hits, row_number() OVER (ORDER BY hits DESC, name) AS place FROM lanes WHERE interval_no = 60) SELECT coalesce(x.name, y.name) AS name, x.hits AS hits_a, y.hits AS hits_b, x.place AS place_a, y.place AS place_b, coalesce(y.hits, 0) - coalesce(x.hits, 0) AS delta FROM x FULL OUTER JOIN y ON x.name = y.name"))

@@ -24,6 +24,7 @@ RULES = [
     ("orgs", "observe", "refs", [".org/"]),
     ("Browser", "observe", "regex", [R.BROWSER]),
 ]
+COMPETE = [name for name, lane, _, _ in RULES if lane == "compete"]
 #: The same in SQL: direct hits of each rule, by rank.
 _HIT = {
     "errors": "contains(status, '500')",
