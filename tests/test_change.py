@@ -210,3 +210,35 @@ def test_w17_promotes_only_where_every_compete_lane_has_fewer_hits(spark):
     bots = {r.interval_no: r.n for r in R.bot_keys(hourly_requests(spark, sf)).groupBy("interval_no").agg(F.count("*").alias("n")).collect()}
     for r in __spark_entry__.queries()["w17_promote_bots"](spark, sf).collect():
         assert best.get(r.valid_from - 1, 0) < bots[r.valid_from - 1]
+
+
+def test_w4_lists_every_key_with_the_history_before_its_latest_interval(spark):
+    import __spark_entry__
+    from trafficlens.plans.keys import islands
+
+    sf, want = "/root/testdata/sf0.001", {}
+    rows = sorted((r.stream, r.key, r.interval_no, r.island_start, r.hits) for r in islands(spark, sf).collect())
+    for stream, key, now, start, hits in rows:
+        counts = want.setdefault((stream, key), (now, start, {}))[2] | {now: hits}
+        want[stream, key] = (now, start, counts)
+    got = {(r.stream, r.key): r.history for r in __spark_entry__.queries()["w4_key_history"](spark, sf).collect()}
+    assert got == {k: ",".join(str(c.get(i, 0)) for i in range(max(start, now - 80), now)) for k, (now, start, c) in want.items()}
+
+
+def test_lines_under_rules_meet_no_line_twice(spark):
+    from trafficlens.operators import rules as R
+
+    rng = random.Random(6)
+    changes = {i: (rng.choice(["add", "remove"]), rng.choice("ab")) for i in rng.sample(range(600), 40)}
+    lines = [(rng.choice("abc"), i) for i in range(600)]
+    want, state = [], {}
+    for name, i in lines:
+        if i in changes:
+            state[changes[i][1]] = changes[i][0]
+        want += [(name, i)] if state.get(name) == "add" else []
+    a, b = spark.createDataFrame(lines, "name string, line_id long"), spark.createDataFrame([(i, *c) for i, c in changes.items()], "line_id long, action string, name string")
+    for width in (7, 100_000):
+        out = R.lines_under_rules(a, b, width)
+        assert sorted(map(tuple, out.collect())) == sorted(want)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "line_id >=" not in plan and ">= valid_from" not in plan

@@ -196,13 +196,18 @@ def full_history(state: DataFrame, depth: int = DEPTH) -> DataFrame:
     return state.where(F.col("depth") == F.least(F.col("interval_no"), F.lit(depth))).select("stream", "key", "interval_no", "depth")
 
 
-def key_history(islands: DataFrame, at: Column, depth: int = DEPTH) -> DataFrame:
-    """(stream, key, history): zero-filled counts before interval `at` of the keys retained there, oldest first."""
-    last = islands.where(F.col("interval_no") < at).groupBy("stream", "key").agg(F.max("island_start").alias("island_start"))
-    own = islands.where((F.col("interval_no") < at) & (F.col("interval_no") >= at - depth)).join(last, ["stream", "key", "island_start"])
-    grid = own.groupBy("stream", "key", "island_start").agg(F.map_from_entries(F.collect_list(F.struct("interval_no", "hits"))).alias("m"))
-    first = F.greatest(F.col("island_start"), at - depth)
-    return grid.select("stream", "key", F.transform(F.sequence(first, at - 1), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("history"))
+def key_history(islands: DataFrame, at: Column | None = None, depth: int = DEPTH) -> DataFrame:
+    """(stream, key, history): zero-filled counts before interval `at` of the keys retained there, oldest first.
+
+    Without at: of every key, before its latest interval.
+    """
+    seen = islands if at is None else islands.where(F.col("interval_no") < at)
+    last = seen.groupBy("stream", "key").agg(F.max("island_start").alias("island_start"), F.max("interval_no" if at is None else at).alias("at"))
+    own = seen.join(last, ["stream", "key", "island_start"]).where(F.col("interval_no") >= F.col("at") - depth)
+    grid = own.groupBy("stream", "key", "island_start", "at").agg(F.map_from_entries(F.collect_list(F.struct("interval_no", "hits"))).alias("m"))
+    first, end = F.greatest(F.col("island_start"), F.col("at") - depth), F.col("at")
+    filled = F.transform(F.sequence(first, end - 1), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long")))
+    return grid.select("stream", "key", F.when(first < end, filled).otherwise(F.array().cast("array<bigint>")).alias("history"))
 
 
 def agent_distance(requests: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:

@@ -134,3 +134,22 @@ def rule_validity(changes: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("name").orderBy("line_id")
     return changes.withColumn("valid_to", F.lead("line_id").over(order)).where("action = 'add'").select("name", F.col("line_id").alias("valid_from"), "valid_to")
+
+
+def lines_under_rules(lines: DataFrame, changes: DataFrame, width: int = 100_000) -> DataFrame:
+    """(name, line_id) of the lines (name, line_id) whose rule's last change (line_id, action, name) up to them is an add.
+
+    As of the line, in ranges of width line numbers: each range is ordered on its own and takes over the state before it, so work
+    grows with the rows, however few names there are.
+    """
+    from pyspark.sql import Window
+
+    part = F.floor(F.col("line_id") / width).alias("part")
+    rows = lines.select("name", "line_id", part, F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("on"))
+    rows = rows.unionByName(changes.select("name", "line_id", part, F.lit(0).alias("kind"), (F.col("action") == "add").alias("on")))
+    ends = rows.groupBy("name", "part").agg(F.max_by("on", F.when(F.col("kind") == 0, F.col("line_id"))).alias("end"))
+    earlier = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("name", "part", F.last("end", ignorenulls=True).over(earlier).alias("start"))
+    within = Window.partitionBy("name", "part").orderBy("line_id", "kind")
+    now = rows.withColumn("now", F.last("on", ignorenulls=True).over(within)).where("kind = 1").join(ends, ["name", "part"])
+    return now.where(F.coalesce("now", "start", F.lit(False))).select("name", "line_id")

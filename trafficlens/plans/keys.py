@@ -77,7 +77,7 @@ def _(spark, d):
 
 @query("w4_key_history")
 def _(spark, d):
-    return K.key_history(islands(spark, d), F.lit(300)).select("stream", "key", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
+    return K.key_history(islands(spark, d)).select("stream", "key", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
 
 
 @query("w5_w9_burst_strength", over_requests(KEYS + " SELECT stream, key, interval_no, burst, strength, score FROM ks"))

@@ -195,22 +195,20 @@ def _(spark, d):
 _CHANGES = "ch AS (SELECT line_id, CASE WHEN line_id % 2 = 0 THEN 'add' ELSE 'remove' END AS action, 'rule' || CAST((line_id // 2) % 9 AS VARCHAR) AS name FROM r WHERE line_id % 7 = 0), va AS (SELECT name, line_id AS valid_from, action, lead(line_id) OVER (PARTITION BY name ORDER BY line_id) AS valid_to FROM ch), v AS (SELECT name, valid_from, valid_to FROM va WHERE action = 'add')"
 
 
-def _validity(spark, d):
+def _changes(spark, d):
     r = requests_view(spark, d).where("line_id % 7 = 0")
-    changes = r.select("line_id", F.when(F.col("line_id") % 2 == 0, "add").otherwise("remove").alias("action"), F.concat(F.lit("rule"), (F.floor(F.col("line_id") / 2) % 9).cast("string")).alias("name"))
-    return R.rule_validity(changes)
+    return r.select("line_id", F.when(F.col("line_id") % 2 == 0, "add").otherwise("remove").alias("action"), F.concat(F.lit("rule"), (F.floor(F.col("line_id") / 2) % 9).cast("string")).alias("name"))
 
 
 @query("m13_rule_validity", over_requests(f", {_CHANGES} SELECT name, valid_from, valid_to FROM v"))
 def _(spark, d):
-    return _validity(spark, d)
+    return R.rule_validity(_changes(spark, d))
 
 
 @query("j10_temporal_rules", over_requests(f", {_CHANGES} SELECT v.name, count(*) AS n_lines FROM r JOIN v ON v.name = 'rule' || CAST(r.line_id % 9 AS VARCHAR) AND r.line_id >= v.valid_from AND (v.valid_to IS NULL OR r.line_id < v.valid_to) GROUP BY v.name"))
 def _(spark, d):
     r = requests_view(spark, d).select("line_id", F.concat(F.lit("rule"), (F.col("line_id") % 9).cast("string")).alias("name"))
-    v = _validity(spark, d)
-    return r.join(v, "name").where("line_id >= valid_from and (valid_to is null or line_id < valid_to)").groupBy("name").agg(F.count("*").alias("n_lines"))
+    return R.lines_under_rules(r, _changes(spark, d)).groupBy("name").agg(F.count("*").alias("n_lines"))
 
 
 @query("g1_interval_totals", over_requests(TOTALS + " SELECT * FROM t"))
