@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches, worker_state
+
 #: Chunks of text between white space whose ids a worker keeps, in each of two generations: when the younger is full it becomes the
 #: older one, and what is met again moves back into the younger.
 CACHE_CHUNKS = 450_000
@@ -253,16 +255,9 @@ class Encoder:
         return self._pieces(self._printed, ids)
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def worker_encoder(shared) -> Encoder:
-    """The worker process's encoder for a broadcast vocabulary file."""
-    key = hash(shared.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
+    """The worker process's encoder for a broadcast vocabulary file; it goes when another operator's tasks come."""
+    return worker_state("bpe", hash(shared.value), lambda: Encoder(shared.value))
 
 
 def broadcast_vocabulary(df: DataFrame, path: str):
@@ -273,7 +268,7 @@ def broadcast_vocabulary(df: DataFrame, path: str):
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every document; a null or empty text gives an empty array."""
-    shared = broadcast_vocabulary(docs, path)
+    shared = broadcast_vocabulary(bounded_batches(docs), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(shared)
@@ -311,7 +306,7 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
 
     Null and empty texts give no tokens and the digests of nothing; repeated rows give repeated results.
     """
-    shared = broadcast_vocabulary(docs, path)
+    shared = broadcast_vocabulary(bounded_batches(docs), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(shared)

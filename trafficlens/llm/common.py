@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,41 @@ from pyspark.sql import functions as F
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of whole texts that pass to a Python worker at once; Spark's own 10,000 would hold a hundred times more than one block needs.
+BATCH_ROWS = 1_000
+
+#: What this worker process keeps between tasks: (owner, key, value), of one operator at a time.
+_kept: list[tuple] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after telling the session to pass BATCH_ROWS rows at most to Python at once. Every operator on whole texts begins with it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
+def worker_state(owner: str, key, make: Callable):
+    """In a task: make(), kept in this worker process for later tasks of the same owner and key. Anything else kept is dropped."""
+    if not _kept or _kept[0][:2] != (owner, key):
+        release_worker()
+        _kept[:] = [(owner, key, make())]
+    return _kept[0][2]
+
+
+def release_worker() -> None:
+    """In a task: drops what another operator has kept in this worker process, which outlives stages, and returns its memory."""
+    if _kept:
+        _kept.clear()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            return
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -1,19 +1,22 @@
 """Quality: co-training of a text-content view and a page-metadata view.
 
 The text view sees what is written (hashed byte pairs, letter case, marks, repeated words); the metadata view sees what the page
-says about itself and how it is laid out (language, source, length, lines). Both are logistic models. They start from labelled
-rows; in each round each view labels, among all documents without a label, the ones it is most sure of, and these join the
-training rows of the other view. Each view is then calibrated on labelled rows that no training used, and a logistic model of
-the two calibrated logits scores every document.
-
-Features of all documents are computed in one pass and kept in the shared folder; every round's search for confident documents runs
-over all of them. The training rows are bounded: SAMPLE_DOCS labelled ones and PER_ROUND new ones for each round, class and view.
+says about itself and how it is laid out (language, source, length, line lengths and ends, column bars, ornament, headline
+capitals), never its words. Both are logistic models. They start from labelled rows; in each round each view labels, among all
+documents without a label, the ones it is most sure of, and these join the training rows of the other view only. Where the views
+contradict each other, neither teaches. A document that has been handed over is not looked at again, so that no view's label comes
+back to it. Each view is then calibrated on labelled rows that no training used, and a logistic model of the two calibrated logits
+scores every document.
+
+Features of all documents are computed in one pass and kept in the shared folder; every round searches all of them for confident
+documents, in one pass. The training rows are bounded: SAMPLE_DOCS labelled ones and PER_ROUND new ones for each round, class and
+view.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_by_ids, spool
+from .common import bounded_batches, split_by_ids, spool
 from .textblocks import Block, blocks
 from .toxicity import hold_out, platt
 
@@ -35,7 +38,7 @@ SUPPORT = 40
 PAIR_BINS = 256
 LANG_BINS, SOURCE_BINS = 8, 32
 BLOCK_BYTES = 1 << 19
-N_STATS, N_LAYOUT = 10, 6
+N_STATS, N_LAYOUT = 10, 12
 TEXT_DIM = PAIR_BINS + N_STATS
 META_DIM = LANG_BINS + SOURCE_BINS + N_LAYOUT
 
@@ -98,9 +101,41 @@ def meta_features(block: Block, lang: list, source: list, n_chars: list) -> np.n
     out[:, at + 3] = size / np.maximum(chars, 1) - 1
     out[:, at + 4] = np.log1p(block.n_words / lines) / 5
     out[:, at + 5] = block.n_words == 0
+    words = np.maximum(block.n_words, 1)
+    raw = block.raw
+    out[:, at + 6] = np.sqrt(_shares(raw == 124, block, words))  # column bars
+    ornament = np.zeros(len(raw), bool)
+    if len(raw):
+        ornament[1:] = _MARK[raw[1:]] & (raw[1:] == raw[:-1])
+    out[:, at + 7] = np.sqrt(_shares(ornament, block, words))
+    out[:, at + 8 : at + 12] = _line_shares(block)
     return np.clip(out, -8, 8).astype(np.float16)
 
 
+def _line_shares(block: Block) -> np.ndarray:
+    """(documents, 4): shares of lines in capitals, of empty lines and of lines that end in a full stop; the longest line (log)."""
+    raw, n = block.raw, block.n
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[block.offsets] = True
+    begins[1:] |= raw == 10
+    begins = np.flatnonzero(begins[:-1])
+    out = np.zeros((n, 4))
+    if not len(begins):
+        return out
+    doc = np.searchsorted(block.offsets, begins, side="right") - 1
+    size = np.diff(np.append(begins, len(raw)))
+    count = lambda flags: np.add.reduceat(flags.astype(np.int32), begins)
+    letters, upper = count(_LETTER[raw]), count(_UPPER[raw])
+    stop = raw[np.append(begins[1:], len(raw)) - 1] == 46
+    lines = np.maximum(np.bincount(doc, minlength=n), 1)
+    for k, flag in enumerate(((upper > 0.6 * letters) & (letters > 3), letters == 0, stop)):
+        out[:, k] = np.bincount(doc, flag, n) / lines
+    longest = np.zeros(n)
+    np.maximum.at(longest, doc, size)
+    out[:, 3] = np.log1p(longest) / 8
+    return out
+
+
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, t, m): both views' features of every row, packed as float16."""
 
@@ -165,27 +200,48 @@ def _sure_from(sure: np.ndarray, right: np.ndarray) -> float:
     return float(sure[order[good[-1]]]) if len(good) and good[-1] + 1 >= SUPPORT else 2.0
 
 
-def _confident(pool: DataFrame, views: tuple[Linear, Linear], limits: dict, per_round: int) -> list:
-    """The unlabelled documents that each view is most sure of: per_round for each view and class, at most, over all of pool."""
-    shared = pool.sparkSession.sparkContext.broadcast(views)
+@dataclass
+class CoTrained:
+    text: Linear
+    meta: Linear
+    join: Linear
+    #: For each round, how many labels each view handed to the other: {(view, class): labels}; view 0 is the text view.
+    handed: list[dict] = field(default_factory=list)
+
+
+def _confident(pool: DataFrame, views: tuple[Linear, Linear], limits: dict, per_round: int, taught: set) -> list:
+    """The documents that each view is most sure of, per_round for each view and class at most, over all of pool but the taught ones.
+
+    One pass: every partition keeps its own best, and the best of all are chosen from these.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast((views, np.array(sorted(taught), np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        views = shared.value
+        views, old = shared.value
+        best: dict = {}
         for b in batches:
+            fresh = ~np.isin(b.column(0).to_numpy(zero_copy_only=False), old)
             for k, dim in ((0, TEXT_DIM), (1, META_DIM)):
                 p = sigmoid(views[k].logits(_unpack(b.column(1 + k).to_pylist(), dim)))
                 for y, sure in ((1, p), (0, 1 - p)):
-                    top = np.argsort(-sure, kind="stable")[:per_round]
-                    top = top[sure[top] >= limits[k, y]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), k), pa.int32()), pa.array(np.full(len(top), y), pa.int32()), pa.array(sure[top]), *(b.column(c).take(pa.array(top)) for c in range(3))], ["view", "y", "sure", "doc_id", "t", "m"])
-
-    found = pool.select("doc_id", "t", "m").mapInArrow(run, "view int, y int, sure double, doc_id long, t binary, m binary")
-    parts = [found.where((F.col("view") == k) & (F.col("y") == y)).orderBy(F.desc("sure"), F.xxhash64("doc_id"), "doc_id").limit(per_round) for k in (0, 1) for y in (0, 1)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).collect()
-
-
-def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple | None:
-    """(text view, metadata view, combining weights). Learns from labelled rows outside the held-out fold; None without both classes."""
+                    top = np.flatnonzero(fresh & (sure >= limits[k, y]))
+                    top = top[np.argsort(-sure[top], kind="stable")[:per_round]]
+                    part = pa.Table.from_arrays([pa.array(np.full(len(top), k), pa.int32()), pa.array(np.full(len(top), y), pa.int32()), pa.array(sure[top]), *(b.column(c).take(pa.array(top)) for c in range(3))], ["view", "y", "sure", "doc_id", "t", "m"])
+                    had = best.get((k, y))
+                    if had is not None:
+                        part = pa.concat_tables([had, part])
+                        part = part.take(pa.array(np.argsort(-part["sure"].to_numpy(), kind="stable")[:per_round]))
+                    best[k, y] = part
+        for part in best.values():
+            yield from part.combine_chunks().to_batches()
+
+    found = spool(pool.select("doc_id", "t", "m").mapInArrow(run, "view int, y int, sure double, doc_id long, t binary, m binary"), "quality-sure")
+    shared.destroy()
+    return [r for k in (0, 1) for y in (0, 1) for r in found.where((F.col("view") == k) & (F.col("y") == y)).orderBy(F.desc("sure"), F.xxhash64("doc_id"), "doc_id").limit(per_round).collect()]
+
+
+def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained | None:
+    """Both views and their combination. Learns from labelled rows outside the held-out fold; None without both classes."""
     may, rest = split_by_ids(feats, labels.select("doc_id").where("doc_id is not null"))
     listed = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.lit(True).alias("labelled"))
     feats = may.join(listed, "doc_id", "left").unionByName(rest.select("*", F.lit(None).cast("int").alias("y"), F.lit(None).cast("boolean").alias("labelled")))
@@ -207,8 +263,9 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, rounds:
         check = np.zeros(len(y), bool)
     own = check if check.any() else np.ones(len(y), bool)
     rows = {"t": [t[~check], y[~check]], "m": [m[~check], y[~check]]}
-    pool = feats.where("labelled is null")
-    seen: set = set()
+    pool = feats.where("labelled is null and doc_id is not null")
+    taught: set = set()
+    handed = []
     for k in range(rounds + 1):
         text, meta = Linear.fit(*rows["t"]), Linear.fit(*rows["m"])
         text.calibrate(t[own], y[own])
@@ -218,22 +275,23 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, rounds:
         limits = {}
         for v, p in enumerate((sigmoid(text.logits(t[own])), sigmoid(meta.logits(m[own])))):
             limits[v, 1], limits[v, 0] = _sure_from(p, y[own] == 1), _sure_from(1 - p, y[own] == 0)
-        new = [r for r in _confident(pool, (text, meta), limits, per_round * (k + 1)) if (r["view"], r["doc_id"]) not in seen]
+        new = {(r["view"], r["doc_id"]): r for r in _confident(pool, (text, meta), limits, per_round, taught)}
+        taught |= {d for _, d in new}
+        new = [r for (v, d), r in new.items() if (1 - v, d) not in new or new[1 - v, d]["y"] == r["y"]]
+        handed.append({(v, c): sum(r["view"] == v and r["y"] == c for r in new) for v in (0, 1) for c in (0, 1)})
         for view, other, dim in ((0, "m", META_DIM), (1, "t", TEXT_DIM)):  # what one view is sure of teaches the other
             mine = [r for r in new if r["view"] == view]
-            seen |= {(view, r["doc_id"]) for r in mine}
             if mine:
                 rows[other][0] = np.concatenate([rows[other][0], _unpack([r[other] for r in mine], dim)])
                 rows[other][1] = np.concatenate([rows[other][1], [r["y"] for r in mine]])
     both = np.stack([text.logits(t[own]), meta.logits(m[own])], 1)
-    return text, meta, Linear.fit(np.clip(both, -12, 12), y[own], ridge=0.1)
+    return CoTrained(text, meta, Linear.fit(np.clip(both, -12, 12), y[own], ridge=0.1), handed)
 
 
-def combined(model: tuple, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def combined(model: CoTrained, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chances of good quality by the text view, by the metadata view and by both."""
-    text, meta, join = model
-    zt, zm = text.logits(t), meta.logits(m)
-    return sigmoid(zt), sigmoid(zm), sigmoid(join.logits(np.clip(np.stack([zt, zm], 1), -12, 12)))
+    zt, zm = model.text.logits(t), model.meta.logits(m)
+    return sigmoid(zt), sigmoid(zm), sigmoid(model.join.logits(np.clip(np.stack([zt, zm], 1), -12, 12)))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -242,7 +300,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored like any other. Without labels of both classes every score is 1. Repeated rows give
     repeated results; an empty table gives no rows. Extra columns are ignored.
     """
-    feats = spool(features(docs), "quality-features")
+    feats = spool(features(bounded_batches(docs)), "quality-features")
     model = fit(feats, labels)
     if model is None:
         one = F.lit(1.0)
@@ -259,8 +317,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are likelier good than not. Without labels of both classes all stay."""
-    model = fit(spool(features(docs), "quality-features"), labels)
+    """The rows of docs, all columns, that are likelier good than not. Without labels of both classes all stay.
+
+    Null and empty texts, repeated rows and rows without id are judged like any other; an empty table stays empty.
+    """
+    model = fit(spool(features(bounded_batches(docs)), "quality-features"), labels)
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)

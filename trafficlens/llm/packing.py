@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import broadcast_vocabulary, worker_encoder
-from .common import spool
+from .common import bounded_batches, spool
 
 CAPACITY = 4096
 FINEST = 64
@@ -45,7 +45,7 @@ def cut_lengths(tokens: int, capacity: int = CAPACITY, finest: int = FINEST) ->
 
 
 def _cut(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
-    shared = broadcast_vocabulary(docs, path)
+    shared = broadcast_vocabulary(bounded_batches(docs), path)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

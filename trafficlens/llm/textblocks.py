@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import release_worker
+
 BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -20,16 +22,21 @@ _LOWER[65:91] += 32
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _P_INV)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+    """Powers of _P and of its inverse, n at least. Tables for one block are kept; longer ones, for a long text, are not."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    out = []
+    for base in (_P, _P_INV):
+        steps = np.full(max(n, BLOCK_BYTES // 4), base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    if n <= BLOCK_BYTES + 1:
+        _powers[:] = out
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -68,7 +75,7 @@ class Block:
 
     def _running(self) -> np.ndarray:
         if self._sums is None:
-            up, _ = _power_tables(len(self.low) + 1)
+            up, self._down = _power_tables(len(self.low) + 1)
             self._sums = np.zeros(len(self.low) + 1, np.uint64)
             np.cumsum(_BYTE[self.low] * up[: len(self.low)], out=self._sums[1:])
         return self._sums
@@ -76,8 +83,7 @@ class Block:
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the lower-cased bytes from start to end, for arrays of positions."""
         sums = self._running()
-        down = _powers[1]
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        return mix((sums[end] - sums[start]) * self._down[start] + (end - start).astype(np.uint64))
 
     def word_hash(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)
@@ -98,6 +104,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cuts a string column into blocks of whole documents of about block_bytes (one long document makes its own block)."""
+    release_worker()
     data, offsets = column_bytes(column)
     first, n = 0, len(offsets) - 1
     while first < n:

@@ -5,8 +5,8 @@ so that inflected forms share their stem. Filters one, two and three words wide
 value is kept, and a logistic layer gives the score, calibrated on part of the sample. A further threshold for each language,
 calibrated on the same part, decides what a filtering stage rejects; language takes no part in the score.
 
-The model is fitted on at most SAMPLE_DOCS labelled documents of at most SAMPLE_WORDS words together, taken in hash order of the
-id; scoring covers every word of every document in one pass without a shuffle.
+The model is fitted on at most SAMPLE_DOCS labelled documents of at most SAMPLE_WORDS words together, whole documents only, taken
+in hash order of the id; scoring covers every word of every document in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, spool
 from .textblocks import Block, blocks
 
 SAMPLE_DOCS = 5_000
@@ -203,7 +204,11 @@ def hold_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_words: int) -> list:
-    """Hashed words, label and language of a bounded labelled sample."""
+    """Hashed words, label and language of a bounded labelled sample of whole documents.
+
+    Of each class, the first max_docs / 2 labelled rows in hash order are looked up; of these, taken in hash order, every document
+    that still fits into max_words is used, from its first word to its last, and one that does not fit is left out.
+    """
     # one label for each document, should a table repeat it
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     wanted = docs.select("doc_id").where(~hold_out()).join(known, "doc_id").dropDuplicates(["doc_id"])
@@ -215,38 +220,24 @@ def _sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_words: int) -
         return []
     # at most max_docs ids, whatever the table's size
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
-    per_doc = max(1, max_words // max_docs) * 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block in blocks(b.column(1), BLOCK_BYTES):
-                ids, langs, words = [], [], []
-                rows = None
-                for i in range(block.n):
-                    d = b.column(0)[block.first + i].as_py()
-                    if d in shared.value:
-                        rows = word_rows(block) if rows is None else rows
-                        own = rows[block.word_offsets[i] : block.word_offsets[i + 1]]
-                        if len(own) > per_doc:  # a text longer than the bound allows is seen in three stretches
-                            k = per_doc // 3
-                            mid = len(own) // 2 - k // 2
-                            own = np.concatenate([own[:k], own[mid : mid + k], own[-k:]])
-                        ids.append(d)
-                        langs.append(b.column(2)[block.first + i].as_py())
-                        words.append(np.ascontiguousarray(own).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(words, pa.binary())], ["doc_id", "lang", "words"])
-
-    got = docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, words binary").collect()
-    # hash order again, so that the bound on words always keeps the same documents
-    got = sorted({r[0]: r for r in got}.values(), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r[0]))
-    out, total = [], 0
-    for d, lang, words in got:
-        rows = np.frombuffer(words, np.int32).reshape(-1, 3)
-        total += len(rows)
-        if total > max_words and out:
-            break
-        out.append((rows, chosen[d], lang))
-    return out
+            own = b.filter(pa.array([d in shared.value for d in b.column(0).to_pylist()], pa.bool_()))
+            for block in blocks(own.column(1), BLOCK_BYTES):
+                rows, part = word_rows(block), own.slice(block.first, block.n)
+                words = [rows[i:j].tobytes() for i, j in zip(block.word_offsets[:-1], block.word_offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(block.n_words, pa.int64()), pa.array(words, pa.binary())], ["doc_id", "lang", "n", "words"])
+
+    found = spool(docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, "doc_id long, lang string, n long, words binary"), "toxicity-sample")
+    shared.destroy()
+    fit_in, total = [], 0
+    for d, n in sorted(((r[0], r[1]) for r in found.groupBy("doc_id").agg(F.max("n")).collect()), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r[0])):
+        if total + n <= max_words:
+            fit_in.append(d)
+            total += n
+    got = {r[0]: r for r in found.where(F.col("doc_id").isin(fit_in)).collect()} if fit_in else {}
+    return [(np.frombuffer(got[d]["words"], np.int32).reshape(-1, 3), chosen[d], got[d]["lang"]) for d in fit_in]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS, max_words: int = SAMPLE_WORDS, epochs: int = EPOCHS) -> ConvModel:
@@ -254,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS, max_wor
 
     Without labelled rows, or with one class only, the score is that class's smoothed share everywhere.
     """
-    sample = _sample(docs, labels, max_docs, max_words)
+    sample = _sample(bounded_batches(docs), labels, max_docs, max_words)
     y = np.array([s[1] for s in sample], np.float32)
     if not len(y) or y.min() == y.max():
         model = ConvModel.fresh(np.random.Generator(np.random.PCG64(0)))
@@ -298,7 +289,10 @@ def score(docs: DataFrame, model: ConvModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose score is below their language's threshold. Trains on docs and labels; no shuffle."""
+    """The rows of docs, all columns, whose score is below their language's threshold. Trains on docs and labels; no shuffle.
+
+    Null and empty texts, repeated rows and rows without id are judged like any other; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     names = docs.columns
     text, lang = names.index("text"), names.index("lang")
