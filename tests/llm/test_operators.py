@@ -207,6 +207,21 @@ def test_shards_are_even_and_slots_gapless(spark, docs, rows):
     assert sharding.shard_by_bytes(empty(spark), 4).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(4)
+    texts = [text_of(rng, 30) for _ in range(200)]
+    rows = [(i, rng.choice(texts)) for i in range(1500)] + [(5000 + i, "hot") for i in range(3000)] + [(None, None), (None, ""), (1, texts[0])]
+    out = sharding.shard_by_bytes(frame(spark, rows), 8).collect()
+    where, size = defaultdict(set), Counter()
+    for r in out:
+        where[r.text_crc32].add(r.shard)
+        size[r.shard] += r.size
+    mean = sum(size.values()) / 8
+    assert len(out) == len(rows) and len(where[zlib.crc32(b"hot")]) > 1
+    assert all(len(s) == 1 for c, s in where.items() if c != zlib.crc32(b"hot"))
+    assert max(size.values()) < 1.06 * mean and min(size.values()) > 0.94 * mean
+
+
 def test_packing(spark, docs, rows, tokenizer):
     out = packing.pack_documents(docs, PATH).toPandas()
     ids = {i: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for i, t in rows}
@@ -220,6 +235,17 @@ def test_packing(spark, docs, rows, tokenizer):
     assert packing.pack_documents(empty(spark), PATH).count() == 0
 
 
+def test_packing_of_many_short_rests(spark, tokenizer):
+    rng = random.Random(12)
+    rows = [(i, text_of(rng, rng.randrange(0, 90))) for i in range(4000)] + [(7, "a repeated row")] * 3 + [(None, "no id")]
+    out = packing.pack_documents(frame(spark, rows), PATH).toPandas()
+    assert out["length"].sum() == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert list(g["offset"]) == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= packing.CAPACITY
+    assert out["length"].sum() > 0.99 * packing.CAPACITY * (out["sequence_id"].max() - 1)
+    assert sorted(out["sequence_id"].unique()) == list(range(out["sequence_id"].max() + 1))
+
+
 def test_cuts_are_whole_and_fit_their_class():
     for n in range(1, 3 * packing.CAPACITY, 7):
         pieces = packing.cut_lengths(n)
@@ -324,8 +350,27 @@ def test_toxicity_and_quality(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in good.items() if r.predicted}
 
 
+def test_both_views_teach_and_none_itself(spark, monkeypatch):
+    rows, labels = labelled(random.Random(16), 900)
+    docs, table = frame(spark, rows), spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, quality int, toxic int")
+    seen, asked = [], cotrain._confident
+
+    def watched(pool, views, limits, per_round, taught):
+        seen.append((set(taught), asked(pool, views, limits, per_round, taught)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(cotrain, "_confident", watched)
+    model = cotrain.fit(cotrain.spool(cotrain.features(docs), "f"), table, rounds=2, per_round=20)
+    assert all(any(h[v, c] for h in model.handed for c in (0, 1)) for v in (0, 1))
+    known = {i for i, *_ in labels if i % 2}
+    for taught, found in seen:
+        assert not taught & {r["doc_id"] for r in found} and not known & {r["doc_id"] for r in found}
+    assert {r["doc_id"] for r in seen[0][1]} <= seen[1][0]
+
+
 def test_classifiers_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.predicted == 0 for r in toxicity.toxicity(docs, none).collect())
     assert cotrain.keep_good(docs, none).count() == docs.count()
+    assert toxicity.keep_clean(empty(spark), none).count() == 0 and cotrain.keep_good(empty(spark), none).count() == 0
     assert toxicity.toxicity(empty(spark), none).count() == 0 and cotrain.score(empty(spark), none).count() == 0

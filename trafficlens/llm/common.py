@@ -19,7 +19,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 #: Rows of whole texts that pass to a Python worker at once; Spark's own 10,000 would hold a hundred times more than one block needs.
-BATCH_ROWS = 1_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 #: What this worker process keeps between tasks: (owner, key, value), of one operator at a time.
 _kept: list[tuple] = []
@@ -30,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, after telling the session to pass BATCH_ROWS rows at most to Python at once. Every operator on whole texts begins with it."""
+    """df, after telling the session to pass BATCH_ROWS rows and about BATCH_BYTES at most to Python at once.
+
+    Every operator on whole texts begins with it.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 

@@ -3,9 +3,11 @@
 A document of n tokens gives n // capacity whole sequences. What is left is cut, largest piece first, into lengths that are
 exactly floor(capacity / i) for some i <= 64; the last rest of at most 64 tokens is a piece of its own. So every piece of class i
 has capacity/(i+1) < length <= capacity/i, all pieces of a class have one length, and i of them fill a sequence up to at most
-i - 1 tokens. Workers rank their pieces within a class independently; counts of the ranks' groups give global ranks by a prefix
-sum, and rank // i is the sequence. What does not fill a sequence is at most i - 1 pieces of each class, a number that does not
-grow with the data; those are packed first-fit-decreasing into the last sequences.
+i - 1 tokens. Rests shorter than capacity / 64 fill strips of an eighth of a sequence, each with as many rests of one length as fit,
+and eight strips make a sequence. Workers rank their pieces within a class independently; counts of the ranks' groups give global
+ranks by a prefix sum, and rank // i is the sequence (or strip). What fills none is at most i - 1 pieces of each class, a number that
+does not grow with the data: 2,016 pieces for i <= 64 and at most 2,360 short rests at a capacity of 4096. Those are packed
+first-fit-decreasing into the last sequences.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from .common import bounded_batches, spool
 
 CAPACITY = 4096
 FINEST = 64
+STRIPS = 8  # in a sequence
 #: Rows of one ranking group, about.
 GROUP_ROWS = 50_000
 
@@ -63,7 +66,7 @@ def _cut(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
                         length.append(size)
                         crc.append(zlib.crc32(packed[4 * s : 4 * (s + size)]))
                         total.append(n)
-                        kind.append(i)
+                        kind.append(i if i <= FINEST else -size)
                         s += size
                 yield pa.RecordBatch.from_arrays([ids_of.take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, kind))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"])
 
@@ -100,17 +103,27 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capaci
     per_part = keyed.groupBy("class", "part").agg(F.count("*").alias("n"))
     by_class = Window.partitionBy("class")
     parts = per_part.select("class", "part", (F.sum("n").over(by_class.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(by_class).alias("n_class"))
-    classes = per_part.groupBy("class").agg((F.floor(F.sum("n") / F.col("class"))).alias("full"))
-    # at most capacity classes, whatever the data
-    bases = classes.select("class", (F.sum("full").over(Window.orderBy("class")) - F.col("full")).alias("base"), F.sum("full").over(Window.partitionBy(F.lit(1))).alias("first_free"))
+    # at most FINEST + capacity / FINEST classes, whatever the data; a negative class is that of strips of rests of such a length
+    strip = F.col("class") < 0
+    per = F.when(strip, F.floor(capacity // STRIPS / -F.col("class"))).otherwise(F.col("class"))
+    full = per_part.groupBy("class").agg(F.sum("n").alias("n")).select("class", per.alias("per"), F.floor(F.col("n") / per).alias("full"))
+    earlier = Window.partitionBy(strip).orderBy("class")
+    bases = full.select("class", "per", "full", (F.sum("full").over(earlier) - F.col("full")).alias("base"))
+    totals = full.agg(F.coalesce(F.sum(F.when(~strip, F.col("full"))), F.lit(0)).alias("whole"), F.coalesce(F.sum(F.when(strip, F.col("full"))), F.lit(0)).alias("strips"))
+    bases = bases.crossJoin(F.broadcast(totals)).select("class", "per", "full", "base", "whole", (F.col("whole") + F.ceil(F.col("strips") / STRIPS)).alias("first_free"))
     place = parts.join(F.broadcast(bases), "class")
     in_part = Window.partitionBy("class", "part").orderBy("doc_id", "start", "ids_crc32")
     ranked = keyed.withColumn("rn", F.row_number().over(in_part) - 1).join(place, ["class", "part"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("rn")).withColumn("bin", F.floor(F.col("rank") / F.col("class")))
-    full = F.col("bin") < F.floor(F.col("n_class") / F.col("class"))
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("rn")).withColumn("bin", F.floor(F.col("rank") / F.col("per")))
+    full = F.col("bin") < F.col("full")
+    number = F.col("base") + F.col("bin")
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    packed = ranked.where(full).withColumn("sequence_id", F.col("base") + F.col("bin")).withColumn("offset", (F.col("rank") - F.col("bin") * F.col("class")) * F.col("length"))
+    packed = ranked.where(full & ~strip).withColumn("sequence_id", number).withColumn("offset", (F.col("rank") - F.col("bin") * F.col("per")) * F.col("length"))
+    # strips of a sequence may hold rests of different lengths, so their offsets are summed there
+    strips = ranked.where(full & strip).withColumn("sequence_id", F.col("whole") + F.floor(number / STRIPS))
+    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("class", "rank").rowsBetween(Window.unboundedPreceding, -1))
+    packed = packed.select(*out).unionByName(strips.withColumn("offset", F.coalesce(before, F.lit(0))).select(*out))
     rest = ranked.where(~full).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "first_free")
     kind = docs.schema["doc_id"].dataType.simpleString()
     last = rest.groupBy("first_free").applyInPandas(_first_fit(capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return packed.select(*out).unionByName(last.select(*out))
+    return packed.unionByName(last.select(*out))

@@ -1,9 +1,10 @@
 """Histogram sort into shards of near-equal bytes.
 
-Rows are ordered by (hash of the text, hash of the id): copies of one text lie side by side, and a group of copies larger than a
-shard is split inside the group. Shard borders are found by counting: each round counts the exact bytes between evenly spaced
-probes within the intervals that still hold a border, and narrows each interval to the cell its target falls in, until the bytes
-below a border are within the tolerance or the cell holds one key. Then one exchange puts rows in place.
+Rows are ordered by (hash of the text, hash of the id): copies of one text lie side by side. Shard borders are found by counting:
+each round counts the exact bytes between evenly spaced probes within the intervals that still hold a border, and narrows each
+interval to the cell its target falls in, until the bytes below a border are within the tolerance or the cell holds one text. A group
+of equal texts that a border falls into stays whole, the border moving to its nearer edge, unless the group is larger than
+GROUP_SHARE of a shard and than the largest row; only then the border is sought among its rows. Then one exchange puts rows in place.
 Only probe counts (at most PROBES for each border and round) reach the driver. DataFrame operations only.
 """
 
@@ -19,6 +20,8 @@ from .common import spool
 PROBES = 128
 #: A border may miss its target by this share of a shard.
 TOLERANCE = 0.0005
+#: A group of equal texts up to this share of a shard is never split; a border misses its target by half of that at most.
+GROUP_SHARE = 0.05
 TOP = 1 << 63
 #: Rows of one numbering group, about.
 GROUP_ROWS = 20_000
@@ -45,8 +48,8 @@ class _Border:
         k = min(self.lo + cell * self.step, self.hi)
         return (k, 0) if self.first is None else (self.first, k)
 
-    def narrow(self, counts: dict[int, tuple[int, int]], slack: float) -> None:
-        """counts: bytes and rows of each cell of the interval."""
+    def narrow(self, counts: dict[int, tuple[int, int]], slack: float, whole: float) -> None:
+        """counts: bytes and rows of each cell of the interval. Groups of equal texts of up to whole bytes are not split."""
         below = self.below
         for cell in sorted(counts):
             size, rows = counts[cell]
@@ -54,7 +57,8 @@ class _Border:
                 below += size
                 continue
             under, over = self.target - below, below + size - self.target
-            if min(under, over) <= slack or rows == 1 or self.step == 1 and self.first is not None:
+            one_text = self.step == 1 and (self.first is not None or size <= whole)
+            if min(under, over) <= slack or rows == 1 or one_text:
                 self.at = self.edge(cell) if under <= over else self.edge(cell + 1)
             elif self.step == 1:
                 self.first, self.lo, self.hi, self.below = self.lo + cell, 0, TOP, below
@@ -66,7 +70,8 @@ class _Border:
 
 
 def _borders(keyed: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
-    total = keyed.agg(F.sum("size")).first()[0] or 0
+    total, largest = (x or 0 for x in keyed.agg(F.sum("size"), F.max("size")).first())
+    whole = max(GROUP_SHARE * total / shards, largest)
     borders = [_Border(total * i / shards) for i in range(1, shards)]
     while open_ := [b for b in borders if b.at is None]:
         intervals = {b.interval: b for b in open_}
@@ -82,7 +87,7 @@ def _borders(keyed: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
         for c, size, rows in got:
             counts[c // PROBES][c % PROBES] = (size, rows)
         for b in open_:
-            b.narrow(counts[list(intervals).index(b.interval)], tolerance * total / shards)
+            b.narrow(counts[list(intervals).index(b.interval)], tolerance * total / shards, whole)
     return [b.at for b in borders]
 
 
