@@ -288,6 +288,26 @@ def test_nearest_neighbours(spark):
     assert ann_graph.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["equal", "unequal"])
+def test_recall_in_shards_of_configured_size(spark, lengths, monkeypatch):
+    """Random directions, the hardest case, in shards far larger than the beam."""
+    monkeypatch.setattr(ann_graph, "LEAST_SHARDS", 1)
+    rng = np.random.default_rng(2)
+    n = 7000
+    x = rng.normal(size=(n, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if lengths == "unequal":
+        x *= np.exp(rng.normal(size=n) * 0.5)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann_graph.nearest(df, query_divisor=50).toPandas()
+    hits = []
+    for q, g in out.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.argsort(-s)[:20]) & set(g["vec_id"])) / 20)
+    assert len(hits) == n // 50 and np.mean(hits) >= 0.95
+
+
 def test_language_model(spark, docs, rows):
     got = {r.doc_id: r for r in maxent_lm.score_documents(docs, head_words=20).collect()}
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows}

