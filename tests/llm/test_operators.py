@@ -267,6 +267,65 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_url_rules_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from trafficlens.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    try:
+        c.execute(f"create view pages as select * from '{sf}/pages.parquet'")
+    except duckdb.Error:
+        pytest.skip("no test tables")
+    got = registry.op10_url_filter(spark, sf)
+    want = c.execute(f"select {', '.join(got.columns)} from ({registry.oracle_sql()['op10_url_filter']})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+def test_redirects_against_brute_force(spark):
+    """Random redirect graphs: a block reaches every alias that no rule allows."""
+    rng = random.Random(9)
+    hosts = ["a.org", "b.org", "x.net", "www.example.com", "example.com"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr', 'k'])}/{i}" for i in range(150)]
+    links = [(rng.choice(urls), rng.choice(urls)) for _ in range(90)] + [(urls[0], "http://y.net/es/outside"), (None, urls[1])]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate([*urls, urls[5], None])], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, URL_RULES, spark.createDataFrame(links, "url string, target string")).collect()}
+
+    def rule(u):
+        host, _, path = u.partition("://")[2].partition("/")
+        fit = [(len(t), v == "allow", v, t) for v, t in URL_RULES if (host == t.partition("/")[0] or host.endswith("." + t.partition("/")[0])) and ("/" + path).startswith("/" + t.partition("/")[2])]
+        return max(fit)[2:] if fit else (None, None)
+
+    comp = groups([(a, b) for a, b in links if a], {*urls, "http://y.net/es/outside"})
+    bad = {comp[u] for u in comp if rule(u)[0] == "block"}
+    for i, u in enumerate([*urls, urls[5]]):
+        v, t = rule(u)
+        assert got[i] == (t, v or ("block" if comp[u] in bad else "allow")), u
+    assert got[len(urls) + 1] == (None, "allow") and any(v == "block" and r is None for r, v in got.values())
+
+
+def test_convolution_equals_a_plain_forward_pass():
+    """Scores of whole batches against one window at a time."""
+    import pyarrow as pa
+
+    from trafficlens.llm.textblocks import blocks
+
+    rng = random.Random(4)
+    model = toxicity.ConvModel.fresh(np.random.default_rng(3))
+    model.bias[:] = np.random.default_rng(4).normal(size=len(model.bias))
+    texts = [text_of(rng, n) for n in (1, 2, 3, 50, 700)] + ["", None, " ", "one"]
+    for block in blocks(pa.array(texts), 600):
+        rows = toxicity.word_rows(block)
+        got = model.logits(rows, block.word_offsets)
+        for d in range(block.n):
+            x = model.table[rows[block.word_offsets[d] : block.word_offsets[d + 1]]].sum(1)
+            h = []
+            for k, w in enumerate(toxicity.WIDTHS):
+                seen = [sum(x[i + j] @ model.kernels[k][j] for j in range(w)) for i in range(len(x) - w + 1)]
+                h.append(np.max(seen, axis=0) if seen else np.zeros(toxicity.FILTERS))
+            assert abs(np.maximum(np.concatenate(h) + model.bias, 0) @ model.out + model.out_bias - got[d]) < 1e-4
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 16))

@@ -59,5 +59,17 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_ann, op3_bpe, op4_minhash_dedup, op5_lm_scoring, op6_fingerprints, op7_sharding, op8_packing, op9_quality, op10_url_filter)}
 
 
+def _url_sql() -> str:
+    """The rules of op10, longest first, over the given pages, none of which is an alias of another."""
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[0] != "allow", r[1]))
+    fits = lambda t: f"(host = '{t.partition('/')[0]}' OR ends_with(host, '.{t.partition('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}')"
+    rule = " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in ordered)
+    verdict = " ".join(f"WHEN '{t}' THEN '{v}'" for v, t in ordered)
+    lower = "translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS host0, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+h AS (SELECT page_id, {lower} AS host, path FROM u), w AS (SELECT *, CASE {rule} END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE rule {verdict} ELSE 'allow' END AS verdict, FALSE AS propagated FROM w"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_filter": _url_sql()}
