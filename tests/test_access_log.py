@@ -42,7 +42,7 @@ def test_tokens_and_bands(spark):
     assert rows[0].w == ["GoodBot", "abc", "q=12"] and rows[0].r == ["h.org"] and rows[0].b == "GoodBot" and rows[0].l
     assert rows[1].w == ["--filtered--"] and rows[1].r == ["--empty--"] and rows[1].b is None
     sizes = spark.createDataFrame([(n,) for n in (0, 99, 100, 1023, 1024, 1048575, 1048576)], "n long").select(V.size_band(F.col("n")).alias("b")).collect()
-    assert [r.b for r in sizes] == ["<100", "<100", "100-300", "700-1K", "1K-10K", "500K-1M", ">1M"]
+    assert [r.b for r in sizes] == ["<100B", "<100B", "100–300B", "700B–1K", "1–10K", "500K–1M", ">1M"]
     text = spark.createDataFrame([(7,), (12345,), (2_340_000,), (99_999_999,)], "n long").select(V.format_count(F.col("n")).alias("t")).collect()
     assert [r.t for r in text] == ["   7", " 12K", " 2.3M", "----"]
 
@@ -85,3 +85,44 @@ def test_claims_memory_and_marks_follow_a_line_by_line_model(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "line_id long, line string")
     assert A.parse_requests(none).count() == 0 and A.parse_rejects(none).count() == 0
+
+
+def test_large_formats(spark):
+    df = spark.createDataFrame([(n,) for n in (7, 999, 1000, 999_999, 2_340_000, 45_000_000, 7_100_000_000, 88_000_000_000, 3 * 10**12, 2**60)], "n long")
+    assert [r.t for r in df.select(V.format_large_count(F.col("n")).alias("t")).collect()] == ["7", "999", "1K", "999K", "2.3M", "45M", "7.1B", "88B", "3.0T", "1152921T+"]
+    assert [r.t for r in df.select(V.format_bytes(F.col("n")).alias("t")).collect()][-1] == " 1E"
+
+
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    want = []
+    for k, size in enumerate((5, 4000, 40, 900)):  # Spark reads the largest file first
+        text = [f"file {k} line {i} " + "x" * (i % 50) for i in range(size)]
+        (tmp_path / f"part-{k}.log").write_text("\n".join(text) + "\n")
+        want += text
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        got = A.read_access_log(spark, str(tmp_path)).orderBy("line_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.line for r in got] == want and [r.line_id for r in got] == list(range(len(want)))
+
+
+def test_rule_files_of_several_parts(spark, tmp_path):
+    rows = [("regex", "(a(b(c)d)e)"), ("expr", "status = '500' and bytes > 10"), ("regex", "(x"), ("expr", "status = ("), ("line", "GET"), ("words", "bot")]
+    spark.createDataFrame([(i, f"r{i}", "observe", s, [p]) for i, (s, p) in enumerate(rows)], "i int, name string, lane string, scope string, patterns array<string>").repartitionByRange(3, "i").drop("i").write.json(str(tmp_path / "rules"))
+    rules, bad = R.read_rules(spark, str(tmp_path / "rules"))
+    assert [r.name for r in rules.orderBy("rank").collect()] == ["r0", "r1", "r4", "r5"]
+    assert {r.name: r.reason for r in bad.collect()} == {"r2": "regex", "r3": "expr"}
+
+
+def test_literal_rules_equal_the_table_form(spark, monkeypatch):
+    texts = [GOOD, GOOD.replace("200 512", "500 99"), GOOD.replace("10.1.2.3", "10.1.22.3").replace("Foo", "Xbot"), GOOD.replace("/a?b=1", "/abcde")]
+    rules, _ = R.rules_from_rows(spark, [("e", "compete", "code", ["500"]), ("p", "compete", "ips", ["10.1.2.", "10.1."]), ("h", "observe", "ips", ["10.1.2.3"]), ("b", "bots", "bots", []), ("w", "observe", "words", ["Foo", "zzz"]), ("r", "observe", "regex", ["a(b(c)d)e"]), ("x", "observe", "expr", ["bytes > 100 and referer = '-'"]), ("s", "observe", "starts", ["10.1.2.3 "])])
+    rules = rules.withColumn("valid_from", F.when(F.col("name") == "p", 1).otherwise(0).cast("long")).withColumn("valid_to", F.when(F.col("name") == "w", 3).cast("long"))
+    requests = A.parse_requests(lines(spark, *texts))
+    get = lambda: {r.line_id: [h.name for h in r.hits] for r in R.match_rules(requests, rules).collect()}
+    want = get()
+    assert want == {0: ["h", "w", "x", "s"], 1: ["e", "p", "h", "w", "s"], 2: ["p", "b", "x"], 3: ["p", "h", "r", "x", "s"]}
+    monkeypatch.setattr(R, "INLINE_RULES", 0)
+    assert get() == want

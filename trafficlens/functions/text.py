@@ -23,9 +23,9 @@ MIN_BYTES = 3
 
 
 def parse_time(text: Column, honor_offset: bool = False) -> Column:
-    """The time in `[dd/Mon/yyyy:HH:mm:ss zone]`; wall-clock text unless the offset is to be honoured. Null where there is none."""
-    inner = F.regexp_extract(text, r"\[(\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2})", 1)
-    wall = F.try_to_timestamp(inner, F.lit("dd/MMM/yyyy:HH:mm:ss")).cast("timestamp_ntz")
+    """The time behind the first bracket, `[dd/Mon/yyyy:HH:mm:ss zone]`; wall-clock text unless the offset is to be honoured. Null where there is none."""
+    at = F.instr(text, "[")
+    wall = F.when(at > 0, F.try_to_timestamp(F.substr(text, at + 1, F.lit(20)), F.lit("dd/MMM/yyyy:HH:mm:ss"))).cast("timestamp_ntz")
     if not honor_offset:
         return wall
     zone = F.regexp_extract(text, r"\[[^ \]]* ([+-]\d{4})", 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Upper bounds and names of response-size bands; agent-token counts with a band of their own; time-to-live table
 #: (seconds for words, referers, addresses by purge intensity 0 to 11).
-SIZE_BANDS = [(100, "<100"), (300, "100-300"), (700, "300-700"), (1024, "700-1K"), (10240, "1K-10K"), (102400, "10K-100K"), (512000, "100K-500K"), (1048576, "500K-1M")]
+SIZE_BANDS = [(100, "<100B"), (300, "100–300B"), (700, "300–700B"), (1024, "700B–1K"), (10240, "1–10K"), (102400, "10–100K"), (512000, "100–500K"), (1048576, "500K–1M")]
 LARGEST_BAND = ">1M"
 TOKEN_BANDS = [16, 22, 18, 17, 24, 21, 25]
 RETENTION = [(300, 300, 300), (240, 300, 300), (180, 240, 300), (120, 180, 240), (90, 120, 180), (60, 90, 120), (30, 60, 90), (20, 30, 60), (10, 20, 30), (5, 10, 20), (1, 5, 10), (1, 1, 1)]
@@ -51,9 +51,18 @@ def format_count(n: Column) -> Column:
     return F.when(n <= 9999, F.format_string("%4d", n)).when(n <= 999999, F.format_string("%3dK", F.floor(n / 1000))).when(n < 10000000, F.format_string("%4.1fM", millions)).otherwise("----")
 
 
+def format_large_count(n: Column) -> Column:
+    """Counts of any size: whole thousands, then millions, billions and trillions, with one digit below ten of a unit."""
+    out = F.format_string("%d", n)
+    for unit, name in ((10**6, "M"), (10**9, "B"), (10**12, "T")):
+        whole = F.format_string("%d" + name + ("+" if name == "T" else ""), F.floor(n / unit).cast("long"))
+        out = F.when(n >= 10 * unit, whole).when(n >= unit, F.format_string("%.1f" + name, n / float(unit))).otherwise(out if unit > 10**6 else F.when(n >= 1000, F.format_string("%dK", F.floor(n / 1000).cast("long"))).otherwise(out))
+    return out
+
+
 def format_bytes(n: Column) -> Column:
     """Whole units of powers of 1024."""
     out = F.format_string("%2dB", n)
-    for k, unit in enumerate("KMGTP", 1):
+    for k, unit in enumerate("KMGTPE", 1):
         out = F.when(n >= 1024**k, F.format_string(f"%2.0f{unit}", n / float(1024**k))).otherwise(out)
     return out

@@ -1,22 +1,33 @@
 """Rule lanes: which rules a request meets, which one claims it, whom a rule remembers, how a request is marked.
 
-A rule table has (name, rank, lane, scope, patterns, valid_from, valid_to). Rules travel as one array in a one-row broadcast, so that
-every per-line question is answered without a shuffle; only memory, which spans lines, joins on the address.
+A rule table has (name, rank, lane, scope, patterns, valid_from, valid_to). It is small by nature and its size is checked. Up to
+INLINE_RULES rules become literal predicates, which Spark compiles; of larger tables the plain scopes travel as one array in a one-row
+broadcast. So every per-line question is answered without a shuffle; only memory, which spans lines, joins on the address.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 #: A rule table beyond this many rows is refused: it is sent to every task.
 MOST_RULES = 10_000
-SCOPES = ("line", "refs", "code", "words", "ips", "starts", "regex", "bots")
+#: Tables up to this many rules become literal predicates.
+INLINE_RULES = 64
+#: The patterns of expr are Spark SQL conditions over the columns of a request.
+SCOPES = ("line", "refs", "code", "words", "ips", "starts", "regex", "bots", "expr")
 LANES = ("compete", "bots", "observe")
 RULE_SCHEMA = "name string, rank int, lane string, scope string, patterns array<string>, valid_from long, valid_to long"
 BOTS = "Bots"
+#: What a condition may ask about.
+REQUEST = "line_id long, ts timestamp_ntz, ip string, ip_prefix string, request string, status string, bytes long, referer string, user_agent string, line string"
 #: The packaged patterns of the optional browser and platform lanes.
 BROWSER = r"(?i)\b(Chrome|CriOS|Firefox|FxiOS|Safari|DuckDuckGo|Edg|Edge|OPR|MSIE|Trident|Brave|PlayStation|Vivaldi|Baidu|SeaMonkey|Maxthon|Puffin|Silk|Sogou|Dolfin|IceCat|Iceweasel|Waterfox|K-Meleon|PaleMoon|Avant|Epiphany)[/\s]?"
 PLATFORM = r"(?i)(Windows|Android|iPhone|Mac OS)"
@@ -36,21 +47,36 @@ def rules_from_rows(spark: SparkSession, rows: list[tuple]) -> tuple[DataFrame,
 def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The same from JSON lines with name, lane, scope, patterns; file order is rule order."""
     raw = spark.read.schema("name string, lane string, scope string, patterns array<string>").json(path)
-    return check_rules(raw.withColumn("place", F.monotonically_increasing_id().cast("int")))
+    raw = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.orderBy("file", "block", "at"))  # MOST_RULES rows at most
+    return check_rules(raw.limit(MOST_RULES + 1).withColumn("place", place).drop("file", "block", "at"))
+
+
+def _unusable(raw: DataFrame) -> list[str]:
+    """The regex patterns that do not compile and the conditions that do not parse; judged on the driver, as rules are few."""
+    spark, bad = raw.sparkSession, []
+    request = spark.createDataFrame([], REQUEST)
+    for scope, p in raw.where(F.col("scope").isin("regex", "expr")).select("scope", F.explode("patterns").alias("p")).where("p is not null").distinct().limit(MOST_RULES * 10).collect():
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(p) if scope == "regex" else request.where(p)
+        except (Py4JJavaError, PySparkException):
+            bad.append(p)
+    return bad
 
 
 def check_rules(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    first = raw.where("name is not null").groupBy("name").agg(F.min("place").alias("first_place"))
-    j = raw.join(first, "name", "left")
+    # few rows: one partition, so that nothing is shuffled
+    j = raw.coalesce(1).withColumn("first_place", F.min("place").over(Window.partitionBy("name")))
     scope = F.when((F.col("scope") == "line") & address_hint(F.col("patterns")), "ips").otherwise(F.col("scope"))
-    bad_regex = F.exists("patterns", lambda p: ~p.rlike(r"^([^\\()\[\]]|\\.|\((?:[^()]|\([^()]*\))*\)|\[[^\]]+\])+$"))
+    unusable = _unusable(raw)
+    bad = F.exists("patterns", lambda p: p.isin(unusable)) if unusable else F.lit(False)
     reason = (
         F.when(F.col("name").isNull() | (F.trim("name") == ""), "empty name")
         .when(F.col("place") > F.col("first_place"), "duplicate name")
         .when(~F.col("lane").isin(*LANES) | F.col("lane").isNull(), "lane")
         .when(~F.col("scope").isin(*SCOPES) | F.col("scope").isNull(), "scope")
         .when((F.col("scope") != "bots") & ((F.coalesce(F.size("patterns"), F.lit(0)) <= 0) | F.exists(F.coalesce("patterns", F.array()), lambda p: F.coalesce(p, F.lit("")) == "")), "empty pattern")
-        .when((F.col("scope") == "regex") & bad_regex, "regex")
+        .when(F.col("scope").isin("regex", "expr") & bad, F.col("scope"))
     )
     j = j.withColumn("reason", reason)
     lane_order = F.when(F.col("lane") == "compete", 0).when(F.col("lane") == "bots", 1).otherwise(2)
@@ -59,7 +85,7 @@ def check_rules(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pattern_hit(scope: Column, p: Column) -> Column:
-    """Whether one pattern of a rule meets the request in the row."""
+    """Whether one pattern of a rule, out of a table, meets the request in the row; for the scopes that need no compiling."""
     dots = F.length(p) - F.length(F.replace(p, F.lit("."), F.lit("")))
     address = F.when((dots == 3) & ~p.endswith("."), F.col("ip") == p).when((dots == 2) & p.endswith("."), F.col("ip_prefix") == p).otherwise(F.startswith(F.col("ip"), p))
     return (
@@ -69,19 +95,52 @@ def pattern_hit(scope: Column, p: Column) -> Column:
         .when(scope == "words", F.contains(F.col("user_agent"), p) | F.contains(F.col("request"), p))
         .when(scope == "ips", address)
         .when(scope == "starts", F.startswith(F.col("line"), p))
-        .when(scope == "regex", F.regexp_like(F.col("line"), p))
         .otherwise(F.lit(False))
     )
 
 
+def literal_hit(scope: str, p: str) -> Column:
+    """The same for one known pattern, of any scope but bots."""
+    if scope == "ips":
+        if p.count(".") == 3 and not p.endswith("."):
+            return F.col("ip") == p
+        return F.col("ip_prefix") == p if p.count(".") == 2 and p.endswith(".") else F.col("ip").startswith(p)
+    if scope == "words":
+        return F.col("user_agent").contains(p) | F.col("request").contains(p)
+    if scope == "expr":
+        return F.coalesce(F.expr(p), F.lit(False))
+    if scope == "regex":
+        return F.col("line").rlike(p)
+    if scope == "starts":
+        return F.col("line").startswith(p)
+    return F.col({"line": "line", "refs": "referer", "code": "status"}[scope]).contains(p)
+
+
+def _literal_rule(r) -> Column:
+    """The rule's hit, or null. Most rules of a table hold at every line and ask no question about it."""
+    met = T.bot_like(F.col("user_agent")) if r["scope"] == "bots" else reduce(or_, (literal_hit(r["scope"], p) for p in r["patterns"]))
+    if r["valid_from"]:
+        met &= F.col("line_id") >= r["valid_from"]
+    if r["valid_to"] is not None:
+        met &= F.col("line_id") < r["valid_to"]
+    return F.when(met, F.struct(*(F.lit(r[c]).alias(c) for c in ("rank", "name", "lane", "scope"))))
+
+
 def match_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds hits: array of (rank, name, lane, scope) of all rules that directly meet the request and are valid at its line, by rank."""
-    table = rules.agg(F.array_sort(F.collect_list(F.struct("rank", "name", "lane", "scope", "patterns", "valid_from", "valid_to"))).alias("rules"), F.count("*").alias("n_rules"))
-    table = table.select(F.when(F.col("n_rules") > MOST_RULES, F.raise_error(F.lit("too many rules to broadcast"))).otherwise(F.col("rules")).alias("rules"))
+    rows = sorted(rules.limit(MOST_RULES + 1).collect(), key=lambda r: (r["rank"], r["name"]))
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    kind = "array<struct<rank:int,name:string,lane:string,scope:string>>"
+    literal = [r for r in rows if len(rows) <= INLINE_RULES or r["scope"] in ("regex", "expr", "bots")]
+    hits = F.array_compact(F.array(*map(_literal_rule, literal))).cast(kind) if literal else F.array().cast(kind)
+    if len(literal) == len(rows):
+        return requests.withColumn("hits", hits)
+    table = rules.where(~F.col("scope").isin("regex", "expr", "bots")).agg(F.array_sort(F.collect_list(F.struct("rank", "name", "lane", "scope", "patterns", "valid_from", "valid_to"))).alias("rules"))
     valid = lambda r: (F.col("line_id") >= r["valid_from"]) & (r["valid_to"].isNull() | (F.col("line_id") < r["valid_to"]))
-    met = F.filter("rules", lambda r: valid(r) & F.when(r["scope"] == "bots", T.bot_like(F.col("user_agent"))).otherwise(F.exists(r["patterns"], lambda p: pattern_hit(r["scope"], p))))
-    hits = F.transform(met, lambda r: F.struct(r["rank"].alias("rank"), r["name"].alias("name"), r["lane"].alias("lane"), r["scope"].alias("scope")))
-    return requests.crossJoin(F.broadcast(table)).withColumn("hits", hits).drop("rules")
+    met = F.filter("rules", lambda r: valid(r) & F.exists(r["patterns"], lambda p: pattern_hit(r["scope"], p)))
+    plain = F.transform(met, lambda r: F.struct(r["rank"].alias("rank"), r["name"].alias("name"), r["lane"].alias("lane"), r["scope"].alias("scope"))).cast(kind)
+    return requests.crossJoin(F.broadcast(table)).withColumn("hits", F.array_sort(F.concat(hits, plain))).drop("rules")
 
 
 def claim_lines(matched: DataFrame) -> DataFrame:
@@ -130,8 +189,6 @@ def bot_keys(requests: DataFrame) -> DataFrame:
 
 def rule_validity(changes: DataFrame) -> DataFrame:
     """(name, valid_from, valid_to) out of a change log (line_id, action add or remove, name)."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("name").orderBy("line_id")
     return changes.withColumn("valid_to", F.lead("line_id").over(order)).where("action = 'add'").select("name", F.col("line_id").alias("valid_from"), "valid_to")
 
@@ -142,8 +199,6 @@ def lines_under_rules(lines: DataFrame, changes: DataFrame, width: int = 100_000
     As of the line, in ranges of width line numbers: each range is ordered on its own and takes over the state before it, so work
     grows with the rows, however few names there are.
     """
-    from pyspark.sql import Window
-
     part = F.floor(F.col("line_id") / width).alias("part")
     rows = lines.select("name", "line_id", part, F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("on"))
     rows = rows.unionByName(changes.select("name", "line_id", part, F.lit(0).alias("kind"), (F.col("action") == "add").alias("on")))

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: ip, request, status, bytes, referer, user agent; the agent ends at the last quote, a further "-" field is ignored.
-LINE = r'^([^ ]+) .*?"([^"]*)" (.{3}) ([^"]*) "([^"]*)" ?[^"]*"(.*?)"(?: "-")?\s*$'
 COMMAND = "!!! "
 
 
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:
-    """(file, file_offset, line_id, line): the text with an order key that survives splitting."""
-    raw = spark.read.text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("file_offset"), F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
+    """(file, file_offset, line_id, line): line_id numbers the lines from 0, file by file in path order, gapless.
+
+    Spark reads large files in blocks, in an order of its own. Within a block lines keep their order, so a line's number is its place
+    in the block plus the lines of all earlier blocks: a small table of block sizes, and no line moves.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("file_offset"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    blocks = raw.groupBy("file", "file_offset").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.orderBy("file", "file_offset").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    blocks = blocks.select("file", "file_offset", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return raw.join(blocks, ["file", "file_offset"]).select("file", "file_offset", (F.col("before") + F.col("at") - F.col("first")).alias("line_id"), "line")
 
 
 def follow_access_log(spark: SparkSession, directory: str) -> DataFrame:
@@ -32,38 +37,65 @@ def traffic_lines(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("line").startswith(COMMAND))
 
 
-def _fields(line: Column) -> dict[str, Column]:
-    part = lambda k: F.regexp_extract(line, LINE, k)
-    return {
-        "ts": T.parse_time(line), "ip": F.regexp_extract(line, r"^([^ ]+) ", 1), "request": part(2), "status": part(3),
-        "bytes": part(4).try_cast("bigint"), "referer": part(5), "user_agent": part(6),
-    }
+#: White space that may follow a line.
+_BLANK = " \t\n\x0b\f\r"
+
+
+def _cut(lines: DataFrame) -> DataFrame:
+    """Adds the parts that the quotes of a line separate, and what follows from them; null where a part is not what it should be.
+
+    Quotes one and two hold the request, three and four the referer; the agent ends at the last quote, a further "-" field ignored.
+    """
+    line = F.col("line")
+    out = lines.withColumn("q", F.split(line, '"')).withColumn("ip", F.substring_index(line, " ", 1))
+    middle = F.get("q", F.lit(2))
+    before = sum((F.length(F.get("q", F.lit(k))) for k in range(5)), F.lit(5))
+    out = out.withColumn("middle", middle).withColumn("rest", F.rtrim(F.substr(line, before + 1), F.lit(_BLANK)))
+    whole = (F.length("middle") >= 6) & F.col("middle").startswith(" ") & (F.substring("middle", 5, 1) == " ") & F.col("middle").endswith(" ")
+    size = F.length("rest")
+    agent = F.when(F.col("rest").endswith('" "-"'), F.substr("rest", F.lit(1), size - 5)).when(F.col("rest").endswith('"'), F.substr("rest", F.lit(1), size - 1))
+    return out.select(
+        *lines.columns,
+        T.parse_time(line).alias("ts"),
+        "ip",
+        T.ip_prefix(F.col("ip")).alias("ip_prefix"),
+        F.get("q", F.lit(1)).alias("request"),
+        F.when(whole, F.substring("middle", 2, 3)).alias("status"),
+        F.when(whole, F.substr("middle", F.lit(6), F.length("middle") - 6).try_cast("bigint")).alias("bytes"),
+        F.get("q", F.lit(3)).alias("referer"),
+        agent.alias("user_agent"),
+        F.size("q").alias("parts"),
+    )
 
 
-def reject_reason(line: Column) -> Column:
-    """Why a line is no request; null where it is one. The first fault found in reading order."""
-    ip = F.regexp_extract(line, r"^([^ ]+) ", 1)
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+def _fault() -> Column:
+    """Why a cut line is no request; null where it is one. The first fault found in reading order."""
     return (
-        F.when(~line.contains(" "), "no_space")
-        .when(T.ip_prefix(ip) == "", "ip")
-        .when(quotes < 6, "quotes")
-        .when(~line.rlike(LINE), "fields")
-        .when(F.regexp_extract(line, LINE, 4).try_cast("bigint").isNull(), "bad_bytes")
-        .when(T.parse_time(line).isNull(), "time")
+        F.when(~F.col("line").contains(" "), "no_space")
+        .when(F.col("ip_prefix") == "", "ip")
+        .when(F.col("parts") < 7, "quotes")
+        .when(F.col("status").isNull() | F.col("user_agent").isNull(), "fields")
+        .when(F.col("bytes").isNull(), "bad_bytes")
+        .when(F.col("ts").isNull(), "time")
     )
 
 
+_FIELDS = ("ts", "ip", "ip_prefix", "request", "status", "bytes", "referer", "user_agent")
+
+
 def parse_requests(lines: DataFrame) -> DataFrame:
     """(line_id, ts, ip, ip_prefix, request, status, bytes, referer, user_agent, ua_tokens, ua_token_count, line) of good lines."""
-    good = traffic_lines(lines).where(reject_reason(F.col("line")).isNull())
-    return with_derived(good.select("line_id", *(c.alias(n) for n, c in _fields(F.col("line")).items()), "line"))
+    cut = _cut(traffic_lines(lines).select("line_id", "line"))
+    # exploding none or one keeps the judgement from being evaluated again as a pushed filter
+    good = cut.select("line_id", "line", F.explode(F.when(_fault().isNull(), F.array(F.struct(*_FIELDS)))).alias("f"))
+    good = good.select("line_id", *(F.col(f"f.{c}").alias(c) for c in _FIELDS), T.agent_tokens(F.col("f.user_agent")).alias("ua_tokens"), "line")
+    return good.withColumn("ua_token_count", F.size("ua_tokens"))
 
 
 def parse_rejects(lines: DataFrame) -> DataFrame:
     """(line_id, line, reason) of the lines that parse_requests leaves out."""
-    reason = reject_reason(F.col("line"))
-    return traffic_lines(lines).where(reason.isNotNull()).select("line_id", "line", reason.alias("reason"))
+    cut = _cut(traffic_lines(lines).select("line_id", "line"))
+    return cut.select("line_id", "line", F.explode(F.array_compact(F.array(_fault()))).alias("reason"))
 
 
 def with_derived(requests: DataFrame) -> DataFrame:
@@ -100,8 +132,6 @@ def number_intervals(requests: DataFrame, interval: str = "minute", compact: boo
     start = F.date_trunc(interval, F.col("ts")).cast("timestamp_ntz")
     out = requests.withColumn("interval_start", start)
     if compact:
-        from pyspark.sql import Window
-
         starts = out.select("interval_start").distinct().withColumn("interval_no", (F.row_number().over(Window.orderBy("interval_start")) - 1).cast("long"))
         return out.join(F.broadcast(starts), "interval_start")
     first = out.agg(F.min("interval_start").alias("first_start"))  # one row

@@ -18,9 +18,15 @@ AGENTS = [
 ]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df; if it is so small that Spark reads it in fewer partitions than there are cores, dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def requests_view(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """(line_id, ts, ip, ip_prefix, request, status, bytes, referer, user_agent, ua_tokens, ua_token_count). events: a stream of them, or the table."""
-    e, p = events if events is not None else spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    e, p = events if events is not None else dealt(spark.read.parquet(f"{sf_dir}/events.parquet").drop("props")), spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     # 25 pages are met, whatever the size of the tables
     r = e.withColumn("page_id", F.col("event_id") % 25).join(F.broadcast(p.where("page_id between 0 and 24")), "page_id", "left")
     eid, uid = F.col("event_id"), F.col("user_id")
