@@ -242,3 +242,19 @@ def test_lines_under_rules_meet_no_line_twice(spark):
         assert sorted(map(tuple, out.collect())) == sorted(want)
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "line_id >=" not in plan and ">= valid_from" not in plan
+
+
+def test_silent_keys_stay_ranked_until_their_time_is_over(spark):
+    from trafficlens.operators import keys as K
+
+    hits = [("words", "a", 0, 5), ("words", "b", 0, 1), ("words", "b", 1, 1), ("ips", "10.1.1.1", 0, 4), ("words", "a", 4, 2), ("words", "c", 6, 1)]
+    df = spark.createDataFrame([(s, k, i, n, n * 10) for s, k, i, n in hits], "stream string, key string, interval_no long, hits long, bytes long")
+    # words are kept for one quiet interval, addresses for two
+    rows = K.with_scores(K.key_state(K.with_silent(K.retention_islands(df, 5, 60))))
+    got = {(r.stream, r.key, r.interval_no): (r.hits, r.score) for r in rows.collect()}
+    assert got == {
+        ("words", "a", 0): (5, 10), ("words", "a", 1): (0, 5), ("words", "a", 4): (2, 4), ("words", "a", 5): (0, 2), ("words", "b", 0): (1, 2), ("words", "b", 1): (1, 3), ("words", "b", 2): (0, 2),
+        ("ips", "10.1.1.1", 0): (4, 8), ("ips", "10.1.1.1", 1): (0, 4), ("ips", "10.1.1.1", 2): (0, 4), ("words", "c", 6): (1, 2),
+    }
+    top = {r.interval_no: r.key for r in K.rank_keys(rows.where("stream = 'words'"), 1).collect()}
+    assert top[1] == "a"  # silent, and yet first

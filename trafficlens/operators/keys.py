@@ -61,6 +61,21 @@ def retention_islands(keys: DataFrame, push: int = 5, interval_seconds: int = 60
     return out.withColumn("island_start", F.last("new_at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new_at")
 
 
+def with_silent(islands: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:
+    """Adds a row without hits for each quiet interval through which a key is still retained.
+
+    There it ranks by what its last intervals hold, and counts among the retained keys. The end of the table ends retention.
+    """
+    order = Window.partitionBy("stream", "key").orderBy("interval_no")
+    here, last = F.col("interval_no"), islands.agg(F.max("interval_no").alias("last_no"))  # one row
+    until = F.least(here + F.floor(ttl_column(push) / interval_seconds), F.col("next_no") - 1, F.col("last_no"))
+    rows = islands.withColumn("next_no", F.lead("interval_no").over(order)).crossJoin(F.broadcast(last))
+    rows = rows.withColumn("at", F.explode(F.sequence(here, F.greatest(until, here))))
+    kept = ("stream", "key", "island_start")
+    value = lambda c: F.col(c) if c in kept else F.when(F.col("at") == here, F.col(c)).otherwise(F.lit(0) if c in ("hits", "bytes") else F.lit(None)).alias(c)
+    return rows.select(*(F.col("at").alias(c) if c == "interval_no" else value(c) for c in islands.columns))
+
+
 def key_state(islands: DataFrame, flux: int = 3, depth: int = DEPTH) -> DataFrame:
     """Adds depth, history_total, history_peak, history_squares and prime_flux over the completed intervals of the island.
 

@@ -18,13 +18,24 @@ KEYS = f""", kh AS (SELECT 'words' AS stream, unnest({WORDS}) AS key, interval_n
  UNION ALL SELECT 'refs', unnest({REFS}), interval_no, line_id, bytes, status FROM r UNION ALL SELECT 'ips', ip, interval_no, line_id, bytes, status FROM r),
 ki AS (SELECT stream, key, interval_no, count(*) AS hits, CAST(sum(bytes) AS BIGINT) AS bytes, max_by(status, line_id) AS last_status, min(line_id) AS first_line_id, max(line_id) AS last_line_id FROM kh GROUP BY ALL),
 il0 AS (SELECT *, interval_no - lag(interval_no) OVER (PARTITION BY stream, key ORDER BY interval_no) AS gap FROM ki),
-il AS (SELECT * EXCLUDE (gap), max(CASE WHEN gap IS NULL OR gap > {_KEEP} THEN interval_no END) OVER (PARTITION BY stream, key ORDER BY interval_no ROWS UNBOUNDED PRECEDING) AS island_start FROM il0),
-ks0 AS (SELECT *, least(80, interval_no - island_start) AS depth,
+il AS (SELECT * EXCLUDE (gap), max(CASE WHEN gap IS NULL OR gap > {_KEEP} THEN interval_no END) OVER (PARTITION BY stream, key ORDER BY interval_no ROWS UNBOUNDED PRECEDING) AS island_start FROM il0)"""
+
+
+def _state(rows: str, out: str) -> str:
+    """The state of keys (out) over rows of keys and intervals."""
+    return f""", {out}0 AS (SELECT *, least(80, interval_no - island_start) AS depth,
  CAST(coalesce(sum(hits) OVER w, 0) AS BIGINT) AS history_total, coalesce(max(hits) OVER w, 0) AS history_peak, CAST(coalesce(sum(hits * hits) OVER w, 0) AS BIGINT) AS history_squares,
  CAST(hits + coalesce(sum(hits) OVER (PARTITION BY stream, key, island_start ORDER BY interval_no RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prime_flux
- FROM il WINDOW w AS (PARTITION BY stream, key, island_start ORDER BY interval_no RANGE BETWEEN 80 PRECEDING AND 1 PRECEDING)),
-ks AS (SELECT *, CASE WHEN depth <= 1 OR history_total = 0 THEN 0.0 ELSE round(sqrt(greatest(history_squares / depth - (history_total / depth) * (history_total / depth), 0.0)) / (history_total / depth) * depth / 80, 6) END AS burst,
- CASE WHEN depth = 0 THEN CAST(hits AS DOUBLE) ELSE round(history_total / depth, 6) END AS strength, hits + prime_flux AS score FROM ks0)"""
+ FROM {rows} WINDOW w AS (PARTITION BY stream, key, island_start ORDER BY interval_no RANGE BETWEEN 80 PRECEDING AND 1 PRECEDING)),
+{out} AS (SELECT *, CASE WHEN depth <= 1 OR history_total = 0 THEN 0.0 ELSE round(sqrt(greatest(history_squares / depth - (history_total / depth) * (history_total / depth), 0.0)) / (history_total / depth) * depth / 80, 6) END AS burst,
+ CASE WHEN depth = 0 THEN CAST(hits AS DOUBLE) ELSE round(history_total / depth, 6) END AS strength, hits + prime_flux AS score FROM {out}0)"""
+
+
+KEYS += _state("il", "ks")
+#: Beside the active keys those retained in silence: ka has a row for each interval that a key is retained in.
+RETAINED = KEYS + f""", ia AS (SELECT stream, key, interval_no, hits, bytes, island_start FROM il UNION ALL
+ SELECT stream, key, n.interval_no, 0, 0, island_start FROM (SELECT *, lead(interval_no) OVER (PARTITION BY stream, key ORDER BY interval_no) AS next_no FROM il) q JOIN (SELECT unnest(range((SELECT max(interval_no) + 1 FROM r))) AS interval_no) n
+ ON n.interval_no > q.interval_no AND n.interval_no <= q.interval_no + {_KEEP} AND (q.next_no IS NULL OR n.interval_no < q.next_no))""" + _state("ia", "ka")
 NORM = TOTALS + """, tp AS (SELECT interval_no, n_lines, coalesce(max(n_lines) OVER (ORDER BY interval_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top, max(n_lines) OVER (ORDER BY interval_no) AS top_now FROM t),
 nd AS (SELECT interval_no, round(CASE WHEN top = 0 THEN avg(n_lines) OVER (ORDER BY interval_no ROWS 4 PRECEDING) / 10 ELSE (sum(top) OVER (ORDER BY interval_no ROWS 2 PRECEDING) + 2 * avg(n_lines) OVER (ORDER BY interval_no ROWS 4 PRECEDING)) / 50 END, 6) AS denominator,
  round(avg(top_now) OVER (ORDER BY interval_no ROWS 2 PRECEDING), 6) AS line_mean FROM tp)"""
@@ -43,6 +54,11 @@ def scored(spark, d):
     return K.with_scores(K.key_state(islands(spark, d)))
 
 
+def retained(spark, d):
+    """scored with the keys that are retained in silence."""
+    return K.with_scores(K.key_state(K.with_silent(islands(spark, d), 5, 60)))
+
+
 def agent_scored(spark, d):
     """scored with the lines' agent distances in burst and strength; the SQL of the queries over scored has no such term."""
     hits = K.key_hits(K.with_agent_distance(hourly_requests(spark, d)))
@@ -113,9 +129,9 @@ def _(spark, d):
     return K.peak_candidates(scored(spark, d), K.norm_denominator(t), K.line_means(t), 4)
 
 
-@query("w13_t1_rank_keys", over_requests(KEYS + " SELECT stream, key, interval_no, score, row_number() OVER (PARTITION BY stream, interval_no ORDER BY score DESC, key) AS place FROM ks QUALIFY place <= 10"))
+@query("w13_t1_rank_keys", over_requests(RETAINED + " SELECT stream, key, interval_no, score, row_number() OVER (PARTITION BY stream, interval_no ORDER BY score DESC, key) AS place FROM ka QUALIFY place <= 10"))
 def _(spark, d):
-    return K.rank_keys(scored(spark, d), 10).select("stream", "key", "interval_no", "score", "place")
+    return K.rank_keys(retained(spark, d), 10).select("stream", "key", "interval_no", "score", "place")
 
 
 @query("w14_rank_ips_display", over_requests(CLAIMED + KEYS + ", mk AS (SELECT DISTINCT ip AS key, interval_no FROM k WHERE mark IS NOT NULL), v AS (SELECT ks.key, ks.interval_no, CAST(score + CASE WHEN prime_flux > 8 THEN CAST(floor(burst * 100) AS BIGINT) ELSE 0 END AS BIGINT) AS value, mk.key IS NOT NULL AS marked FROM ks LEFT JOIN mk ON mk.key = ks.key AND mk.interval_no = ks.interval_no WHERE stream = 'ips') SELECT *, row_number() OVER (PARTITION BY interval_no ORDER BY value DESC, marked DESC, key) AS place FROM v QUALIFY place <= 10"))
@@ -123,9 +139,9 @@ def _(spark, d):
     return K.rank_ips_display(scored(spark, d), R.mark_lines(known(spark, d)).where("mark is not null"), 10)
 
 
-@query("w15_ip_groups", over_requests(KEYS + " SELECT regexp_extract(key, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix, interval_no, count(*) AS members, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(prime_flux) AS BIGINT) AS prime_flux, CAST(sum(bytes) AS BIGINT) AS bytes, round(avg(burst), 6) AS burst, max(depth) AS depth, CAST(sum(hits) + sum(prime_flux) AS BIGINT) AS score FROM ks WHERE stream = 'ips' GROUP BY 1, 2 HAVING count(*) >= 2"))
+@query("w15_ip_groups", over_requests(RETAINED + " SELECT regexp_extract(key, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix, interval_no, count(*) AS members, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(prime_flux) AS BIGINT) AS prime_flux, CAST(sum(bytes) AS BIGINT) AS bytes, round(avg(burst), 6) AS burst, max(depth) AS depth, CAST(sum(hits) + sum(prime_flux) AS BIGINT) AS score FROM ka WHERE stream = 'ips' GROUP BY 1, 2 HAVING count(*) >= 2"))
 def _(spark, d):
-    return K.ip_groups(scored(spark, d), 2)
+    return K.ip_groups(retained(spark, d), 2)
 
 
 @query("g14_new_key_rate", over_requests(KEYS + TOTALS + " SELECT stream, il.interval_no, count(*) AS created, round(count(*) / max(n_lines), 6) AS rate FROM il JOIN t ON t.interval_no = il.interval_no WHERE il.interval_no = island_start GROUP BY stream, il.interval_no"))
@@ -133,14 +149,14 @@ def _(spark, d):
     return K.new_key_rate(islands(spark, d), totals(spark, d))
 
 
-@query("g15_one_hit_share", over_requests(KEYS + " SELECT stream, interval_no, count(*) AS n_keys, round(count_if(prime_flux = 1) / count(*), 6) AS one_hit FROM ks GROUP BY ALL"))
+@query("g15_one_hit_share", over_requests(RETAINED + " SELECT stream, interval_no, count(*) AS n_keys, round(count_if(prime_flux = 1) / count(*), 6) AS one_hit FROM ka GROUP BY ALL"))
 def _(spark, d):
-    return K.one_hit_share(scored(spark, d))
+    return K.one_hit_share(retained(spark, d))
 
 
-@query("g16_prefix_census", over_requests(KEYS + ", g AS (SELECT regexp_extract(key, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix, interval_no, count(*) AS members FROM ks WHERE stream = 'ips' GROUP BY 1, 2) SELECT interval_no, count(*) AS prefixes, count_if(members >= 2) AS active, round(avg(members), 6) AS mean_members FROM g GROUP BY interval_no"))
+@query("g16_prefix_census", over_requests(RETAINED + ", g AS (SELECT regexp_extract(key, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix, interval_no, count(*) AS members FROM ka WHERE stream = 'ips' GROUP BY 1, 2) SELECT interval_no, count(*) AS prefixes, count_if(members >= 2) AS active, round(avg(members), 6) AS mean_members FROM g GROUP BY interval_no"))
 def _(spark, d):
-    return K.prefix_census(scored(spark, d), 2)
+    return K.prefix_census(retained(spark, d), 2)
 
 
 @query("w18_promote_ip", over_requests(CLAIMED + KEYS + NORM + ", mk AS (SELECT DISTINCT ip AS key, interval_no FROM k WHERE mark IS NOT NULL), o AS (SELECT ks.* FROM ks ANTI JOIN mk ON mk.key = ks.key AND mk.interval_no = ks.interval_no WHERE stream = 'ips' AND depth > 1), b AS (SELECT *, row_number() OVER (PARTITION BY interval_no ORDER BY hits DESC, first_line_id) AS place FROM o QUALIFY place = 1) SELECT b.interval_no, b.key AS ip, b.hits FROM b JOIN tp ON tp.interval_no = b.interval_no WHERE 10 * b.hits >= n_lines AND b.hits >= 1"))
