@@ -173,7 +173,9 @@ def ip_groups(scored: DataFrame, min_members: int = 15) -> DataFrame:
     """Address prefixes with enough active members in an interval: sums over the members, mean burst, deepest history, mean agent_delta if there."""
     more = [F.round(F.avg("agent_delta"), 6).alias("agent_delta")] if "agent_delta" in scored.columns else []
     own = scored.where("stream = 'ips'").withColumn("ip_prefix", T.ip_prefix(F.col("key")))
-    g = own.groupBy("ip_prefix", "interval_no").agg(F.count("*").alias("members"), F.sum("hits").alias("hits"), F.sum("prime_flux").alias("prime_flux"), F.sum("bytes").alias("bytes"), F.round(F.avg("burst"), 6).alias("burst"), F.max("depth").alias("depth"), *more)
+    # summed in whole millionths, so that the order of addition does not decide a half
+    mean_burst = F.round(F.sum(F.round(F.col("burst") * 1_000_000).cast("long")) / F.count("*")) / 1_000_000
+    g = own.groupBy("ip_prefix", "interval_no").agg(F.count("*").alias("members"), F.sum("hits").alias("hits"), F.sum("prime_flux").alias("prime_flux"), F.sum("bytes").alias("bytes"), mean_burst.alias("burst"), F.max("depth").alias("depth"), *more)
     return g.where(F.col("members") >= min_members).withColumn("score", F.col("hits") + F.col("prime_flux"))
 
 

@@ -139,7 +139,7 @@ def _(spark, d):
     return K.rank_ips_display(scored(spark, d), R.mark_lines(known(spark, d)).where("mark is not null"), 10)
 
 
-@query("w15_ip_groups", over_requests(RETAINED + " SELECT regexp_extract(key, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix, interval_no, count(*) AS members, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(prime_flux) AS BIGINT) AS prime_flux, CAST(sum(bytes) AS BIGINT) AS bytes, round(avg(burst), 6) AS burst, max(depth) AS depth, CAST(sum(hits) + sum(prime_flux) AS BIGINT) AS score FROM ka WHERE stream = 'ips' GROUP BY 1, 2 HAVING count(*) >= 2"))
+@query("w15_ip_groups", over_requests(RETAINED + " SELECT regexp_extract(key, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix, interval_no, count(*) AS members, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(prime_flux) AS BIGINT) AS prime_flux, CAST(sum(bytes) AS BIGINT) AS bytes, round(CAST(sum(CAST(round(burst * 1000000) AS BIGINT)) AS DOUBLE) / count(*)) / 1000000 AS burst, max(depth) AS depth, CAST(sum(hits) + sum(prime_flux) AS BIGINT) AS score FROM ka WHERE stream = 'ips' GROUP BY 1, 2 HAVING count(*) >= 2"))
 def _(spark, d):
     return K.ip_groups(retained(spark, d), 2)
 
