@@ -64,14 +64,15 @@ def retention_islands(keys: DataFrame, push: int = 5, interval_seconds: int = 60
 def with_silent(islands: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:
     """Adds a row without hits for each quiet interval through which a key is still retained.
 
-    There it ranks by what its last intervals hold, and counts among the retained keys. The end of the table ends retention.
+    There it ranks by what its last intervals hold, and counts among the retained keys; agent_delta, if there, stays what it was.
+    The end of the table ends retention.
     """
     order = Window.partitionBy("stream", "key").orderBy("interval_no")
     here, last = F.col("interval_no"), islands.agg(F.max("interval_no").alias("last_no"))  # one row
     until = F.least(here + F.floor(ttl_column(push) / interval_seconds), F.col("next_no") - 1, F.col("last_no"))
     rows = islands.withColumn("next_no", F.lead("interval_no").over(order)).crossJoin(F.broadcast(last))
     rows = rows.withColumn("at", F.explode(F.sequence(here, F.greatest(until, here))))
-    kept = ("stream", "key", "island_start")
+    kept = ("stream", "key", "island_start", "agent_delta")
     value = lambda c: F.col(c) if c in kept else F.when(F.col("at") == here, F.col(c)).otherwise(F.lit(0) if c in ("hits", "bytes") else F.lit(None)).alias(c)
     return rows.select(*(F.col("at").alias(c) if c == "interval_no" else value(c) for c in islands.columns))
 
@@ -106,20 +107,17 @@ def normalized_strength(total: Column, depth: Column, hits: Column, agent_delta:
     return F.when(depth == 0, hits.cast("double")).otherwise(total / depth * scale * (1 + agent_delta if agent_delta is not None else F.lit(1)))
 
 
-def with_agent_delta(islands: DataFrame) -> DataFrame:
+def with_agent_delta(islands: DataFrame, memory: int = 48) -> DataFrame:
     """Adds agent_delta: the running mean of the lines' distances, whose weight restarts in each interval: (m + moved) / (hits + 1).
 
-    An island starts at 0, and the hit that begins it does not count.
+    An island starts at 0, and the hit that begins it does not count. Every interval with hits at least halves what came before, so
+    the last `memory` rows decide it to 14 digits, and no row needs its whole island. Silent rows change nothing: add them after this.
     """
-    place = ["stream", "key", "island_start"]
-    rest = [c for c in islands.columns if c not in (*place, "interval_no")]
-    per = islands.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("interval_no", *rest))).alias("steps"))
-    moved = lambda s, start: F.coalesce(s["moved"], F.lit(0.0)) - F.when(s["interval_no"] == start, F.coalesce(s["first_moved"], F.lit(0.0))).otherwise(0.0)
-    before = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0))
-    step = lambda acc, s: F.concat(acc, F.array((before(acc) + moved(s, F.col("island_start"))) / (s["hits"] + 1)))
-    per = per.withColumn("deltas", F.aggregate("steps", F.array().cast("array<double>"), step))
-    rows = per.select(*place, F.explode(F.arrays_zip("steps", "deltas")).alias("x"))
-    return rows.select(*(c if c in place else F.col(f"x.steps.{c}").alias(c) for c in islands.columns), F.col("x.deltas").alias("agent_delta"))
+    order = Window.partitionBy("stream", "key", "island_start").orderBy("interval_no")
+    begun = F.when(F.col("interval_no") == F.col("island_start"), F.coalesce("first_moved", F.lit(0.0))).otherwise(0.0)
+    steps = islands.withColumn("step", F.struct((F.coalesce("moved", F.lit(0.0)) - begun).alias("moved"), (F.col("hits") + 1).alias("n")))
+    steps = steps.withColumn("steps", F.collect_list("step").over(order.rowsBetween(-memory, 0)))
+    return steps.withColumn("agent_delta", F.aggregate("steps", F.lit(0.0), lambda m, x: (m + x["moved"]) / x["n"])).drop("step", "steps")
 
 
 def with_scores(state: DataFrame) -> DataFrame:
@@ -280,12 +278,12 @@ def lane_volatility(lanes: DataFrame, n_intervals: Column) -> DataFrame:
 
 
 def promote_ip(scored: DataFrame, marked: DataFrame, totals: DataFrame, means: DataFrame, least_depth: int = 5) -> DataFrame:
-    """The busiest unmarked address of each interval, if it has enough history, a tenth of the lines and the mean of recent maxima."""
+    """The busiest unmarked address of each interval, if it has enough history, a whole tenth of the lines and the mean of recent maxima."""
     seen = marked.where("mark is not null").select(F.col("ip").alias("key"), "interval_no").distinct()
     own = scored.where((F.col("stream") == "ips") & (F.col("depth") > least_depth)).join(seen, ["key", "interval_no"], "left_anti")
     top = own.groupBy("interval_no").agg(F.max_by("key", F.struct("hits", F.col("first_line_id") * -1)).alias("ip"), F.max("hits").alias("hits"))
     j = top.join(F.broadcast(totals.select("interval_no", "n_lines")), "interval_no").join(F.broadcast(means), "interval_no")
-    return j.where((F.col("hits") >= F.col("line_mean")) & (10 * F.col("hits") >= F.col("n_lines"))).select("interval_no", "ip", "hits")
+    return j.where((F.col("hits") >= F.col("line_mean")) & (F.col("hits") >= F.floor(F.col("n_lines") / 10))).select("interval_no", "ip", "hits")
 
 
 def seed_lane_history(keys, lane_rows, name: str, key: str, valid_from: int):

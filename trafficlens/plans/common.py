@@ -35,7 +35,7 @@ SELECT e.event_id AS line_id, e.ts AS ts,
     WHEN 2 THEN 'Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36'
     WHEN 3 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.0 Mobile/15E148 Safari/604.1'
     WHEN 4 THEN 'curl/8.4.0' ELSE 'SiteCrawler/1.0' END AS user_agent
-FROM events e LEFT JOIN pages p ON p.page_id = e.event_id % 25),
+FROM (SELECT *, event_id % greatest((SELECT count(*) FROM pages), 1) AS page_no FROM events) e LEFT JOIN pages p ON p.page_id = e.page_no),
 r AS (SELECT r0.*, date_trunc('hour', ts) AS interval_start,
   CAST(date_diff('hour', (SELECT date_trunc('hour', min(ts)) FROM events), date_trunc('hour', ts)) AS BIGINT) AS interval_no,
   concat(ip, ' - - [', strftime(ts, '%d/%b/%Y:%H:%M:%S'), ' +0000] "', request, '" ', status, ' ', CAST(bytes AS VARCHAR), ' "', referer, '" "', user_agent, '"') AS line,

@@ -55,10 +55,10 @@ def _(spark, d):
     return _result(spark, S.sliding_flux(request_stream(spark, d), "4 hours", "1 hour", "1 hour"))
 
 
-@query("r3_stream_key_retention", over_requests(KEYS + " SELECT stream, key, interval_no, island_start, hits FROM il WHERE stream <> 'ips'"))
+@query("r3_stream_key_retention", over_requests(KEYS + " SELECT stream, key, interval_no, island_start, hits FROM il"))
 def _(spark, d):
-    keys = key_intervals(spark, d).where("stream <> 'ips'").select("stream", "key", "interval_no", "hits")
-    return _result(spark, S.stream_key_retention(S.replay(spark, keys, "interval_no"), 1), "append")
+    keys = key_intervals(spark, d).select("stream", "key", "interval_no", "hits")
+    return _result(spark, S.stream_key_retention(S.replay(spark, keys, "interval_no"), {"words": 1, "refs": 1, "ips": 2}), "append")
 
 
 @query("r6_stream_alerts", over_requests(CLAIMED + _DENSE + " SELECT lane, direction, threshold, interval_no, value, CASE WHEN active THEN 'triggered' ELSE 'recovered' END AS event FROM tr WHERE active <> was"))

@@ -152,7 +152,8 @@ def _(spark, d):
     return L.peak_reset_phases(records(spark, d))
 
 
-@query("u2_union_distinct_keys", over_requests(KEYS + " SELECT key FROM ki WHERE stream = 'words' AND interval_no = 30 UNION SELECT key FROM ki WHERE stream = 'words' AND interval_no = 31"))
+@query("u2_union_distinct_keys", over_requests(KEYS + " SELECT interval_no AS until, key FROM ki WHERE stream = 'words' UNION SELECT interval_no + 1, key FROM ki WHERE stream = 'words'"))
 def _(spark, d):
     k = K.key_intervals(K.key_hits(hourly_requests(spark, d))).where("stream = 'words'")
-    return k.where("interval_no = 30").select("key").union(k.where("interval_no = 31").select("key")).distinct()
+    # the keys of each pair of neighbouring intervals, by the later one
+    return k.select(F.explode(F.array("interval_no", F.col("interval_no") + 1)).alias("until"), "key").distinct()

@@ -192,12 +192,13 @@ def _(spark, d):
     return R.regex_keys(hourly_requests(spark, d), "Browser", R.BROWSER).groupBy("key").agg(F.count("*").alias("hits"))
 
 
-_CHANGES = "ch AS (SELECT line_id, CASE WHEN line_id % 2 = 0 THEN 'add' ELSE 'remove' END AS action, 'rule' || CAST((line_id // 2) % 9 AS VARCHAR) AS name FROM r WHERE line_id % 7 = 0), va AS (SELECT name, line_id AS valid_from, action, lead(line_id) OVER (PARTITION BY name ORDER BY line_id) AS valid_to FROM ch), v AS (SELECT name, valid_from, valid_to FROM va WHERE action = 'add')"
+#: Each line is a change of one of nine rules, dealt by its bytes.
+_CHANGES = "ch AS (SELECT line_id, CASE WHEN (bytes // 10) % 2 = 0 THEN 'add' ELSE 'remove' END AS action, 'rule' || CAST((bytes // 20) % 9 AS VARCHAR) AS name FROM r), va AS (SELECT name, line_id AS valid_from, action, lead(line_id) OVER (PARTITION BY name ORDER BY line_id) AS valid_to FROM ch), v AS (SELECT name, valid_from, valid_to FROM va WHERE action = 'add')"
 
 
 def _changes(spark, d):
-    r = requests_view(spark, d).where("line_id % 7 = 0")
-    return r.select("line_id", F.when(F.col("line_id") % 2 == 0, "add").otherwise("remove").alias("action"), F.concat(F.lit("rule"), (F.floor(F.col("line_id") / 2) % 9).cast("string")).alias("name"))
+    n = F.floor(F.col("bytes") / 10)
+    return requests_view(spark, d).select("line_id", F.when(n % 2 == 0, "add").otherwise("remove").alias("action"), F.concat(F.lit("rule"), (F.floor(n / 2) % 9).cast("string")).alias("name"))
 
 
 @query("m13_rule_validity", over_requests(f", {_CHANGES} SELECT name, valid_from, valid_to FROM v"))

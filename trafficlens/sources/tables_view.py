@@ -27,8 +27,8 @@ def dealt(df: DataFrame) -> DataFrame:
 def requests_view(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """(line_id, ts, ip, ip_prefix, request, status, bytes, referer, user_agent, ua_tokens, ua_token_count). events: a stream of them, or the table."""
     e, p = events if events is not None else dealt(spark.read.parquet(f"{sf_dir}/events.parquet").drop("props")), spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    # 25 pages are met, whatever the size of the tables
-    r = e.withColumn("page_id", F.col("event_id") % 25).join(F.broadcast(p.where("page_id between 0 and 24")), "page_id", "left")
+    # events go round all pages; their number is read from the file's footer, and Spark broadcasts the urls only where they are small
+    r = e.withColumn("page_id", F.col("event_id") % (p.count() or 1)).join(p, "page_id", "left")
     eid, uid = F.col("event_id"), F.col("user_id")
     agent = F.element_at(F.array(*map(F.lit, AGENTS)), (F.pmod(uid + F.when(eid % 23 == 0, 1).otherwise(0), F.lit(6)) + 1).cast("int"))
     text = lambda c: c.cast("string")

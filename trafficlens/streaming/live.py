@@ -76,18 +76,20 @@ def stream_alerts(lanes: DataFrame, rules: DataFrame, flux: int = 3) -> DataFram
     return joined.groupBy("lane", "direction", "threshold").applyInPandasWithState(step, "lane string, direction string, threshold long, interval_no long, value long, event string", "last boolean, streak long, active boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_key_retention(keys: DataFrame, quiet: int = 1) -> DataFrame:
+def stream_key_retention(keys: DataFrame, quiet: int | dict[str, int] = 1) -> DataFrame:
     """(stream, key, interval_no, island_start, hits): each key's island start kept as state; a longer quiet time starts it anew.
 
-    keys: a stream of (stream, key, interval_no, hits), closed intervals in order across batches.
+    keys: a stream of (stream, key, interval_no, hits), closed intervals in order across batches. quiet: the longest quiet time, or
+    that of each stream (1 where it has none).
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, start = state.get if state.exists else (-1, -1)
+        longest = quiet.get(key[0], 1) if isinstance(quiet, dict) else quiet
         rows = pd.concat(list(parts)).sort_values("interval_no")
         starts = []
         for k in rows["interval_no"]:
-            if start < 0 or k - last > quiet:
+            if start < 0 or k - last > longest:
                 start = int(k)
             last = int(k)
             starts.append(start)
@@ -109,10 +111,19 @@ def write_intervals(stream: DataFrame, path: str, checkpoint: str, then=None):
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over everything that is there and gives its result. For interval-sized results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Runs a stream over everything that is there and gives its result, as files in the shared folder; nothing passes the driver.
+
+    mode: complete (each batch replaces the result) or append. A batch that is run again writes the same files again.
+    """
+    folder = shared_folder(spark, name)
+    out = f"{folder}/rows"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")  # so that an empty stream has a result
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
