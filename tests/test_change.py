@@ -258,3 +258,11 @@ def test_silent_keys_stay_ranked_until_their_time_is_over(spark):
     }
     top = {r.interval_no: r.key for r in K.rank_keys(rows.where("stream = 'words'"), 1).collect()}
     assert top[1] == "a"  # silent, and yet first
+
+
+def test_agents_of_very_many_tokens(spark):
+    base = [f"t{i}" for i in range(700)]
+    other = base[:300] + ["new"] + base[350:]
+    rows = [(0, "1.1.1.1", 0, " ".join(base), base), (1, "1.1.1.1", 0, " ".join(other), other), (2, "1.1.1.1", 0, "", [])]
+    df = spark.createDataFrame(rows, "line_id long, ip string, interval_no long, user_agent string, ua_tokens array<string>")
+    assert {r.line_id: r.distance for r in K.with_agent_distance(df).collect()} == {0: 0.0, 1: round(50 / 700, 6), 2: 2.0}

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..sources.shared import written
 
 #: Component names in order, which decides ties.
 COMPONENTS = ["lines", "bytes", "avg bytes/line", "errs", "marked", "b16", "peak balance", "word wave"]
@@ -145,39 +146,92 @@ def dense_lanes(lanes: DataFrame, totals: DataFrame) -> DataFrame:
     return grid.join(lanes.select(F.col("name").alias("lane"), "interval_no", "hits"), ["lane", "interval_no"], "left").select("lane", "interval_no", F.coalesce("hits", F.lit(0)).alias("value"))
 
 
-def peak_lifecycle(keys: DataFrame, candidates: DataFrame, limit: int = 20, grace: int = 15) -> DataFrame:
-    """(stream, interval_no, key, contention): members of each stream's peak list after each interval.
+def peak_spells(keys: DataFrame, candidates: DataFrame, limit: int = 20, grace: int = 15, span: int = 10_000) -> DataFrame:
+    """(stream, key, first, until): each stay in a stream's peak list, from the close of interval first to before that of until.
 
+    keys: (stream, key, interval_no, hits), rows without hits allowed. candidates: (stream, key, interval_no, strength).
     Free places go to the strongest candidates (strength descending, key ascending); members are never displaced and retire after
-    grace intervals without hits. Only keys that are candidates at some time can ever be members, so the ordered replay sees those
-    rows alone; a stream's replay is one group of at most the candidate keys' intervals.
+    grace intervals without hits. When a key would retire depends on its own hits alone, so each candidate carries that interval.
+    Of an interval's candidates no more than limit are members and no more than limit can enter: the first 2 limit decide. They are
+    replayed in spans of intervals, so that a group has 2 limit span rows at most, and the members at a span's end, limit for each
+    stream, go on to the next.
+    """
+    hit = F.when(F.col("hits") > 0, F.col("interval_no"))
+    order = Window.partitionBy("stream", "key").orderBy("interval_no")
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    rows = keys.select("stream", "key", "interval_no", hit.alias("hit"), F.first(hit, ignorenulls=True).over(after).alias("next"))
+    ends = F.when(F.col("hit").isNotNull() & (F.col("next").isNull() | (F.col("next") - F.col("hit") > grace)), F.col("hit") + grace)
+    rows = rows.withColumn("ends", ends)
+    until = F.when(F.col("hit").isNotNull(), F.first("ends", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    holds = rows.withColumn("until", until).select("stream", "key", "interval_no", F.last("until", ignorenulls=True).over(before).alias("until"))
+    best = Window.partitionBy("stream", "interval_no").orderBy(F.desc("strength"), "key")
+    first = candidates.select("stream", "key", "interval_no", "strength").withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2 * limit)
+    first = written(first.join(holds, ["stream", "key", "interval_no"]), "peak-candidates")
+    lo, hi = first.agg(F.min("interval_no"), F.max("interval_no")).first()
+    spells, members = None, []
+    for start in range(lo, hi + 1, span) if lo is not None else []:
+        part = first.where((F.col("interval_no") >= start) & (F.col("interval_no") < start + span))
+        found = written(part.groupBy("stream").applyInPandas(_replay(limit, members), "stream string, key string, first long, until long"), "peak-spells")
+        spells = found if spells is None else spells.unionByName(found)
+        if start + span <= hi:
+            members = [m for m in members if m[3] > start + span] + [tuple(r) for r in found.where(F.col("until") > start + span).collect()]
+    return spells if spells is not None else candidates.sparkSession.createDataFrame([], "stream string, key string, first long, until long")
+
+
+def _replay(limit: int, members: list[tuple]):
+    """Enters a stream's candidates in order; members: (stream, key, first, until) from the spans before."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        stream = rows["stream"].iloc[0]
+        until = {m[1]: m[3] for m in members if m[0] == stream}
+        out = []
+        for now, g in rows.sort_values(["interval_no", "place"]).groupby("interval_no"):
+            until = {k: u for k, u in until.items() if u > now}
+            for key, u in zip(g["key"], g["until"], strict=True):
+                if len(until) >= limit:
+                    break
+                if key not in until:
+                    until[key] = u
+                    out.append((stream, key, now, u))
+        return pd.DataFrame(out, columns=["stream", "key", "first", "until"])
+
+    return run
+
+
+def members_after(spells: DataFrame, last: DataFrame) -> DataFrame:
+    """(stream, interval_no, key): the members after each interval's close. last: one row, last_no, the last interval."""
+    rows = spells.crossJoin(F.broadcast(last)).where(F.col("first") <= F.col("last_no"))
+    return rows.select("stream", F.explode(F.sequence("first", F.least(F.col("until") - 1, F.col("last_no")))).alias("interval_no"), "key")
+
+
+def members_before(spells: DataFrame, last: DataFrame) -> DataFrame:
+    """(stream, interval_no, key): the members before each interval's close, which are those after the close of the one before."""
+    return members_after(spells, last).withColumn("interval_no", F.col("interval_no") + 1)
+
+
+def peak_lifecycle(keys: DataFrame, candidates: DataFrame, limit: int = 20, grace: int = 15, span: int = 10_000) -> DataFrame:
+    """(stream, interval_no, key, contention): members of each stream's peak list after each interval.
+
+    contention: candidates of that interval that were neither members nor admitted.
+    """
+    spells = peak_spells(keys, candidates, limit, grace, span)
+    members = members_after(spells, keys.agg(F.max("interval_no").alias("last_no")))
+    held = spells.select("stream", "key", "first", "until")
+    outside = candidates.select("stream", "key", "interval_no").join(held, ["stream", "key"], "left").groupBy("stream", "key", "interval_no").agg(F.max(F.coalesce((F.col("first") <= F.col("interval_no")) & (F.col("until") > F.col("interval_no")), F.lit(False))).alias("inside"))
+    refused = outside.groupBy("stream", "interval_no").agg(F.count_if(~F.col("inside")).alias("contention"))
+    return members.join(refused, ["stream", "interval_no"], "left").select("stream", "interval_no", "key", F.coalesce("contention", F.lit(0)).cast("long").alias("contention"))
+
+
+def change_inputs(ranked: DataFrame, hits: DataFrame, before: DataFrame) -> DataFrame:
+    """(stream, key, interval_no, hits): what an interval's distributions consist of, the peaks of each stream and the `wave`.
+
+    before: members before each close (members_before), at most 25 for each stream. hits: (stream, key, interval_no, hits).
+    ranked: the first 25 keys of each stream and interval; the words among them that are no peaks are the wave. Keys without hits
+    have no share.
     """
-    ever = candidates.select("stream", "key").distinct()
-    rows = keys.select("stream", "key", "interval_no", "hits").join(ever, ["stream", "key"]).join(candidates.select("stream", "key", "interval_no", "strength"), ["stream", "key", "interval_no"], "left")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["interval_no", "key"])
-        stream, last_seen, out = pdf["stream"].iloc[0], {}, []
-        groups = {int(k): g for k, g in pdf.groupby("interval_no")}
-        for now in range(min(groups), max(groups) + 1):
-            g = groups.get(now)
-            here = set(g["key"]) if g is not None else set()
-            for k in here & set(last_seen):
-                last_seen[k] = now
-            for k in [k for k, seen in last_seen.items() if now - seen >= grace]:
-                del last_seen[k]
-            refused = 0
-            if g is not None:
-                wanted = [(-s, k) for k, s in zip(g["key"], g["strength"], strict=True) if pd.notna(s) and k not in last_seen]
-                wanted.sort()
-                free = max(0, limit - len(last_seen))
-                for _, k in wanted[:free]:
-                    last_seen[k] = now
-                refused = max(0, len(wanted) - free)
-            out += [(stream, now, k, refused) for k in sorted(last_seen)]
-        return pd.DataFrame(out, columns=["stream", "interval_no", "key", "contention"])
-
-    return rows.groupBy("stream").applyInPandas(replay, "stream string, interval_no long, key string, contention long")
+    peaks = hits.select("stream", "key", "interval_no", "hits").join(before, ["stream", "key", "interval_no"], "left_semi")
+    wave = word_wave(ranked, before).select(F.lit("wave").alias("stream"), "key", "interval_no", "hits")
+    return peaks.unionByName(wave).where("hits > 0")
 
 
 def peak_counts(peaks: DataFrame, depth: int = 80) -> DataFrame:

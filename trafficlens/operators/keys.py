@@ -61,15 +61,15 @@ def retention_islands(keys: DataFrame, push: int = 5, interval_seconds: int = 60
     return out.withColumn("island_start", F.last("new_at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new_at")
 
 
-def with_silent(islands: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:
+def with_silent(islands: DataFrame, push: int = 5, interval_seconds: int = 60, closing: bool = False) -> DataFrame:
     """Adds a row without hits for each quiet interval through which a key is still retained.
 
     There it ranks by what its last intervals hold, and counts among the retained keys; agent_delta, if there, stays what it was.
-    The end of the table ends retention.
+    The end of the table ends retention. closing: only the intervals whose close the key lives to see, one less.
     """
     order = Window.partitionBy("stream", "key").orderBy("interval_no")
     here, last = F.col("interval_no"), islands.agg(F.max("interval_no").alias("last_no"))  # one row
-    until = F.least(here + F.floor(ttl_column(push) / interval_seconds), F.col("next_no") - 1, F.col("last_no"))
+    until = F.least(here + F.floor(ttl_column(push) / interval_seconds) - int(closing), F.col("next_no") - 1, F.col("last_no"))
     rows = islands.withColumn("next_no", F.lead("interval_no").over(order)).crossJoin(F.broadcast(last))
     rows = rows.withColumn("at", F.explode(F.sequence(here, F.greatest(until, here))))
     kept = ("stream", "key", "island_start", "agent_delta")
@@ -138,18 +138,41 @@ def norm_denominator(totals: DataFrame, flux: int = 3) -> DataFrame:
     return peaks.select("interval_no", F.round(out, 6).alias("denominator"))
 
 
-def peak_candidates(scored: DataFrame, denominators: DataFrame, line_means: DataFrame, grace: int = 15) -> DataFrame:
-    """Rows whose key may become a peak at the close of their interval."""
-    j = scored.join(F.broadcast(denominators), "interval_no").join(F.broadcast(line_means), "interval_no")
-    strong = (F.col("stream") != "ips") & (F.col("strength") / F.col("denominator") >= 1)
-    busy = (F.col("stream") == "ips") & (((F.col("hits") > 10) & (F.col("burst") >= 1)) | (F.col("hits") > F.col("line_mean") / 10))
-    return j.where((F.col("depth") >= grace) & (strong | busy)).select("stream", "key", "interval_no", "hits", "strength", "burst")
+def closed_state(retained: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Adds depth, burst and strength as they are when an interval has just closed: it belongs to the history already.
+
+    retained: rows of with_silent(closing=True); agent_delta counts where it is there.
+    """
+    past = Window.partitionBy("stream", "key", "island_start").orderBy("interval_no").rangeBetween(1 - depth, 0)
+    rows = retained.select(
+        "*",
+        F.least(F.lit(depth), F.col("interval_no") - F.col("island_start") + 1).alias("depth"),
+        F.sum("hits").over(past).alias("history_total"),
+        F.sum(F.col("hits") * F.col("hits")).over(past).alias("history_squares"),
+    )
+    t, q, d = F.col("history_total"), F.col("history_squares"), F.col("depth")
+    delta = F.col("agent_delta") if "agent_delta" in retained.columns else None
+    return rows.withColumn("burst", F.round(burstiness(t, q, d, delta), 6)).withColumn("strength", F.round(normalized_strength(t, d, F.col("hits"), delta), 6))
 
 
-def line_means(totals: DataFrame) -> DataFrame:
-    """(interval_no, line_mean): mean of the last three running maxima of lines."""
+def peak_candidates(closed: DataFrame, denominators: DataFrame, line_means: DataFrame, grace: int = 15) -> DataFrame:
+    """Rows of closed_state whose key may become a peak at the close of their interval, with the strength that orders them.
+
+    Words and referers need a strength of the denominator at least. Addresses need more than 10 hits and a burst of 1, or more hits
+    than a tenth of line_mean; their strength is their number of hits.
+    """
+    j = closed.join(F.broadcast(denominators), "interval_no").join(F.broadcast(line_means), "interval_no")
+    ips = F.col("stream") == "ips"
+    strong = ~ips & (F.col("strength") / F.col("denominator") >= 1)
+    busy = ips & (((F.col("hits") > 10) & (F.col("burst") >= 1)) | (F.col("hits") > F.col("line_mean") / 10))
+    strength = F.when(ips, F.col("hits").cast("double")).otherwise(F.col("strength"))
+    return j.where((F.col("depth") >= grace) & (strong | busy)).select("stream", "key", "interval_no", "hits", strength.alias("strength"), "burst")
+
+
+def line_means(totals: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(interval_no, line_mean): mean of the last three maxima of lines, each over the intervals completed before it."""
     order = Window.orderBy("interval_no")
-    top = totals.select("interval_no", F.max("n_lines").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("top"))
+    top = totals.select("interval_no", F.coalesce(F.max("n_lines").over(order.rowsBetween(-depth, -1)), F.lit(0)).alias("top"))
     return top.select("interval_no", F.round(F.avg("top").over(order.rowsBetween(-2, 0)), 6).alias("line_mean"))
 
 
@@ -225,29 +248,39 @@ def key_history(islands: DataFrame, at: Column | None = None, depth: int = DEPTH
     return grid.select("stream", "key", F.when(first < end, filled).otherwise(F.array().cast("array<bigint>")).alias("history"))
 
 
-def agent_distance(requests: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:
-    """(line_id, ip, interval_no, distance): token edit distance of an agent from the first one retained for its address.
+def first_agents(requests: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:
+    """(ip, interval_no, first_line_id, first_agent, first_tokens): the first line retained for an address, for each interval with lines of it."""
+    per = requests.groupBy(F.lit("ips").alias("stream"), F.col("ip").alias("key"), "interval_no").agg(F.min(F.struct("line_id", "user_agent", "ua_tokens")).alias("begun"))
+    island = Window.partitionBy("stream", "key", "island_start").orderBy("interval_no")
+    first = F.first("begun").over(island)
+    return retention_islands(per, push, interval_seconds).select(F.col("key").alias("ip"), "interval_no", first["line_id"].alias("first_line_id"), first["user_agent"].alias("first_agent"), first["ua_tokens"].alias("first_tokens"))
+
 
-    Tokens become single characters, so that the built-in distance applies; more than 255 distinct tokens give null. Only lines of
-    a known address whose agent text differs are listed.
+def token_distance(a: Column, b: Column) -> Column:
+    """Edits that turn one list of tokens into the other, by the length of the first; 2 where either is empty.
+
+    Tokens become single characters of two bytes each, so that the built-in distance applies; about 55,000 different ones can be told
+    apart, and more give null.
     """
-    hits = requests.select(F.lit("ips").alias("stream"), F.col("ip").alias("key"), "interval_no", "line_id", "user_agent", "ua_tokens")
-    per = hits.groupBy("stream", "key", "interval_no").agg(F.min("line_id").alias("first_line_id"), F.min_by(F.struct("user_agent", "ua_tokens"), "line_id").alias("first"))
-    base = retention_islands(per, push, interval_seconds)
-    first = base.where("interval_no = island_start").select("key", "island_start", "first", "first_line_id")
-    j = hits.join(base.select("key", "interval_no", "island_start"), ["key", "interval_no"]).join(first, ["key", "island_start"])
-    j = j.where((F.col("line_id") > F.col("first_line_id")) & (F.col("user_agent") != F.col("first.user_agent")))
-    a, b = F.col("first.ua_tokens"), F.col("ua_tokens")
     words = F.array_distinct(F.concat(a, b))
-    code = lambda t: F.array_join(F.transform(t, lambda x: F.chr(F.array_position(words, x))), "")
-    distance = F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(2.0)).when(F.size(words) <= 255, F.levenshtein(code(a), code(b)) / F.size(a))
-    return j.select("line_id", F.col("key").alias("ip"), "interval_no", F.round(distance, 6).alias("distance"))
+    code = lambda t: F.decode(F.unhex(F.array_join(F.transform(t, lambda x: F.lpad(F.hex(F.array_position(words, x) + 255), 4, "0")), "")), "UTF-16BE")
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(2.0)).when(F.size(words) <= 55_000, F.levenshtein(code(a), code(b)) / F.size(a))
 
 
 def with_agent_distance(requests: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:
-    """Adds distance: that of agent_distance, 0 for the lines it does not list."""
-    d = agent_distance(requests, push, interval_seconds).select("line_id", "distance")
-    return requests.join(d, "line_id", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+    """Adds distance: token edit distance of a line's agent from the first one retained for its address; 0 for that line and its like.
+
+    One join of the lines, by address and interval, to the first agents; Spark splits an address with very many lines.
+    """
+    j = requests.join(first_agents(requests, push, interval_seconds), ["ip", "interval_no"], "left")
+    differs = (F.col("line_id") > F.col("first_line_id")) & (F.col("user_agent") != F.col("first_agent"))
+    distance = F.when(differs, F.round(token_distance(F.col("first_tokens"), F.col("ua_tokens")), 6)).otherwise(0.0)
+    return j.select(*requests.columns, distance.alias("distance"), differs.alias("agent_differs"))
+
+
+def agent_distance(requests: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:
+    """(line_id, ip, interval_no, distance) of the lines of a known address whose agent text differs from its first one."""
+    return with_agent_distance(requests, push, interval_seconds).where("agent_differs").select("line_id", "ip", "interval_no", "distance")
 
 
 def agent_delta(requests: DataFrame, distances: DataFrame, push: int = 5, interval_seconds: int = 60) -> DataFrame:
@@ -257,6 +290,11 @@ def agent_delta(requests: DataFrame, distances: DataFrame, push: int = 5, interv
     return with_agent_delta(retention_islands(per, push, interval_seconds)).select(F.col("key").alias("ip"), "interval_no", F.round("agent_delta", 6).alias("agent_delta"))
 
 
+def most_volatile(lanes: DataFrame, n_intervals: Column, k: int = 3) -> DataFrame:
+    """The k lanes of highest spikiness over all intervals; lanes without any are left out."""
+    return lane_volatility(lanes, n_intervals).where("spikiness > 0").orderBy(F.desc("spikiness"), "name").limit(k)
+
+
 def most_active(lanes: DataFrame, k: int = 3) -> DataFrame:
     """The k lanes with the highest last and current count together."""
     order = Window.partitionBy("name").orderBy(F.desc("interval_no"))

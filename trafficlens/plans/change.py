@@ -9,9 +9,10 @@ from ..operators import change as C
 from ..operators import intervals as I
 from ..operators import keys as K
 from ..operators import rules as R
+from ..sources.shared import written
 from ..sources.tables_view import hourly_requests
 from .common import over_requests, query
-from .keys import KEYS, agent_scored, key_intervals, scored
+from .keys import CANDIDATES, KEYS, _silent, _state, agent_islands, candidates, key_intervals
 from .requests import CLAIMED, COMPETE, TOTALS, known, lanes, totals
 
 
@@ -48,10 +49,6 @@ def shape(spark, d):
     return C.change_shape(I.interval_totals(k), I.marked_share(k), I.token_band_breakdown(k))
 
 
-def distances(spark, d):
-    return C.distribution_distance(key_intervals(spark, d)).select(F.col("stream").alias("part"), "interval_no", "distance")
-
-
 @query("c1_c2_soft_scores", over_requests(TOTALS + f", p AS (SELECT interval_no, n_lines, bytes, lag(n_lines) OVER (ORDER BY interval_no) AS n0, lag(bytes) OVER (ORDER BY interval_no) AS b0 FROM t) SELECT interval_no, round({_rel('n0', 'n_lines', 10, 0.25)}, 6) AS lines_score, round({_soft('abs(n0 - n_lines)', 4)}, 6) AS points_score FROM p WHERE n0 IS NOT NULL"))
 def _(spark, d):
     from pyspark.sql import Window
@@ -70,15 +67,6 @@ def _(spark, d):
     return C.change_scores(shape(spark, d)).select("interval_no", "score", "primary")
 
 
-_WITH_DIST = f" UNION ALL SELECT pr.interval_no, 'peak balance', 6, greatest({_soft('wd.words', 0.10)}, 0.80 * {_soft('wd.refs', 0.12)}, 0.40 * {_soft('wd.ips', 0.25)}) FROM pr JOIN wd ON wd.interval_no = pr.interval_no WHERE n_lines0 IS NOT NULL"
-_WIDE = ", wd AS (SELECT interval_no, coalesce(max(CASE WHEN stream = 'words' THEN distance END), 0.0) AS words, coalesce(max(CASE WHEN stream = 'refs' THEN distance END), 0.0) AS refs, coalesce(max(CASE WHEN stream = 'ips' THEN distance END), 0.0) AS ips FROM dd GROUP BY 1)"
-
-
-@query("c4_c5_change_scores_full", over_requests(CLAIMED + SHAPE + KEYS + DIST + _WIDE + _scores(_WITH_DIST, "pr") + " SELECT * FROM cs"))
-def _(spark, d):
-    return C.change_scores(shape(spark, d), distances(spark, d)).select("interval_no", "score", "primary")
-
-
 @query("c6_change_reset", over_requests(TOTALS + ", pl AS (SELECT interval_no, row_number() OVER (ORDER BY interval_no) AS place FROM t), pu AS (SELECT *, CASE WHEN interval_no % 50 = 7 THEN place END AS pp FROM pl) SELECT interval_no, coalesce(place - max(pp) OVER (ORDER BY interval_no) < 2, FALSE) AS reset FROM pu"))
 def _(spark, d):
     t = totals(spark, d).select("interval_no")
@@ -127,28 +115,76 @@ def _(spark, d):
     return C.active_alerts(states(spark, d))
 
 
-def candidates(spark, d):
-    t = totals(spark, d)
-    return K.peak_candidates(agent_scored(spark, d), K.norm_denominator(t), K.line_means(t), 4)
+#: Peak lists: each key's hits in runs without more than 15 empty intervals; the strongest candidates of each interval enter the places
+#: that are free, walked interval by interval.
+PEAKS = CANDIDATES + """, hn AS (SELECT stream, key, interval_no, lead(interval_no) OVER (PARTITION BY stream, key ORDER BY interval_no) AS nx FROM ki),
+he AS (SELECT *, CASE WHEN nx IS NULL OR nx - interval_no > 15 THEN interval_no + 15 END AS ends FROM hn),
+hu AS (SELECT stream, key, interval_no, first_value(ends IGNORE NULLS) OVER (PARTITION BY stream, key ORDER BY interval_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS until FROM he),
+cl AS MATERIALIZED (SELECT pcd.stream, pcd.interval_no, list({'key': pcd.key, 'until': until} ORDER BY strength DESC, pcd.key) AS cs, row_number() OVER (PARTITION BY pcd.stream ORDER BY pcd.interval_no) AS step FROM pcd JOIN hu ON hu.stream = pcd.stream AND hu.key = pcd.key AND hu.interval_no = pcd.interval_no GROUP BY pcd.stream, pcd.interval_no),
+wk AS MATERIALIZED (WITH RECURSIVE walk AS (SELECT stream, step, interval_no, cs[1:5] AS entered, cs[1:5] AS held, len(cs) - len(cs[1:5]) AS contention FROM cl WHERE step = 1
+ UNION ALL SELECT stream, step, interval_no, wanted[1:5 - len(stay)], list_concat(stay, wanted[1:5 - len(stay)]), len(wanted) - len(wanted[1:5 - len(stay)]) FROM (
+  SELECT *, list_filter(cs, lambda c: NOT list_contains(list_transform(stay, lambda m: m.key), c.key)) AS wanted FROM (
+   SELECT cl.stream, cl.step, cl.interval_no, cl.cs, list_filter(walk.held, lambda m: m.until > cl.interval_no) AS stay FROM walk JOIN cl ON cl.stream = walk.stream AND cl.step = walk.step + 1))) SELECT * FROM walk),
+sp AS (SELECT stream, interval_no AS first, unnest(entered, recursive := true) FROM wk),
+pm AS (SELECT sp.stream, sp.key, n.interval_no FROM sp JOIN (SELECT unnest(range((SELECT max(interval_no) + 1 FROM r))) AS interval_no) n ON n.interval_no >= first AND n.interval_no < until),
+pk AS (SELECT pm.stream, pm.interval_no, pm.key, CAST(coalesce(contention, 0) AS BIGINT) AS contention FROM pm LEFT JOIN wk ON wk.stream = pm.stream AND wk.interval_no = pm.interval_no)"""
+#: What an interval's distributions consist of: peaks before its close, and of the first 25 words those that are none.
+INPUTS = PEAKS + _silent("il", "ia") + _state("ia", "ka") + """, pb AS (SELECT stream, key, interval_no + 1 AS interval_no FROM pm),
+wv AS (SELECT key, interval_no, hits, score, place FROM (SELECT *, row_number() OVER (PARTITION BY stream, interval_no ORDER BY score DESC, key) AS place FROM ka WHERE stream = 'words' QUALIFY place <= 25) w ANTI JOIN (SELECT * FROM pb WHERE stream = 'words') p ON p.key = w.key AND p.interval_no = w.interval_no),
+ci AS (SELECT ki.stream, ki.key, ki.interval_no, ki.hits FROM ki SEMI JOIN pb ON pb.stream = ki.stream AND pb.key = ki.key AND pb.interval_no = ki.interval_no UNION ALL SELECT 'wave', key, interval_no, hits FROM wv WHERE hits > 0)"""
+
+
+def _peak_parts(spark, d):
+    """(rows of keys with hits, spells in the peak lists, the last interval); the rows are computed once."""
+    rows = written(agent_islands(spark, d), "key-islands")
+    return rows, C.peak_spells(rows, candidates(spark, d, rows), 5, 15), rows.agg(F.max("interval_no").alias("last_no"))
 
 
 def peaks(spark, d):
-    return C.peak_lifecycle(key_intervals(spark, d), candidates(spark, d), 5, 15)
+    rows = written(agent_islands(spark, d), "key-islands")
+    return C.peak_lifecycle(rows, written(candidates(spark, d, rows), "candidates"), 5, 15)
 
 
-@query("w12_peak_lifecycle")
+@query("w12_peak_lifecycle", over_requests(PEAKS + " SELECT stream, interval_no, key, contention FROM pk"))
 def _(spark, d):
     return peaks(spark, d)
 
 
-@query("w20_peak_counts")
+@query("w20_peak_counts", over_requests(PEAKS + ", n AS (SELECT stream, interval_no, count(*) AS members FROM pk GROUP BY ALL) SELECT stream, interval_no, members, round(avg(members) OVER (PARTITION BY stream ORDER BY interval_no RANGE BETWEEN 79 PRECEDING AND CURRENT ROW), 6) AS mean_members FROM n"))
 def _(spark, d):
     return C.peak_counts(peaks(spark, d))
 
 
-@query("j8_c5_word_wave")
+def _ranked(rows):
+    return K.rank_keys(K.with_scores(K.key_state(K.with_silent(rows.drop("agent_delta"), 5, 60))))
+
+
+@query("j8_c5_word_wave", over_requests(INPUTS + " SELECT key, interval_no, score, place FROM wv"))
+def _(spark, d):
+    rows, spells, last = _peak_parts(spark, d)
+    return C.word_wave(_ranked(rows), C.members_before(spells, last)).select("key", "interval_no", "score", "place")
+
+
+_FULL = CLAIMED + INPUTS + SHAPE.removeprefix(TOTALS) + DIST.replace("FROM ki)", "FROM ci)")
+_WITH_DIST = f" UNION ALL SELECT pr.interval_no, 'peak balance', 6, greatest({_soft('coalesce(wd.words, 0.0)', 0.10)}, 0.80 * {_soft('coalesce(wd.refs, 0.0)', 0.12)}, 0.40 * {_soft('coalesce(wd.ips, 0.0)', 0.25)}) FROM pr LEFT JOIN wd ON wd.interval_no = pr.interval_no WHERE n_lines0 IS NOT NULL UNION ALL SELECT pr.interval_no, 'word wave', 7, 0.75 * {_soft('coalesce(wd.wave, 0.0)', 0.30)} FROM pr LEFT JOIN wd ON wd.interval_no = pr.interval_no WHERE n_lines0 IS NOT NULL"
+_WIDE = ", wd AS (SELECT interval_no, " + ", ".join(f"max(CASE WHEN stream = '{p}' THEN distance END) AS {p}" for p in ("words", "refs", "ips", "wave")) + " FROM dd GROUP BY 1)"
+
+
+def input_distances(spark, d):
+    """(part, interval_no, distance) of the peaks of the three streams and of the wave."""
+    rows, spells, last = _peak_parts(spark, d)
+    inputs = C.change_inputs(_ranked(rows), rows, C.members_before(spells, last))
+    return C.distribution_distance(inputs).select(F.col("stream").alias("part"), "interval_no", "distance")
+
+
+@query("c5_change_inputs", over_requests(_FULL + " SELECT stream AS part, interval_no, round(distance, 6) AS distance FROM dd"))
+def _(spark, d):
+    return input_distances(spark, d).withColumn("distance", F.round("distance", 6))
+
+
+@query("c4_c5_change_scores_full", over_requests(_FULL + _WIDE + _scores(_WITH_DIST, "pr") + " SELECT * FROM cs"))
 def _(spark, d):
-    return C.word_wave(K.rank_keys(scored(spark, d)), peaks(spark, d)).select("key", "interval_no", "score", "place")
+    return C.change_scores(shape(spark, d), input_distances(spark, d)).select("interval_no", "score", "primary")
 
 
 @query("w17_promote_bots")

@@ -35,11 +35,11 @@ def _state(rows: str, out: str, delta: str = "") -> str:
 KEYS += _state("il", "ks")
 
 
-def _silent(rows: str, out: str, more: str = "") -> str:
+def _silent(rows: str, out: str, more: str = "", keep: str = _KEEP) -> str:
     """rows and those retained in silence (out): a row for each interval that a key is retained in. more: columns that silence keeps."""
     return f""", {out} AS (SELECT stream, key, interval_no, hits, bytes, island_start{more} FROM {rows} UNION ALL
  SELECT stream, key, n.interval_no, 0, 0, island_start{more} FROM (SELECT *, lead(interval_no) OVER (PARTITION BY stream, key ORDER BY interval_no) AS next_no FROM {rows}) q JOIN (SELECT unnest(range((SELECT max(interval_no) + 1 FROM r))) AS interval_no) n
- ON n.interval_no > q.interval_no AND n.interval_no <= q.interval_no + {_KEEP} AND (q.next_no IS NULL OR n.interval_no < q.next_no))"""
+ ON n.interval_no > q.interval_no AND n.interval_no <= q.interval_no + {keep} AND (q.next_no IS NULL OR n.interval_no < q.next_no))"""
 
 
 RETAINED = KEYS + _silent("il", "ia") + _state("ia", "ka")
@@ -56,9 +56,16 @@ ad1 AS (WITH RECURSIVE walk AS (SELECT stream, key, island_start, interval_no, s
 id AS (SELECT il.*, agent_delta FROM il JOIN ad1 ON ad1.stream = il.stream AND ad1.key = il.key AND ad1.interval_no = il.interval_no)"""
 MOVED = DELTAS + _state("id", "kd", " * (1 + agent_delta)")
 MOVED_RETAINED = DELTAS + _silent("id", "ib", ", agent_delta") + _state("ib", "kb", " * (1 + agent_delta)")
-NORM = TOTALS + """, tp AS (SELECT interval_no, n_lines, coalesce(max(n_lines) OVER (ORDER BY interval_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top, max(n_lines) OVER (ORDER BY interval_no) AS top_now FROM t),
+#: The state of keys that live to see an interval's close, that interval included.
+CLOSED = DELTAS + _silent("id", "ic", ", agent_delta", f"{_KEEP} - 1") + """, kc0 AS (SELECT *, least(80, interval_no - island_start + 1) AS depth, CAST(sum(hits) OVER w AS BIGINT) AS total, CAST(sum(hits * hits) OVER w AS BIGINT) AS squares FROM ic
+ WINDOW w AS (PARTITION BY stream, key, island_start ORDER BY interval_no RANGE BETWEEN 79 PRECEDING AND CURRENT ROW)),
+kc AS (SELECT *, CASE WHEN depth <= 1 OR total = 0 THEN 0.0 ELSE round(sqrt(greatest(squares / depth - (total / depth) * (total / depth), 0.0)) / (total / depth) * depth / 80 * (1 + agent_delta), 6) END AS burst, round(total / depth * (1 + agent_delta), 6) AS strength FROM kc0)"""
+NORM = TOTALS + """, tp AS (SELECT interval_no, n_lines, coalesce(max(n_lines) OVER (ORDER BY interval_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top, coalesce(max(n_lines) OVER (ORDER BY interval_no ROWS BETWEEN 80 PRECEDING AND 1 PRECEDING), 0) AS recent_top FROM t),
 nd AS (SELECT interval_no, round(CASE WHEN top = 0 THEN avg(n_lines) OVER (ORDER BY interval_no ROWS 4 PRECEDING) / 10 ELSE (sum(top) OVER (ORDER BY interval_no ROWS 2 PRECEDING) + 2 * avg(n_lines) OVER (ORDER BY interval_no ROWS 4 PRECEDING)) / 50 END, 6) AS denominator,
- round(avg(top_now) OVER (ORDER BY interval_no ROWS 2 PRECEDING), 6) AS line_mean FROM tp)"""
+ round(avg(recent_top) OVER (ORDER BY interval_no ROWS 2 PRECEDING), 6) AS line_mean FROM tp)"""
+
+CANDIDATES = CLOSED + NORM + """, pcd AS (SELECT stream, key, interval_no, hits, CASE WHEN stream = 'ips' THEN CAST(hits AS DOUBLE) ELSE strength END AS strength, burst FROM kc JOIN nd USING (interval_no)
+ WHERE depth >= 4 AND ((stream <> 'ips' AND strength / denominator >= 1) OR (stream = 'ips' AND ((hits > 10 AND burst >= 1) OR hits > line_mean / 10))))"""
 
 #: The mean of the last three highest lane maxima, over all compete lanes; an absent lane has 0 hits.
 MAXIMA = f""", lg AS (SELECT n.name, x.interval_no FROM (SELECT unnest({COMPETE}) AS name) n, (SELECT unnest(range((SELECT max(interval_no) + 1 FROM r))) AS interval_no) x),
@@ -99,6 +106,11 @@ def agent_retained(spark, d):
     return K.with_scores(K.key_state(K.with_silent(agent_islands(spark, d), 5, 60)))
 
 
+def candidates(spark, d, islands):
+    t = totals(spark, d)
+    return K.peak_candidates(K.closed_state(K.with_silent(islands, 5, 60, closing=True)), K.norm_denominator(t), K.line_means(t), 4)
+
+
 @query("g12_u1_key_intervals", over_requests(KEYS + " SELECT * FROM ki"))
 def _(spark, d):
     return key_intervals(spark, d)
@@ -135,10 +147,21 @@ def _(spark, d):
     return agent_scored(spark, d).select("stream", "key", "interval_no", "burst", "strength", "score")
 
 
-@query("w6_lane_volatility", over_requests(CLAIMED + ", n AS (SELECT max(interval_no) + 1 AS k FROM r), g AS (SELECT name, max(hits) AS peak, sum(hits) AS total, sum(hits * hits) AS squares FROM lanes GROUP BY name) SELECT name, round(CASE WHEN peak < 10 OR peak <= total / k THEN 0.0 ELSE (peak - total / k) * ln(peak) END, 6) AS spikiness, round(sqrt(greatest(squares / k - (total / k) * (total / k), 0.0)) / (total / k), 6) AS burstiness FROM g, n"))
+_VOLATILE = CLAIMED + ", n AS (SELECT max(interval_no) + 1 AS k FROM r), g AS (SELECT name, max(hits) AS peak, sum(hits) AS total, sum(hits * hits) AS squares FROM lanes GROUP BY name), vo AS (SELECT name, round(CASE WHEN peak < 10 OR peak <= total / k THEN 0.0 ELSE (peak - total / k) * ln(peak) END, 6) AS spikiness, round(sqrt(greatest(squares / k - (total / k) * (total / k), 0.0)) / (total / k), 6) AS burstiness FROM g, n)"
+
+
+def _n_intervals(spark, d):
+    return F.lit(hourly_requests(spark, d).agg((F.max("interval_no") + 1).alias("n")).first()["n"] or 1)  # one number
+
+
+@query("w6_lane_volatility", over_requests(_VOLATILE + " SELECT * FROM vo"))
+def _(spark, d):
+    return K.lane_volatility(lanes(spark, d), _n_intervals(spark, d))
+
+
+@query("w19_most_volatile", over_requests(_VOLATILE + " SELECT * FROM vo WHERE spikiness > 0 ORDER BY spikiness DESC, name LIMIT 3"))
 def _(spark, d):
-    n = hourly_requests(spark, d).agg((F.max("interval_no") + 1).alias("n")).first()["n"]  # one number
-    return K.lane_volatility(lanes(spark, d), F.lit(n or 1))
+    return K.most_volatile(lanes(spark, d), _n_intervals(spark, d))
 
 
 @query("w7_agent_distance", over_requests(DELTAS + " SELECT line_id, ip, interval_no, distance FROM ad"))
@@ -157,10 +180,9 @@ def _(spark, d):
     return K.norm_denominator(totals(spark, d))
 
 
-@query("w11_peak_candidates", over_requests(MOVED + NORM + " SELECT stream, key, interval_no, hits, strength, burst FROM kd JOIN nd USING (interval_no) WHERE depth >= 4 AND ((stream <> 'ips' AND strength / denominator >= 1) OR (stream = 'ips' AND ((hits > 10 AND burst >= 1) OR hits > line_mean / 10)))"))
+@query("w11_peak_candidates", over_requests(CANDIDATES + " SELECT stream, key, interval_no, hits, strength, burst FROM pcd"))
 def _(spark, d):
-    t = totals(spark, d)
-    return K.peak_candidates(agent_scored(spark, d), K.norm_denominator(t), K.line_means(t), 4)
+    return candidates(spark, d, agent_islands(spark, d))
 
 
 @query("w13_t1_rank_keys", over_requests(RETAINED + " SELECT stream, key, interval_no, score, row_number() OVER (PARTITION BY stream, interval_no ORDER BY score DESC, key) AS place FROM ka QUALIFY place <= 10"))

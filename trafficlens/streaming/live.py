@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
+from ..sources.shared import shared_folder
 
 
 def stream_interval_totals(requests: DataFrame, interval: str = "1 minute", late: str = "1 minute") -> DataFrame:
@@ -126,12 +125,6 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str) -
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, in spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def replay(spark: SparkSession, df: DataFrame, order: str, parts: int = 3) -> DataFrame:
     """A table as a stream in so many batches, cut by ascending order: each batch is one file."""
     path = shared_folder(spark, "replay")
