@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from trafficlens.functions import text as T
@@ -126,3 +128,35 @@ def test_literal_rules_equal_the_table_form(spark, monkeypatch):
     assert want == {0: ["h", "w", "x", "s"], 1: ["e", "p", "h", "w", "s"], 2: ["p", "b", "x"], 3: ["p", "h", "r", "x", "s"]}
     monkeypatch.setattr(R, "INLINE_RULES", 0)
     assert get() == want
+
+
+def test_a_regex_rule_counts_addresses_until_another_key_turns_it(spark):
+    import random
+
+    rng = random.Random(8)
+    ips = ["1.1.1.1", "1.1.1.2", "2.2.2.2"]
+    for turn_from in (0, 25, 1000):
+        lines = []
+        for i in range(60):
+            ip = rng.choice(ips)
+            keys = [ip] if rng.random() < 0.4 else []
+            if i >= turn_from and rng.random() < 0.4:
+                keys = [rng.choice([*ips, "word"]) for _ in range(rng.choice([1, 2]))]
+            lines.append((i, i // 10, ip, 5, " ".join(f"<{k}>" for k in keys)))
+        # the same, line by line
+        want, by_key, counts = [], False, {}
+        for i, n, ip, _, line in lines:
+            keys = re.findall("<([^>]*)>", line)
+            if keys and not by_key and keys[0] != ip:
+                by_key = True
+            for k in keys if by_key else keys[:1]:
+                want.append((i, n, "key" if by_key else "address", k))
+            if not keys and ip in counts:
+                want.append((i, n, "related", ip))
+            for k in keys if by_key else [ip] * bool(keys):
+                counts[k] = counts.get(k, 0) + 1
+        df = spark.createDataFrame(lines, "line_id long, interval_no long, ip string, bytes long, line string")
+        got = [(r.line_id, r.interval_no, r.kind, r.key) for r in R.regex_lane(df, "own", "<([^>]*)>").collect()]
+        assert sorted(got) == sorted(want)
+        kinds = {k for _, _, k, _ in want}
+        assert "related" in kinds and ("key" in kinds) == (turn_from < 1000) and ("address" in kinds or turn_from == 0)

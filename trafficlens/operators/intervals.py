@@ -40,11 +40,12 @@ def ua_token_histogram(r: DataFrame) -> DataFrame:
 
 
 def lane_hits(known: DataFrame) -> DataFrame:
-    """(line_id, interval_no, ip, bytes, name, direct): claims and remembered hits in one table."""
-    from .rules import remembered_hits
+    """(line_id, interval_no, ip, bytes, name, direct): claims and remembered hits, out of one walk over the lines."""
+    from .rules import related_rules
 
-    claims = known.where("claim is not null").select("line_id", "interval_no", "ip", "bytes", F.col("claim").alias("name"), F.lit(True).alias("direct"))
-    return claims.unionByName(remembered_hits(known).select("line_id", "interval_no", "ip", "bytes", "name", F.lit(False).alias("direct")))
+    claim = F.when(F.col("claim").isNotNull(), F.array(F.struct(F.col("claim").alias("name"), F.lit(True).alias("direct")))).otherwise(F.array().cast("array<struct<name:string,direct:boolean>>"))
+    related = F.transform(related_rules(), lambda m: F.struct(m["name"].alias("name"), F.lit(False).alias("direct")))
+    return known.select("line_id", "interval_no", "ip", "bytes", F.explode(F.concat(claim, related)).alias("h")).select("line_id", "interval_no", "ip", "bytes", "h.name", "h.direct")
 
 
 def lane_intervals(hits: DataFrame) -> DataFrame:
@@ -61,9 +62,17 @@ def lane_ip_counts(hits: DataFrame, k: int = 25) -> DataFrame:
 
 
 def lane_prefix_groups(hits: DataFrame, min_members: int = 10) -> DataFrame:
-    """Hits and distinct addresses of each lane and prefix over all lines, for prefixes with enough addresses."""
-    g = hits.withColumn("ip_prefix", T.ip_prefix(F.col("ip"))).groupBy("name", "ip_prefix").agg(F.count("*").alias("hits"), F.count_distinct("ip").alias("members"))
-    return g.where(F.col("members") >= min_members)
+    """(name, ip_prefix, interval_no, hits, members): hits and distinct addresses to date, in each interval with hits of a lane's prefix.
+
+    An address counts from the interval in which the lane first met it, so members are a running sum of first appearances. Prefixes
+    are listed from the interval on in which they have enough members.
+    """
+    per = hits.groupBy("name", "ip", "interval_no").agg(F.count("*").alias("n"))
+    first = F.min("interval_no").over(Window.partitionBy("name", "ip"))
+    new = per.select("name", T.ip_prefix(F.col("ip")).alias("ip_prefix"), "interval_no", "n", (F.col("interval_no") == first).cast("long").alias("new"))
+    g = new.groupBy("name", "ip_prefix", "interval_no").agg(F.sum("n").alias("n"), F.sum("new").alias("new"))
+    to_date = Window.partitionBy("name", "ip_prefix").orderBy("interval_no").rowsBetween(Window.unboundedPreceding, 0)
+    return g.select("name", "ip_prefix", "interval_no", F.sum("n").over(to_date).alias("hits"), F.sum("new").over(to_date).alias("members")).where(F.col("members") >= min_members)
 
 
 def lane_keys(keys: DataFrame, k: int = 25) -> DataFrame:

@@ -163,10 +163,14 @@ def with_memory(claimed: DataFrame) -> DataFrame:
     return claimed.join(per_ip, "ip", "left").withColumn("known", known).drop("memory")
 
 
+def related_rules() -> Column:
+    """Of known, the compete rules for which a line counts by memory: no earlier-ranked rule, and not the rule itself, claimed it."""
+    return F.filter("known", lambda m: (m["lane"] == "compete") & (F.col("claim_rank").isNull() | (m["rank"] < F.col("claim_rank"))))
+
+
 def remembered_hits(known: DataFrame) -> DataFrame:
-    """(line_id, interval_no, ip, name, rank): lines that count for a rule by memory: no earlier-ranked rule, and not the rule itself, claimed them."""
-    related = F.filter("known", lambda m: (m["lane"] == "compete") & (F.col("claim_rank").isNull() | (m["rank"] < F.col("claim_rank"))))
-    return known.select("line_id", "interval_no", "ip", "bytes", F.explode(related).alias("m")).select("line_id", "interval_no", "ip", "bytes", F.col("m.name").alias("name"), F.col("m.rank").alias("rank"))
+    """(line_id, interval_no, ip, bytes, name, rank): lines that count for a rule by memory."""
+    return known.select("line_id", "interval_no", "ip", "bytes", F.explode(related_rules()).alias("m")).select("line_id", "interval_no", "ip", "bytes", F.col("m.name").alias("name"), F.col("m.rank").alias("rank"))
 
 
 def mark_lines(known: DataFrame) -> DataFrame:
@@ -182,11 +186,36 @@ def regex_keys(requests: DataFrame, name: str, pattern: str, group: int = 1) ->
     return requests.select("line_id", "interval_no", F.lit(name).alias("name"), F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(group))).alias("key"))
 
 
+def regex_lane(lines: DataFrame, name: str, pattern: str, group: int = 1) -> DataFrame:
+    """(line_id, interval_no, ip, bytes, name, kind, key): what a regex rule counts on the lines that reach it, and under which key.
+
+    The rule begins by counting addresses: while the key of a line's first match is the line's address, the line is of kind `address`.
+    The first line with another key turns the rule for good, and from there on every match counts under its key (kind `key`, one row
+    for each match, the line counts once). A line that does not match counts as `related`, under its address, if an earlier line has
+    counted that address as a key. group: the group whose text is the key, 0 for a pattern without groups.
+    """
+    keys = lines.select("line_id", "interval_no", "ip", "bytes", F.lit(name).alias("name"), F.regexp_extract_all("line", F.lit(pattern), F.lit(group)).alias("keys"))
+    hit = F.size("keys") > 0
+    turn = keys.agg(F.min(F.when(hit & (F.get("keys", F.lit(0)) != F.col("ip")), F.col("line_id"))).alias("turn"))  # one row
+    rows = keys.crossJoin(F.broadcast(turn))
+    turned = F.coalesce(F.col("line_id") >= F.col("turn"), F.lit(False))
+    own = ["line_id", "interval_no", "ip", "bytes", "name"]
+    direct = rows.where(hit).select(*own, F.when(turned, "key").otherwise("address").alias("kind"), F.explode(F.when(turned, F.col("keys")).otherwise(F.array("ip"))).alias("key"))
+    start = direct.groupBy(F.col("key").alias("ip")).agg(F.min("line_id").alias("start"))
+    related = rows.where(~hit).join(start, "ip").where(F.col("line_id") > F.col("start")).select(*own, F.lit("related").alias("kind"), F.col("ip").alias("key"))
+    return direct.unionByName(related)
+
+
 def bot_keys(requests: DataFrame) -> DataFrame:
     """(line_id, interval_no, name, key): lines of the bots lane that give a bot's name."""
     return requests.where(T.bot_like(F.col("user_agent"))).select("line_id", "interval_no", F.lit(BOTS).alias("name"), T.bot_name(F.col("ua_tokens")).alias("key")).where("key is not null")
 
 
+def error_keys(requests: DataFrame) -> DataFrame:
+    """(line_id, interval_no, name, key): error lines under their status."""
+    return requests.where(T.is_error(F.col("status"))).select("line_id", "interval_no", F.lit("errs").alias("name"), F.col("status").alias("key"))
+
+
 def rule_validity(changes: DataFrame) -> DataFrame:
     """(name, valid_from, valid_to) out of a change log (line_id, action add or remove, name)."""
     order = Window.partitionBy("name").orderBy("line_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,6 +25,7 @@ RULES = [
     ("mailed", "observe", "line", ["src=mail"]),
     ("orgs", "observe", "refs", [".org/"]),
     ("Browser", "observe", "regex", [R.BROWSER]),
+    ("Platform", "observe", "regex", [R.PLATFORM]),
 ]
 COMPETE = [name for name, lane, _, _ in RULES if lane == "compete"]
 #: The same in SQL: direct hits of each rule, by rank.
@@ -36,6 +39,7 @@ _HIT = {
     "mailed": "contains(line, 'src=mail')",
     "orgs": "contains(referer, '.org/')",
     "Browser": f"regexp_matches(line, '{R.BROWSER}')",
+    "Platform": f"regexp_matches(line, '{R.PLATFORM}')",
 }
 _COMPETE = ["errors", "signups", "net1", "host", "clicks"]
 _CLAIM = "CASE " + " ".join(f"WHEN {_HIT[n]} THEN '{n}'" for n in [*_COMPETE, "bots"]) + " END"
@@ -187,9 +191,34 @@ def _(spark, d):
     return R.mark_lines(known(spark, d)).select("line_id", "mark")
 
 
-@query("m7_m8_regex_keys", over_requests(f", x AS (SELECT line_id, unnest(regexp_extract_all(line, '{R.BROWSER}', 1)) AS key FROM r) SELECT key, count(*) AS hits FROM x GROUP BY key"))
+def _regex_sql(names: dict) -> str:
+    return " UNION ALL ".join(f"SELECT line_id, interval_no, '{n}' AS name, unnest(regexp_extract_all(line, '{p}', 1)) AS key FROM r" for n, p in names.items())
+
+
+_PACKAGED = {"Browser": R.BROWSER, "Platform": R.PLATFORM}
+
+
+def _packaged_keys(spark, d):
+    r = hourly_requests(spark, d)
+    return reduce(lambda a, b: a.unionByName(b), [R.regex_keys(r, n, p) for n, p in _PACKAGED.items()])
+
+
+@query("m7_m8_regex_keys", over_requests(f", x AS ({_regex_sql(_PACKAGED)}) SELECT name, key, count(*) AS hits FROM x GROUP BY name, key"))
+def _(spark, d):
+    return _packaged_keys(spark, d).groupBy("name", "key").agg(F.count("*").alias("hits"))
+
+
+#: A rule that meets clicks by their address, and some mailed items, which turn it.
+_TURNING = r'(?:^|item3[05][?]src=)(10[.][0-9.]+|mail)(?: - - [^"]*"GET /click| )'
+
+
+@query("m7_regex_memory", over_requests(f""", x AS (SELECT line_id, interval_no, ip, bytes, regexp_extract_all(line, '{_TURNING}', 1) AS keys FROM r),
+tu AS (SELECT min(line_id) AS turn FROM x WHERE len(keys) > 0 AND keys[1] <> ip),
+di AS (SELECT line_id, interval_no, ip, bytes, CASE WHEN line_id >= turn THEN 'key' ELSE 'address' END AS kind, unnest(CASE WHEN line_id >= turn THEN keys ELSE [ip] END) AS key FROM x, tu WHERE len(keys) > 0),
+se AS (SELECT key, min(line_id) AS start FROM di GROUP BY key)
+SELECT line_id, interval_no, ip, bytes, 'turning' AS name, kind, key FROM di UNION ALL SELECT x.line_id, interval_no, ip, bytes, 'turning', 'related', ip FROM x JOIN se ON se.key = x.ip AND x.line_id > start WHERE len(keys) = 0"""))
 def _(spark, d):
-    return R.regex_keys(hourly_requests(spark, d), "Browser", R.BROWSER).groupBy("key").agg(F.count("*").alias("hits"))
+    return R.regex_lane(hourly_requests(spark, d), "turning", _TURNING)
 
 
 #: Each line is a change of one of nine rules, dealt by its bytes.
@@ -256,14 +285,17 @@ def _(spark, d):
     return I.lane_ip_counts(I.lane_hits(known(spark, d)), 5)
 
 
-@query("g9_lane_prefix_groups", over_requests(CLAIMED + " SELECT name, regexp_extract(ip, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix, count(*) AS hits, count(DISTINCT ip) AS members FROM hits GROUP BY 1, 2 HAVING count(DISTINCT ip) >= 3"))
+@query("g9_lane_prefix_groups", over_requests(CLAIMED + """, f AS (SELECT name, ip, min(interval_no) AS since FROM hits GROUP BY ALL), n AS (SELECT name, regexp_extract(ip, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix, since FROM f),
+p AS (SELECT name, regexp_extract(ip, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix, interval_no, count(*) AS k FROM hits GROUP BY ALL)
+SELECT p.name, p.ip_prefix, p.interval_no, (SELECT CAST(sum(k) AS BIGINT) FROM p q WHERE q.name = p.name AND q.ip_prefix = p.ip_prefix AND q.interval_no <= p.interval_no) AS hits, (SELECT count(*) FROM n WHERE n.name = p.name AND n.ip_prefix = p.ip_prefix AND since <= p.interval_no) AS members FROM p WHERE members >= 3"""))
 def _(spark, d):
     return I.lane_prefix_groups(I.lane_hits(known(spark, d)), 3)
 
 
-@query("g10_lane_keys", over_requests(", b AS (SELECT interval_no, list_filter(ua_tokens, lambda t: regexp_matches(t, '(?i).(bot|spider|crawler|agent)$'))[1] AS key FROM r WHERE regexp_matches(user_agent, '(?i)bot|spider|crawler|agent')), p AS (SELECT 'Bots' AS name, interval_no, key, count(*) AS hits FROM b WHERE key IS NOT NULL GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY name, interval_no ORDER BY hits DESC, key) AS place FROM p QUALIFY place <= 25"))
+@query("g10_lane_keys", over_requests(f", b AS (SELECT interval_no, list_filter(ua_tokens, lambda t: regexp_matches(t, '(?i).(bot|spider|crawler|agent)$'))[1] AS key FROM r WHERE regexp_matches(user_agent, '(?i)bot|spider|crawler|agent')), x AS ({_regex_sql(_PACKAGED)}), a AS (SELECT 'Bots' AS name, interval_no, key FROM b WHERE key IS NOT NULL UNION ALL SELECT name, interval_no, key FROM x UNION ALL SELECT 'errs', interval_no, status FROM r WHERE substr(status, 1, 1) IN ('4', '5')), p AS (SELECT name, interval_no, key, count(*) AS hits FROM a GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY name, interval_no ORDER BY hits DESC, key) AS place FROM p QUALIFY place <= 25"))
 def _(spark, d):
-    return I.lane_keys(R.bot_keys(hourly_requests(spark, d)))
+    r = hourly_requests(spark, d)
+    return I.lane_keys(R.bot_keys(r).unionByName(_packaged_keys(spark, d)).unionByName(R.error_keys(r)))
 
 
 @query("g11_lane_examples", over_requests(CLAIMED + ", p AS (SELECT claim AS name, interval_no, min(line_id) AS first_line_id, max(line_id) AS last_line_id FROM c WHERE claim IS NOT NULL GROUP BY ALL) SELECT *, min(first_line_id) OVER (PARTITION BY name) AS first_ever_id FROM p"))
