@@ -55,10 +55,11 @@ def _(spark, d):
     return _result(spark, S.sliding_flux(request_stream(spark, d), "4 hours", "1 hour", "1 hour"))
 
 
-@query("r3_stream_key_retention", over_requests(KEYS + " SELECT stream, key, interval_no, island_start, hits FROM il"))
+@query("r3_stream_key_retention", over_requests(KEYS + " SELECT stream, key, interval_no, island_start, hits, depth, history_total, history_peak, prime_flux FROM ks"))
 def _(spark, d):
-    keys = key_intervals(spark, d).select("stream", "key", "interval_no", "hits")
-    return _result(spark, S.stream_key_retention(S.replay(spark, keys, "interval_no"), {"words": 1, "refs": 1, "ips": 2}), "append")
+    keys = key_intervals(spark, d).select("stream", "key", "interval_no", "hits", F.timestamp_seconds((F.col("interval_no") + 1) * 3600).alias("ts"))
+    retained = lambda s: S.stream_key_retention(s, {"words": 1, "refs": 1, "ips": 2}, 3600)
+    return S.run_in_parts(spark, keys, "interval_no", retained, "retention", conf=S.ROCKS)
 
 
 @query("r6_stream_alerts", over_requests(CLAIMED + _DENSE + " SELECT lane, direction, threshold, interval_no, value, CASE WHEN active THEN 'triggered' ELSE 'recovered' END AS event FROM tr WHERE active <> was"))

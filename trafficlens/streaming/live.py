@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
@@ -75,27 +76,59 @@ def stream_alerts(lanes: DataFrame, rules: DataFrame, flux: int = 3) -> DataFram
     return joined.groupBy("lane", "direction", "threshold").applyInPandasWithState(step, "lane string, direction string, threshold long, interval_no long, value long, event string", "last boolean, streak long, active boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_key_retention(keys: DataFrame, quiet: int | dict[str, int] = 1) -> DataFrame:
-    """(stream, key, interval_no, island_start, hits): each key's island start kept as state; a longer quiet time starts it anew.
+#: The state store that timers and typed state need.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-    keys: a stream of (stream, key, interval_no, hits), closed intervals in order across batches. quiet: the longest quiet time, or
-    that of each stream (1 where it has none).
-    """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, start = state.get if state.exists else (-1, -1)
-        longest = quiet.get(key[0], 1) if isinstance(quiet, dict) else quiet
-        rows = pd.concat(list(parts)).sort_values("interval_no")
-        starts = []
-        for k in rows["interval_no"]:
-            if start < 0 or k - last > longest:
-                start = int(k)
-            last = int(k)
-            starts.append(start)
-        state.update((last, start))
-        yield pd.DataFrame({"stream": key[0], "key": key[1], "interval_no": rows["interval_no"], "island_start": starts, "hits": rows["hits"]})
+class KeyRetention(StatefulProcessor):
+    """One key of one stream: when it was last seen, where its island began, its zero-filled history of completed intervals.
+
+    A timer in event time ends the state when the time to live has passed; a hit after that begins a new island.
+    """
 
-    return keys.groupBy("stream", "key").applyInPandasWithState(step, "stream string, key string, interval_no long, island_start long, hits long", "last long, start long", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, quiet: dict[str, int], seconds: int, depth: int, flux: int):
+        self.quiet, self.seconds, self.depth, self.flux = quiet, seconds, depth, flux
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last long, start long, timer long, history array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stream, name = key
+        last, start, timer, history = self.seen.get() if self.seen.exists() else (None, None, None, [])
+        history, out = list(history), []
+        for now, hits, ts in pd.concat(list(rows)).sort_values("interval_no")[["interval_no", "hits", "ts"]].itertuples(index=False):
+            if last is None or now - last > self.quiet.get(stream, 1):
+                start, history = int(now), []
+            else:
+                history = (history + [0] * int(now - last - 1))[-self.depth :]
+            out.append((stream, name, now, start, hits, len(history), sum(history), max(history, default=0), hits + sum(history[-self.flux :])))
+            last, history = int(now), (history + [int(hits)])[-self.depth :]
+            ends = int(ts.timestamp() + (self.quiet.get(stream, 1) + 1) * self.seconds) * 1000
+        if timer is not None and timer != ends:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(ends)
+        self.seen.update((last, start, ends, history))
+        yield pd.DataFrame(out, columns=["stream", "key", "interval_no", "island_start", "hits", "depth", "history_total", "history_peak", "prime_flux"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_key_retention(keys: DataFrame, quiet: dict[str, int] | None = None, interval_seconds: int = 60, late: str = "0 seconds", depth: int = 80, flux: int = 3) -> DataFrame:
+    """(stream, key, interval_no, island_start, hits, depth, history_total, history_peak, prime_flux): retention, history and flux as state.
+
+    keys: a stream of (stream, key, interval_no, ts, hits), closed intervals in order across batches; ts: when the interval ended, a timestamp after 1970.
+    quiet: the longest quiet time of each stream in intervals (1 where it has none). A key's state goes when the watermark passes its
+    time to live, so the state holds live keys. Run it with run_to_table(conf=ROCKS).
+    """
+    out = "stream string, key string, interval_no long, island_start long, hits long, depth long, history_total long, history_peak long, prime_flux long"
+    own = keys.select("stream", "key", "interval_no", "hits", "ts").withWatermark("ts", late).groupBy("stream", "key")
+    return own.transformWithStateInPandas(KeyRetention(quiet or {}, interval_seconds, depth, flux), out, "append", "eventTime")
 
 
 def write_intervals(stream: DataFrame, path: str, checkpoint: str, then=None):
@@ -109,33 +142,59 @@ def write_intervals(stream: DataFrame, path: str, checkpoint: str, then=None):
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str, folder: str | None = None, conf: dict | None = None) -> DataFrame:
     """Runs a stream over everything that is there and gives its result, as files in the shared folder; nothing passes the driver.
 
-    mode: complete (each batch replaces the result) or append. A batch that is run again writes the same files again.
+    mode: complete (each batch replaces the result) or append. A batch that is run again writes the same files again. folder: that of
+    an earlier run, which this one goes on from. conf: settings for this run alone.
     """
-    folder = shared_folder(spark, name)
+    folder = folder or shared_folder(spark, name)
     out = f"{folder}/rows"
-    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")  # so that an empty stream has a result
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")  # so that an empty stream has a result
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
 
-    stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
-def replay(spark: SparkSession, df: DataFrame, order: str, parts: int = 3) -> DataFrame:
-    """A table as a stream in so many batches, cut by ascending order: each batch is one file."""
-    path = shared_folder(spark, "replay")
+def _parts(df: DataFrame, order: str, parts: int) -> Iterator[DataFrame]:
+    """A table in so many parts of about equal size, by ascending order."""
     cuts = df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
     bounds = [None, *cuts, None]
     for lo, hi in zip(bounds, bounds[1:], strict=False):
-        part = df
-        if lo is not None:
-            part = part.where(F.col(order) >= lo)
-        if hi is not None:
-            part = part.where(F.col(order) < hi)
+        low = F.lit(True) if lo is None else F.col(order) >= lo
+        yield df.where(low if hi is None else low & (F.col(order) < hi))
+
+
+def run_in_parts(spark: SparkSession, df: DataFrame, order: str, build, name: str, parts: int = 3, conf: dict | None = None, folder: str | None = None) -> DataFrame:
+    """A table as a stream that comes in parts, by ascending order: the query stops after each part and goes on from its checkpoint.
+
+    build: the stream's result from the stream of rows. Parts are as many files as Spark makes of them.
+    """
+    folder = folder or shared_folder(spark, name)
+    out = None
+    for part in _parts(df, order, parts):
+        part.write.mode("append").parquet(f"{folder}/source")
+        out = run_to_table(spark, build(spark.readStream.schema(df.schema).parquet(f"{folder}/source")), name, "append", folder, conf)
+    return out
+
+
+def replay(spark: SparkSession, df: DataFrame, order: str, parts: int = 3) -> DataFrame:
+    """An interval-sized table as a stream in so many batches, by ascending order: each batch is one file. For larger ones: run_in_parts."""
+    path = shared_folder(spark, "replay")
+    for part in _parts(df, order, parts):
         part.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
