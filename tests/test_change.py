@@ -155,7 +155,7 @@ def test_agent_distance_reaches_burst_strength_and_displays(spark):
     for r in K.rank_ips_display(state, none).collect():
         x = ips[r.key, r.interval_no]
         assert r.value == x.score + (int(x.burst * 100) + int(x.agent_delta * 10) if x.prime_flux > 8 else 0)
-    histories = {(r.ip_prefix, r.interval_no): r.history for r in K.ip_group_history(state, 2).collect()}
+    histories = {(r.ip_prefix, r.interval_no): r.history for r in K.ip_group_history(state, K.ip_groups(state, 2)).collect()}
     groups = K.ip_groups(state, 2).collect()
     assert groups and len(histories) == len(groups)
     for g in groups:

@@ -190,27 +190,34 @@ def rank_ips_display(scored: DataFrame, marked: DataFrame, k: int = 25) -> DataF
     return out.withColumn("place", F.row_number().over(Window.partitionBy("interval_no").orderBy(F.desc("value"), F.desc("marked"), "key"))).where(F.col("place") <= k)
 
 
-def ip_groups(scored: DataFrame, min_members: int = 15) -> DataFrame:
-    """Address prefixes with enough active members in an interval: sums over the members, mean burst, deepest history, mean agent_delta if there."""
+def ip_groups(scored: DataFrame, min_members: int = 15, k: int | None = None) -> DataFrame:
+    """Address prefixes with enough retained members in an interval: sums over the members, mean burst, deepest history, mean agent_delta if there.
+
+    k: only the first so many of each interval, by score descending and prefix ascending, with their place.
+    """
     more = [F.round(F.avg("agent_delta"), 6).alias("agent_delta")] if "agent_delta" in scored.columns else []
     own = scored.where("stream = 'ips'").withColumn("ip_prefix", T.ip_prefix(F.col("key")))
     # summed in whole millionths, so that the order of addition does not decide a half
     mean_burst = F.round(F.sum(F.round(F.col("burst") * 1_000_000).cast("long")) / F.count("*")) / 1_000_000
     g = own.groupBy("ip_prefix", "interval_no").agg(F.count("*").alias("members"), F.sum("hits").alias("hits"), F.sum("prime_flux").alias("prime_flux"), F.sum("bytes").alias("bytes"), mean_burst.alias("burst"), F.max("depth").alias("depth"), *more)
-    return g.where(F.col("members") >= min_members).withColumn("score", F.col("hits") + F.col("prime_flux"))
+    g = g.where(F.col("members") >= min_members).withColumn("score", F.col("hits") + F.col("prime_flux"))
+    return g if k is None else g.withColumn("place", F.row_number().over(Window.partitionBy("interval_no").orderBy(F.desc("score"), "ip_prefix"))).where(F.col("place") <= k)
 
 
-def ip_group_history(scored: DataFrame, min_members: int = 15, depth: int = DEPTH) -> DataFrame:
-    """(ip_prefix, interval_no, history): zero-filled summed counts of a group's members over their retained intervals, oldest first."""
+def ip_group_history(scored: DataFrame, groups: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """groups (of ip_groups) with history: the zero-filled sums of the members' counts in the intervals before, oldest first.
+
+    Members' histories end together, so they are added by interval; only those of the given groups are.
+    """
     past = Window.partitionBy("key", "island_start").orderBy("interval_no").rangeBetween(-depth, -1)
-    own = scored.where("stream = 'ips'").withColumn("ip_prefix", T.ip_prefix(F.col("key"))).withColumn("past", F.collect_list(F.struct("interval_no", "hits")).over(past))
-    groups = own.groupBy("ip_prefix", "interval_no").agg(F.count("*").alias("members"), F.max("depth").alias("depth")).where(F.col("members") >= min_members)
+    own = scored.where("stream = 'ips'").select("key", "interval_no", T.ip_prefix(F.col("key")).alias("ip_prefix"), F.filter(F.collect_list(F.struct("interval_no", "hits")).over(past), lambda x: x["hits"] > 0).alias("past"))
+    own = own.join(groups.select("ip_prefix", "interval_no"), ["ip_prefix", "interval_no"], "left_semi")
     per = own.select("ip_prefix", "interval_no", F.explode("past").alias("p")).groupBy("ip_prefix", "interval_no", F.col("p.interval_no").alias("at")).agg(F.sum("p.hits").alias("hits"))
-    sums = per.groupBy("ip_prefix", "interval_no").agg(F.map_from_entries(F.collect_list(F.struct("at", "hits"))).alias("m"))
+    sums = per.groupBy("ip_prefix", "interval_no").agg(F.map_from_entries(F.collect_list(F.struct("at", "hits"))).alias("sums"))
     i = F.col("interval_no")
-    filled = F.transform(F.sequence(i - F.col("depth"), i - 1), lambda at: F.coalesce(F.col("m")[at], F.lit(0).cast("long")))
+    filled = F.transform(F.sequence(i - F.col("depth"), i - 1), lambda at: F.coalesce(F.col("sums")[at], F.lit(0).cast("long")))
     history = F.when(F.col("depth") == 0, F.array().cast("array<bigint>")).otherwise(filled)
-    return groups.join(sums, ["ip_prefix", "interval_no"], "left").select("ip_prefix", "interval_no", history.alias("history"))
+    return groups.join(sums, ["ip_prefix", "interval_no"], "left").select(*groups.columns, history.alias("history"))
 
 
 def prefix_census(scored: DataFrame, min_members: int = 15) -> DataFrame:

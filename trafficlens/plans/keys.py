@@ -8,6 +8,7 @@ from ..functions import values as V
 from ..operators import keys as K
 from ..operators import rules as R
 from ..operators.change import lane_maxima
+from ..sources.shared import written
 from ..sources.tables_view import hourly_requests
 from .common import over_requests, query
 from .requests import CLAIMED, COMPETE, REFS, TOTALS, WORDS, known, lanes, totals
@@ -91,8 +92,8 @@ def retained(spark, d):
     return K.with_scores(K.key_state(K.with_silent(islands(spark, d), 5, 60)))
 
 
-def agent_islands(spark, d):
-    hits = K.key_hits(K.with_agent_distance(hourly_requests(spark, d)))
+def agent_islands(spark, d, requests=None):
+    hits = K.key_hits(K.with_agent_distance(hourly_requests(spark, d) if requests is None else requests))
     return K.with_agent_delta(K.retention_islands(K.key_intervals(hits), 5, 60))
 
 
@@ -106,8 +107,8 @@ def agent_retained(spark, d):
     return K.with_scores(K.key_state(K.with_silent(agent_islands(spark, d), 5, 60)))
 
 
-def candidates(spark, d, islands):
-    t = totals(spark, d)
+def candidates(spark, d, islands, t=None):
+    t = totals(spark, d) if t is None else t
     return K.peak_candidates(K.closed_state(K.with_silent(islands, 5, 60, closing=True)), K.norm_denominator(t), K.line_means(t), 4)
 
 
@@ -195,9 +196,16 @@ def _(spark, d):
     return K.rank_ips_display(agent_retained(spark, d), R.mark_lines(known(spark, d)).where("mark is not null"), 10)
 
 
-@query("w15_ip_groups", over_requests(MOVED_RETAINED + " SELECT regexp_extract(key, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix, interval_no, count(*) AS members, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(prime_flux) AS BIGINT) AS prime_flux, CAST(sum(bytes) AS BIGINT) AS bytes, round(CAST(sum(CAST(round(burst * 1000000) AS BIGINT)) AS DOUBLE) / count(*)) / 1000000 AS burst, max(depth) AS depth, round(avg(agent_delta), 6) AS agent_delta, CAST(sum(hits) + sum(prime_flux) AS BIGINT) AS score FROM kb WHERE stream = 'ips' GROUP BY 1, 2 HAVING count(*) >= 2"))
+@query("w15_ip_groups", over_requests(MOVED_RETAINED + """, gi AS (SELECT *, regexp_extract(key, '^([^.]+\\.[^.]+\\.)', 1) AS ip_prefix FROM kb WHERE stream = 'ips'),
+gg AS (SELECT ip_prefix, interval_no, count(*) AS members, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(prime_flux) AS BIGINT) AS prime_flux, CAST(sum(bytes) AS BIGINT) AS bytes, round(CAST(sum(CAST(round(burst * 1000000) AS BIGINT)) AS DOUBLE) / count(*)) / 1000000 AS burst, max(depth) AS depth, round(avg(agent_delta), 6) AS agent_delta, CAST(sum(hits) + sum(prime_flux) AS BIGINT) AS score FROM gi GROUP BY 1, 2 HAVING count(*) >= 2),
+gp AS (SELECT *, row_number() OVER (PARTITION BY interval_no ORDER BY score DESC, ip_prefix) AS place FROM gg QUALIFY place <= 25),
+ph AS (SELECT a.ip_prefix, a.interval_no, b.interval_no AS at, sum(b.hits) AS n FROM gi a JOIN gi b ON b.key = a.key AND b.island_start = a.island_start AND b.interval_no < a.interval_no AND b.interval_no >= a.interval_no - 80 GROUP BY ALL),
+gh AS (SELECT ip_prefix, interval_no, unnest(range(interval_no - depth, interval_no)) AS at FROM gp),
+hs AS (SELECT gh.ip_prefix, gh.interval_no, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY gh.at) AS history FROM gh LEFT JOIN ph ON ph.ip_prefix = gh.ip_prefix AND ph.interval_no = gh.interval_no AND ph.at = gh.at GROUP BY ALL)
+SELECT gp.*, coalesce(history, '') AS history FROM gp LEFT JOIN hs ON hs.ip_prefix = gp.ip_prefix AND hs.interval_no = gp.interval_no"""))
 def _(spark, d):
-    return K.ip_groups(agent_retained(spark, d), 2)
+    s = written(agent_retained(spark, d), "retained")
+    return K.ip_group_history(s, K.ip_groups(s, 2, 25)).withColumn("history", F.array_join(F.transform("history", lambda n: n.cast("string")), ","))
 
 
 @query("g14_new_key_rate", over_requests(KEYS + TOTALS + " SELECT stream, il.interval_no, count(*) AS created, round(count(*) / max(n_lines), 6) AS rate FROM il JOIN t ON t.interval_no = il.interval_no WHERE il.interval_no = island_start GROUP BY stream, il.interval_no"))
@@ -215,12 +223,27 @@ def _(spark, d):
     return K.prefix_census(retained(spark, d), 2)
 
 
-@query("w18_promote_ip", over_requests(CLAIMED + KEYS + TOTALS + MAXIMA + """, mk AS (SELECT DISTINCT ip AS key, interval_no FROM k WHERE mark IS NOT NULL),
-o AS (SELECT ks.* FROM ks ANTI JOIN mk ON mk.key = ks.key AND mk.interval_no = ks.interval_no WHERE stream = 'ips' AND depth > 5), b AS (SELECT *, row_number() OVER (PARTITION BY interval_no ORDER BY hits DESC, first_line_id) AS place FROM o QUALIFY place = 1)
-SELECT b.interval_no, b.key AS ip, b.hits FROM b JOIN t ON t.interval_no = b.interval_no JOIN lx ON lx.interval_no = b.interval_no WHERE b.hits >= n_lines // 10 AND b.hits >= line_mean"""))
-def _(spark, d):
+def _promoted_sql(depth: int, share: int) -> str:
+    return over_requests(CLAIMED + KEYS + TOTALS + MAXIMA + f""", mk AS (SELECT DISTINCT ip AS key, interval_no FROM k WHERE mark IS NOT NULL),
+o AS (SELECT ks.* FROM ks ANTI JOIN mk ON mk.key = ks.key AND mk.interval_no = ks.interval_no WHERE stream = 'ips' AND depth > {depth}), b AS (SELECT *, row_number() OVER (PARTITION BY interval_no ORDER BY hits DESC, first_line_id) AS place FROM o QUALIFY place = 1)
+SELECT b.interval_no, b.key AS ip, b.hits FROM b JOIN t ON t.interval_no = b.interval_no JOIN lx ON lx.interval_no = b.interval_no WHERE b.hits >= n_lines // 10 AND b.hits >= line_mean / {share}""")
+
+
+def _promoted(spark, d, depth, share):
     t = totals(spark, d)
-    return K.promote_ip(scored(spark, d), R.mark_lines(known(spark, d)), t, lane_maxima(lanes(spark, d), COMPETE, t))
+    means = lane_maxima(lanes(spark, d), COMPETE, t).withColumn("line_mean", F.col("line_mean") / share)
+    return K.promote_ip(scored(spark, d), R.mark_lines(known(spark, d)), t, means, depth)
+
+
+@query("w18_promote_ip", _promoted_sql(5, 1))
+def _(spark, d):
+    return _promoted(spark, d, 5, 1)
+
+
+@query("w18_promote_ip_early", _promoted_sql(0, 8))
+def _(spark, d):
+    """The same from the first completed interval of an address on, and at an eighth of the lanes' maxima, which the given tables meet."""
+    return _promoted(spark, d, 0, 8)
 
 
 @query("w19_most_active", over_requests(CLAIMED + ", p AS (SELECT name, hits, row_number() OVER (PARTITION BY name ORDER BY interval_no DESC) AS back FROM lanes) SELECT name, CAST(sum(hits) AS BIGINT) AS recent FROM p WHERE back <= 2 GROUP BY name ORDER BY recent DESC, name LIMIT 3"))

@@ -9,11 +9,13 @@ from ..operators import change as C
 from ..operators import interval_log as L
 from ..operators import intervals as I
 from ..operators import keys as K
+from ..operators import rules as R
+from ..sources.shared import shared_folder, written
 from ..sources.tables_view import hourly_requests
-from .change import _DENSE, states
+from .change import _DENSE, INPUTS, SHAPE, alert_rules, states
 from .common import over_requests, query
-from .keys import KEYS, scored
-from .requests import CLAIMED, TOTALS, claimed, lanes, totals
+from .keys import KEYS, agent_islands, candidates, scored
+from .requests import CLAIMED, TOTALS, claimed, known, lanes, totals
 
 SESSION = 240  # intervals of one session
 
@@ -22,18 +24,25 @@ def log_lines(spark, d) -> DataFrame:
     """(line_no, value): session starts, purge commands, intervals, alerts, and some damaged and blank lines, in file order."""
     t = totals(spark, d)
     starts = hourly_requests(spark, d).select("interval_no", "interval_start").distinct()
-    session = F.concat(F.lit("s"), F.floor(F.col("interval_no") / SESSION).cast("string"))
     full = I.running_totals(t).join(t.select("interval_no", "errors"), "interval_no")
-    rec = L.interval_records(full, lanes(spark, d), K.rank_keys(scored(spark, d), 10), session, starts)
-    rows = rec.select((F.col("interval") * 10 + 2).alias("line_no"), F.to_json(F.struct(*rec.columns)).alias("value"))
-    number = t.select("interval_no")
+    rec = L.interval_records(full, lanes(spark, d), K.rank_keys(scored(spark, d), 10), _session(), starts)
+    return rec.select((F.col("interval") * 10 + 2).alias("line_no"), F.to_json(F.struct(*rec.columns)).alias("value")).unionByName(event_lines(t.select("interval_no"), states(spark, d)))
+
+
+def _session():
+    return F.concat(F.lit("s"), F.floor(F.col("interval_no") / SESSION).cast("string"))
+
+
+def event_lines(number: DataFrame, alert_states: DataFrame) -> DataFrame:
+    """The lines beside the intervals. number: (interval_no)."""
+    session = _session()
     event = lambda kind, **more: F.to_json(F.struct(F.lit(4).alias("schema_version"), F.lit(kind).alias("event_type"), session.alias("session_id"), *(F.lit(v).alias(k) for k, v in more.items())))
     first = number.groupBy(F.floor(F.col("interval_no") / SESSION)).agg(F.min("interval_no").alias("interval_no"))
-    rows = rows.unionByName(first.select((F.col("interval_no") * 10).alias("line_no"), event("session_start").alias("value")))
+    rows = first.select((F.col("interval_no") * 10).alias("line_no"), event("session_start").alias("value"))
     rows = rows.unionByName(number.where("interval_no % 50 = 7").select((F.col("interval_no") * 10 + 1).alias("line_no"), event("command", command_name="purge", status="applied").alias("value")))
     rows = rows.unionByName(number.where("interval_no % 101 = 0").select((F.col("interval_no") * 10 + 9).alias("line_no"), F.lit('{"schema_version": 4, "event').alias("value")))
     rows = rows.unionByName(number.where("interval_no % 103 = 0").select((F.col("interval_no") * 10 + 8).alias("line_no"), F.lit("  ").alias("value")))
-    a = C.alert_transitions(states(spark, d)).withColumn("place", F.expr("dense_rank() over (partition by interval_no order by lane, direction)"))
+    a = C.alert_transitions(alert_states).withColumn("place", F.expr("dense_rank() over (partition by interval_no order by lane, direction)"))
     s = a.select((F.col("interval_no") * 10 + 2 + F.col("place")).alias("line_no"), F.to_json(F.struct(F.lit(4).alias("schema_version"), F.lit("alert").alias("event_type"), session.alias("session_id"), F.col("interval_no").alias("interval"), F.col("lane").alias("matcher"), "direction", "value", "threshold", F.col("event").alias("status"))).alias("value"))
     return rows.unionByName(s)
 
@@ -131,9 +140,12 @@ def _(spark, d):
     return L.range_errors(records(spark, d), "s1", 100001, 100000)
 
 
+_MANIFEST = ["records", "n_intervals", "first_interval", "last_interval", "versions"]
+
+
 @query("v10_range_manifest", over_requests(_ROWS + _RANGE + " SELECT count(*) AS records, count_if(event_type = 'interval') AS n_intervals, min(CASE WHEN event_type = 'interval' THEN interval END) AS first_interval, max(CASE WHEN event_type = 'interval' THEN interval END) AS last_interval, '4' AS versions FROM sl"))
 def _(spark, d):
-    return L.range_manifest(L.select_range(records(spark, d), "s1", 250, 300))
+    return L.range_manifest(L.select_range(records(spark, d), "s1", 250, 300)).select(*_MANIFEST)
 
 
 @query("v11_validate_range", over_requests(_ROWS + _RANGE + " SELECT 'records' AS field, CAST(count(*) + 1 AS VARCHAR) AS stated, CAST(count(*) AS VARCHAR) AS found FROM sl"))
@@ -152,6 +164,86 @@ def _(spark, d):
     return L.peak_reset_phases(records(spark, d))
 
 
+def full_log(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(records, issues) of the full log: nested records, notes and damaged lines, written as files and read back."""
+    k = written(R.mark_lines(known(spark, d)), "marked")  # every part below reads these lines
+    t = written(I.interval_totals(k), "totals")
+    rows = written(agent_islands(spark, d, k), "key-islands")
+    last = rows.agg(F.max("interval_no").alias("last_no"))
+    spells = C.peak_spells(rows, candidates(spark, d, rows, t), 5, 15)
+    retained = written(K.with_scores(K.key_state(K.with_silent(rows, 5, 60))), "retained")
+    groups = K.ip_group_history(retained, K.ip_groups(retained, 2, 25))
+    interesting = L.stream_records(retained, C.members_before(spells, last).join(F.broadcast(last), F.col("interval_no") <= F.col("last_no")).drop("last_no"), groups, 10)
+    hits = written(I.lane_hits(k), "lane-hits")
+    system = t.select(F.lit("lines").alias("name"), "interval_no", F.col("n_lines").alias("hits")).unionByName(t.select(F.lit("bytes").alias("name"), "interval_no", F.col("bytes").alias("hits"))).unionByName(t.select(F.lit("errs").alias("name"), "interval_no", F.col("errors").alias("hits")))
+    lane = I.lane_intervals(hits).select("name", "interval_no", "hits").unionByName(system)
+    marks, bands = I.marked_share(k), I.token_band_breakdown(k)
+    keys = I.lane_ip_counts(hits, 25).select("name", "interval_no", F.col("ip").alias("key"), "hits").unionByName(I.status_breakdown(k).select(F.lit("errs").alias("name"), "interval_no", F.col("status").alias("key"), F.col("n_lines").alias("hits")))
+    keys = keys.unionByName(marks.where("marked > 0").select(F.lit("lines").alias("name"), "interval_no", F.lit("marked").alias("key"), F.col("marked").alias("hits"))).unionByName(bands.select(F.lit("lines").alias("name"), "interval_no", F.concat(F.lit(" "), "band").alias("key"), F.col("n_lines").alias("hits")))
+    matchers = L.lane_records(lane, keys, I.lane_prefix_groups(hits, 3))
+    full = I.running_totals(t).join(t.select("interval_no", "errors"), "interval_no").join(marks.select("interval_no", "unmarked"), "interval_no")
+    full = full.join(k.select("interval_no", "interval_start").distinct(), "interval_no")
+    # an interval of errors keeps its first error line as source
+    sources = k.where("status = '500'").groupBy("interval_no").agg(F.array(F.min_by("line", "line_id")).alias("source_lines"))
+    rec = L.full_records(full, matchers, interesting, k.groupBy("interval_no", "ua_token_count").agg(F.count("*").alias("n_lines")), sources, _session(), F.col("interval_start"))
+    lines = rec.select((F.col("interval") * 10 + 2).alias("line_no"), F.to_json(F.struct(*rec.columns)).alias("value"))
+    lines = lines.unionByName(event_lines(t.select("interval_no"), C.alert_states(alert_rules(spark), C.dense_lanes(I.lane_intervals(hits), t), 3)))
+    path = shared_folder(spark, "interval-log")
+    L.write_lines(lines, path)
+    return L.read_interval_log(spark, path)
+
+
+_FULL_LOG = CLAIMED + _DENSE + INPUTS + SHAPE.removeprefix(TOTALS) + _ROWS.removeprefix(CLAIMED + _DENSE + TOTALS) + f""", ba AS (SELECT interval_no * 10 + 9 AS line_no FROM t WHERE interval_no % 101 = 0 UNION ALL SELECT interval_no * 10 + 8 FROM t WHERE interval_no % 103 = 0),
+nu AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS number FROM (SELECT line_no FROM lg UNION ALL SELECT line_no FROM ba)),
+iv AS (SELECT t.*, 's' || CAST(t.interval_no // {SESSION} AS VARCHAR) AS session_id, number AS line_no FROM t JOIN nu ON nu.line_no = t.interval_no * 10 + 2)"""
+_FULL_TOP = _FULL_LOG + """, fp AS (SELECT session_id, iv.interval_no AS interval, iv.line_no, pb.stream, pb.key, coalesce(ka.score, 0) AS score, coalesce(ka.hits, 0) AS "count", row_number() OVER (PARTITION BY pb.stream, pb.interval_no ORDER BY ka.score DESC NULLS LAST, pb.key) AS rank
+ FROM pb JOIN iv ON iv.interval_no = pb.interval_no LEFT JOIN ka ON ka.stream = pb.stream AND ka.key = pb.key AND ka.interval_no = pb.interval_no)"""
+_FULL_GROUPS = _FULL_TOP + """, pg AS (SELECT 'ips' AS owner, interval_no, regexp_extract(key, '^([^.]+\\.[^.]+\\.)', 1) AS prefix, CAST(sum(hits) AS BIGINT) AS "count", count(*) AS members, sum(score) AS weight FROM ka WHERE stream = 'ips' GROUP BY ALL HAVING count(*) >= 2),
+hp AS (SELECT name, ip, interval_no, regexp_extract(ip, '^([^.]+\\.[^.]+\\.)', 1) AS prefix, count(*) AS k FROM hits GROUP BY ALL),
+hq AS (SELECT *, CASE WHEN interval_no = min(interval_no) OVER (PARTITION BY name, ip) THEN 1 ELSE 0 END AS new FROM hp),
+hr AS (SELECT name, prefix, interval_no, sum(k) AS k, sum(new) AS new FROM hq GROUP BY ALL),
+hg AS (SELECT name AS owner, prefix, interval_no, CAST(sum(k) OVER w AS BIGINT) AS "count", CAST(sum(new) OVER w AS BIGINT) AS members FROM hr WINDOW w AS (PARTITION BY name, prefix ORDER BY interval_no ROWS UNBOUNDED PRECEDING)),
+fg AS (SELECT session_id, iv.interval_no AS interval, line_no, owner, prefix, row_number() OVER (PARTITION BY owner, g.interval_no ORDER BY weight DESC, prefix) AS rank, "count", members FROM (SELECT owner, interval_no, prefix, "count", members, weight FROM pg UNION ALL SELECT owner, interval_no, prefix, "count", members, "count" FROM hg WHERE members >= 3) g JOIN iv ON iv.interval_no = g.interval_no QUALIFY rank <= 25)"""
+
+
+@query("a8_issues_of_files", over_requests(_FULL_LOG + " SELECT number AS line_no, '{\"schema_version\": 4, \"event' AS text FROM nu WHERE line_no % 10 = 9 AND line_no // 10 % 101 = 0 AND line_no IN (SELECT line_no FROM ba)"))
+def _(spark, d):
+    return full_log(spark, d)[1]
+
+
+@query("v3_flatten_peaks", over_requests(_FULL_TOP + " SELECT * FROM fp"))
+def _(spark, d):
+    return L.flatten_peaks(full_log(spark, d)[0])
+
+
+@query("v3_flatten_groups", over_requests(_FULL_GROUPS + " SELECT * FROM fg"))
+def _(spark, d):
+    return L.flatten_groups(full_log(spark, d)[0])
+
+
+@query("v2_interval_percentages", over_requests(_FULL_LOG + " SELECT session_id, iv.interval_no AS interval, iv.n_lines AS interval_lines, iv.bytes, iv.errors, CASE WHEN marked > 0 THEN round(marked * 100 / iv.n_lines, 6) END AS marked_percent, CASE WHEN b16 > 0 THEN round(b16 * 100 / iv.n_lines, 6) END AS b16_percent FROM iv JOIN mk ON mk.interval_no = iv.interval_no JOIN b6 ON b6.interval_no = iv.interval_no"))
+def _(spark, d):
+    return L.interval_percentages(full_log(spark, d)[0])
+
+
+@query("v4_track_lane", over_requests(_FULL_LOG + " SELECT session_id, iv.interval_no AS interval, l.hits AS value FROM iv LEFT JOIN lanes l ON l.interval_no = iv.interval_no AND l.name = 'net1'"))
+def _(spark, d):
+    return L.track_lane(full_log(spark, d)[0], "net1")
+
+
+_KEYS10 = ", kt AS (SELECT session_id, iv.interval_no AS interval, iv.line_no, stream AS kind, key AS found FROM (SELECT *, row_number() OVER (PARTITION BY stream, interval_no ORDER BY score DESC, key) AS rank FROM ka QUALIFY rank <= 10) q JOIN iv ON iv.interval_no = q.interval_no)"
+
+
+@query("v5_search_everything", over_requests(_FULL_GROUPS + _KEYS10 + " SELECT * FROM kt WHERE contains(lower(found), '10.1.') UNION SELECT session_id, interval, line_no, stream, key FROM fp WHERE contains(lower(key), '10.1.') UNION SELECT session_id, interval, line_no, 'prefix', prefix FROM fg WHERE contains(lower(prefix), '10.1.')"))
+def _(spark, d):
+    return L.search_everything(full_log(spark, d)[0], "10.1.")
+
+
+@query("v10_range_manifest_full", over_requests(_FULL_LOG + " SELECT (SELECT count(*) FROM lg WHERE session_id = 's1' AND (event_type = 'session_start' OR event_type = 'interval' AND interval BETWEEN 250 AND 300 OR event_type = 'alert' AND interval BETWEEN 250 AND 300 OR event_type = 'command' AND interval_no BETWEEN 250 AND 300)) AS records, count(*) AS n_intervals, count_if(EXISTS (SELECT 1 FROM r WHERE r.interval_no = iv.interval_no AND status = '500')) AS retained_source_intervals, min(interval_no) AS first_interval, max(interval_no) AS last_interval, strftime((SELECT min(interval_start) FROM r WHERE interval_no = (SELECT min(i.interval_no) FROM iv i WHERE i.interval_no BETWEEN 250 AND 300 AND session_id = 's1')), '%Y-%m-%d %H:%M:%S') AS first_time, strftime((SELECT max(interval_start) FROM r WHERE interval_no = (SELECT max(i.interval_no) FROM iv i WHERE i.interval_no BETWEEN 250 AND 300 AND session_id = 's1')), '%Y-%m-%d %H:%M:%S') AS last_time, '4' AS versions FROM iv WHERE session_id = 's1' AND interval_no BETWEEN 250 AND 300"))
+def _(spark, d):
+    return L.range_manifest(L.select_range(full_log(spark, d)[0], "s1", 250, 300))
+
+
 @query("u2_union_distinct_keys", over_requests(KEYS + " SELECT interval_no AS until, key FROM ki WHERE stream = 'words' UNION SELECT interval_no + 1, key FROM ki WHERE stream = 'words'"))
 def _(spark, d):
     k = K.key_intervals(K.key_hits(hourly_requests(spark, d))).where("stream = 'words'")
