@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +142,31 @@ def _(spark, d):
     return L.range_errors(records(spark, d), "s1", 100001, 100000)
 
 
+#: Ranges over a log with faults: a second start of s1 inside the range, a repeated interval, a session that never started.
+_RANGES = [("s1", 250, 300), ("s1", 300, 250), ("s2", 500, 100000), ("s0", 100, 200), ("s9", 1, 2)]
+
+
+def _faulty(records: DataFrame) -> DataFrame:
+    """The records, those of interval 270 twice, and a start of s1 after interval 260 and of s5 after interval 150."""
+    again = records.where("event_type = 'interval' and interval = 270").withColumn("line_no", F.col("line_no") + 6)
+    start = records.where("event_type = 'interval' and interval in (150, 260)").withColumn("line_no", F.col("line_no") + 6).withColumn("event_type", F.lit("session_start"))
+    start = start.withColumn("session_id", F.when(F.col("interval") == 260, "s1").otherwise("s5")).withColumn("interval", F.lit(None).cast("long"))
+    return records.unionByName(again).unionByName(start)
+
+
+@query("v9_range_errors_of_faults", over_requests(_ROWS + f""", fl AS (SELECT line_no, event_type, session_id, interval FROM lg UNION ALL SELECT line_no + 6, event_type, session_id, interval FROM lg WHERE event_type = 'interval' AND interval = 270
+ UNION ALL SELECT line_no + 6, 'session_start', CASE interval WHEN 260 THEN 's1' ELSE 's5' END, NULL FROM lg WHERE event_type = 'interval' AND interval IN (150, 260)),
+ra(session, first, last) AS (VALUES {', '.join(map(str, _RANGES))}),
+ct AS (SELECT ra.*, (SELECT count(*) FROM fl WHERE session_id = session AND event_type = 'session_start') AS starts, (SELECT count(*) FROM fl WHERE session_id = session AND event_type = 'interval' AND interval = first) AS firsts, (SELECT count(*) FROM fl WHERE session_id = session AND event_type = 'interval' AND interval = last) AS lasts,
+ (SELECT count(*) - count(DISTINCT interval) FROM fl WHERE session_id = session AND event_type = 'interval') AS repeats, (SELECT min(line_no) FROM fl WHERE session_id = session AND event_type = 'interval' AND interval = first) AS a, (SELECT max(line_no) FROM fl WHERE session_id = session AND event_type = 'interval' AND interval = last) AS b FROM ra),
+cu AS (SELECT ct.*, (SELECT count(*) FROM fl WHERE event_type = 'session_start' AND line_no > a AND line_no < b) AS cuts FROM ct)
+""" + " UNION ALL ".join(f"SELECT session, first, last, '{n}' AS code FROM cu WHERE {c}" for n, c in {"missing_session_start": "starts = 0", "duplicate_session_start": "starts > 1", "missing_start": "firsts = 0", "ambiguous_start": "firsts > 1", "missing_end": "lasts = 0", "ambiguous_end": "lasts > 1", "reversed": "first > last OR a > b", "duplicate_interval": "repeats > 0", "session_boundary": "cuts > 0"}.items())))
+def _(spark, d):
+    log = written(_faulty(records(spark, d)).select("line_no", "event_type", "session_id", "interval"), "log")
+    found = [L.range_errors(log, *r).select(*(F.lit(v).cast("string" if i == 0 else "long").alias(n) for i, (n, v) in enumerate(zip(("session", "first", "last"), r, strict=True))), "code") for r in _RANGES]
+    return reduce(lambda x, y: x.unionByName(y), found)
+
+
 _MANIFEST = ["records", "n_intervals", "first_interval", "last_interval", "versions"]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import written
 
 COMMAND = "!!! "
 
@@ -16,16 +17,41 @@ def read_access_log(spark: SparkSession, path: str) -> DataFrame:
     Spark reads large files in blocks, in an order of its own. Within a block lines keep their order, so a line's number is its place
     in the block plus the lines of all earlier blocks: a small table of block sizes, and no line moves.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("file_offset"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    return _numbered(spark.read.text(path).select(*_placed()))
+
+
+def _placed() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("file_offset"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")]
+
+
+def _numbered(raw: DataFrame) -> DataFrame:
     blocks = raw.groupBy("file", "file_offset").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     earlier = Window.orderBy("file", "file_offset").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
     blocks = blocks.select("file", "file_offset", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return raw.join(blocks, ["file", "file_offset"]).select("file", "file_offset", (F.col("before") + F.col("at") - F.col("first")).alias("line_id"), "line")
 
 
-def follow_access_log(spark: SparkSession, directory: str) -> DataFrame:
-    """The same lines as a stream over a directory that receives rotated chunks."""
-    return spark.readStream.text(directory).withColumnRenamed("value", "line")
+def follow_access_log(spark: SparkSession, directory: str, folder: str) -> DataFrame:
+    """(file, file_offset, line_id, ts, line) of all chunks that have come into a directory so far, as a table in folder.
+
+    Call it again to take in what has come since: the stream goes on from its checkpoint in folder. line_id goes on over chunks, gapless, in
+    order of arrival and, of chunks that come together, by path; so chunks that are named in order give the numbers of read_access_log.
+    A batch numbers its lines after those of earlier batches and replaces what an interrupted run of it left, so a restart changes nothing.
+    """
+    kind = "file string, file_offset long, line_id long, ts timestamp_ntz, line string"
+
+    def each(batch: DataFrame, number: int) -> None:
+        # ids are drawn once, so that both uses of them in the numbering agree
+        raw = written(batch.select("file", "file_offset", F.monotonically_increasing_id().alias("at"), "line"), "chunks")
+        earlier = spark.read.schema(kind + ", batch long").option("basePath", f"{folder}/lines").parquet(f"{folder}/lines").where(F.col("batch") < number)
+        base = earlier.agg((F.coalesce(F.max("line_id"), F.lit(-1)) + 1).alias("base"))  # one row
+        rows = _numbered(raw).crossJoin(F.broadcast(base))
+        rows.select("file", "file_offset", (F.col("line_id") + F.col("base")).alias("line_id"), T.parse_time(F.col("line")).alias("ts"), "line").write.mode("overwrite").parquet(f"{folder}/lines/batch={number}")
+
+    spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{folder}/lines/batch=-1")
+    stream = spark.readStream.text(directory).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("file_offset"), F.col("value").alias("line"))
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kind).parquet(f"{folder}/lines").select("file", "file_offset", "line_id", "ts", "line")
 
 
 def command_lines(lines: DataFrame) -> DataFrame:
