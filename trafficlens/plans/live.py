@@ -15,7 +15,7 @@ from ..streaming import live as S
 from .change import _DENSE, _PARTS, _scores, alert_rules
 from .common import over_requests, query
 from .keys import KEYS, key_intervals
-from .requests import CLAIMED, TOTALS, lanes, rules, totals
+from .requests import _CLAIM, _HIT, CLAIMED, TOTALS, lanes, rules, totals
 
 
 def request_stream(spark, d) -> DataFrame:
@@ -30,6 +30,9 @@ def _result(spark, stream, mode="complete"):
     return out.select(*(F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes))
 
 
+_CLAIM_WITHOUT_ERRORS = _CLAIM.replace(f"WHEN {_HIT['errors']} THEN 'errors' ", "")
+
+
 @query("r1_stream_interval_totals", over_requests("SELECT interval_start, count(*) AS n_lines, CAST(sum(bytes) AS BIGINT) AS bytes, count_if(substr(status, 1, 1) IN ('4', '5')) AS errors FROM r GROUP BY 1"))
 def _(spark, d):
     return _result(spark, S.stream_interval_totals(request_stream(spark, d), "1 hour", "1 hour"))
@@ -83,6 +86,23 @@ def _(spark, d):
     return S.stream_rules(request_stream(spark, d), f"{folder}/table", folder)
 
 
+@query("r8_stream_rules_change", over_requests(CLAIMED + f", h AS (SELECT CAST(floor(avg(line_id)) AS BIGINT) AS half FROM r) SELECT line_id, CASE WHEN line_id > half AND status = '404' THEN 'lost' WHEN line_id > half THEN {_CLAIM_WITHOUT_ERRORS} ELSE claim END AS claim FROM c, h"))
+def _(spark, d):
+    """From the middle line on, errors is no rule any more and lost is the first one: the table changes after the first part has run."""
+    folder = S.shared_folder(spark, "rules")
+    r = render_line(requests_view(spark, d))
+    half = r.agg(F.floor(F.avg("line_id"))).first()[0] or 0
+    old = rules(spark)
+    lost = spark.createDataFrame([("lost", -1, "compete", "code", ["404"], half + 1, None)], old.schema)
+    new = old.withColumn("valid_to", F.when(F.col("name") == "errors", half + 1).otherwise(F.col("valid_to"))).unionByName(lost)
+    out = None
+    for table, part in ((old, r.where(F.col("line_id") <= half)), (new, r.where(F.col("line_id") > half))):
+        table.write.mode("overwrite").parquet(f"{folder}/table")
+        part.write.mode("append").parquet(f"{folder}/source")
+        out = S.stream_rules(spark.readStream.schema(r.schema).parquet(f"{folder}/source"), f"{folder}/table", folder)
+    return out
+
+
 @query("r9_stream_log_sink", over_requests(TOTALS + " SELECT interval_no, n_lines, bytes, errors FROM t"))
 def _(spark, d):
     folder = S.shared_folder(spark, "sink")

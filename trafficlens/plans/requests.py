@@ -11,6 +11,7 @@ from ..functions import values as V
 from ..operators import intervals as I
 from ..operators import rules as R
 from ..sources import access_log as A
+from ..sources.shared import shared_folder
 from ..sources.tables_view import hourly_requests, log_lines, requests_view
 from .common import SYMBOLS, over_requests, query
 
@@ -99,6 +100,18 @@ def _(spark, d):
     return A.command_lines(log_lines(spark, d)).select("line_id", "command")
 
 
+@query("a4_follow_access_log", _LINES + " SELECT row_number() OVER (ORDER BY line_id) - 1 AS line_id, line FROM l")
+def _(spark, d):
+    folder = shared_folder(spark, "followed")
+    lines = log_lines(spark, d).withColumnRenamed("line", "value")
+    half = lines.agg(F.floor(F.avg("line_id"))).first()[0] or 0
+    out = None
+    for chunk in (lines.where(F.col("line_id") <= half), lines.where(F.col("line_id") > half)):  # the second comes when the first has been read
+        chunk.repartitionByRange("line_id").sortWithinPartitions("line_id").select("value").write.mode("append").text(f"{folder}/logs")
+        out = A.follow_access_log(spark, f"{folder}/logs", folder)
+    return out.select("line_id", "line")
+
+
 @query("a1_p1_parse_requests", _LINES + ", g AS (SELECT r.* FROM j JOIN r ON r.line_id = j.line_id WHERE j.reason IS NULL) SELECT line_id, date_trunc('second', ts) AS ts, ip, ip_prefix, request, status, bytes, referer, user_agent, len(ua_tokens) AS ua_token_count FROM g")
 def _(spark, d):
     return A.parse_requests(log_lines(spark, d)).select("line_id", "ts", "ip", "ip_prefix", "request", "status", "bytes", "referer", "user_agent", "ua_token_count")

@@ -225,7 +225,11 @@ def stream_change(spark: SparkSession, totals: DataFrame, folder: str) -> DataFr
 
 
 def stream_rules(requests: DataFrame, rules_path: str, folder: str) -> DataFrame:
-    """Claims of a stream under a rule table that is read anew for each batch, so that rules may change while it runs."""
+    """(line_id, claim): claims of a stream under a rule table that is read anew for each batch, so that rules may change while it runs.
+
+    A rule holds from its valid_from to before its valid_to, in line numbers, so a change takes effect at its line and not with the
+    batch in which it is noticed. Call it again with the same folder to go on after a stop.
+    """
     from ..operators.rules import claim_lines, match_rules
 
     spark = requests.sparkSession
