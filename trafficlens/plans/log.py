@@ -14,21 +14,23 @@ from ..operators import keys as K
 from ..operators import rules as R
 from ..sources.shared import shared_folder, written
 from ..sources.tables_view import hourly_requests
-from .change import _DENSE, INPUTS, SHAPE, alert_rules, states
+from .change import _DENSE, INPUTS, SHAPE, alert_rules
 from .common import over_requests, query
-from .keys import KEYS, agent_islands, candidates, scored
-from .requests import CLAIMED, TOTALS, claimed, known, lanes, totals
+from .keys import KEYS, agent_islands, candidates
+from .requests import CLAIMED, TOTALS, claimed, known
 
 SESSION = 240  # intervals of one session
 
 
 def log_lines(spark, d) -> DataFrame:
     """(line_no, value): session starts, purge commands, intervals, alerts, and some damaged and blank lines, in file order."""
-    t = totals(spark, d)
-    starts = hourly_requests(spark, d).select("interval_no", "interval_start").distinct()
+    k = written(known(spark, d), "known")  # every part below reads these lines
+    t, lane = written(I.interval_totals(k), "totals"), written(I.lane_intervals(I.lane_hits(k)), "lanes")
     full = I.running_totals(t).join(t.select("interval_no", "errors"), "interval_no")
-    rec = L.interval_records(full, lanes(spark, d), K.rank_keys(scored(spark, d), 10), _session(), starts)
-    return rec.select((F.col("interval") * 10 + 2).alias("line_no"), F.to_json(F.struct(*rec.columns)).alias("value")).unionByName(event_lines(t.select("interval_no"), states(spark, d)))
+    scored = K.with_scores(K.key_state(K.retention_islands(K.key_intervals(K.key_hits(k)))))
+    rec = L.interval_records(full, lane, K.rank_keys(scored, 10), _session(), k.select("interval_no", "interval_start").distinct())
+    lines = rec.select((F.col("interval") * 10 + 2).alias("line_no"), F.to_json(F.struct(*rec.columns)).alias("value"))
+    return lines.unionByName(event_lines(t.select("interval_no"), C.alert_states(alert_rules(spark), C.dense_lanes(lane, t), 3)))
 
 
 def _session():
