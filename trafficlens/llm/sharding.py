@@ -94,8 +94,8 @@ def _borders(keyed: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
 def shard_by_bytes(docs: DataFrame, shards: int = 40, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row: shards of near-equal size, slots gapless from 0.
 
-    size is the text's UTF-8 bytes (none for null) plus 16. Repeated rows keep a row each. A row larger than a shard's share lies
-    alone in one. Shards may be empty where there are fewer keys than shards. An empty table gives no rows.
+    size is the text's UTF-8 bytes (none for null) plus 16. Repeated rows keep a row each. A row larger than a shard's
+    share makes its shard as much larger; some rows beside it may lie there too. Shards may be empty where there are fewer keys than shards. An empty table gives no rows.
     """
     text = F.coalesce(docs["text"], F.lit(""))
     keyed = docs.select(
