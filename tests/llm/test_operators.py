@@ -140,6 +140,23 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == near_by_brute_force(rows)
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(1, a), (1, b), (2, a), (2, b + " more"), (3, b.replace("b30", "x")), (4, c), (4, ""), (4, None), (5, c.upper()), (5, c), (6, ""), (6, "x"), (7, ""), (8, text_of(rng, 50)), (8, a), (9, "x"), (9, "x")]
+    links = []
+    for i, t in rows:
+        for j, u in rows:
+            x, y = near_dup._shingle_set(t or ""), near_dup._shingle_set(u or "")
+            if i != j and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                links.append((i, j))
+    at = groups(links, {i for e in links for i in e})
+    want = Counter((i, len(near_dup._shingle_set(t or "")), at.get(i, i), at.get(i, i) == i) for i, t in rows)
+    docs = frame(spark, rows)
+    assert Counter(tuple(r) for r in near_dup.near_duplicates(docs).collect()) == want
+    assert sorted(r.doc_id for r in near_dup.keep_one_of_each(docs).collect()) == sorted({i for i, _ in rows if at.get(i, i) == i})
+
+
 def test_one_of_each_group_stays_with_all_columns(spark, docs, rows):
     twice = docs.unionByName(docs.where("doc_id = 0")).unionByName(frame(spark, [(None, "no id"), (None, "no id")]))
     out = near_dup.keep_one_of_each(twice)
