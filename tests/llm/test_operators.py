@@ -412,6 +412,51 @@ def test_model_probabilities_sum_to_one(spark):
     assert 0.98 <= total <= 1 + 1e-6  # classes without members hold the rest
 
 
+def plain_softmax(features, y, place, factor):
+    """One softmax trained by a loop over single tokens: the gradients of a step are summed first."""
+    weights, speed = factor.weights.astype(float), np.full(len(factor.weights), 1e-2)
+    at = np.cumsum([0, *factor.sizes])
+    for s in range(0, len(y), maxent_lm.STEP_TOKENS):
+        grad = np.zeros_like(weights)
+        for i in range(s, min(len(y), s + maxent_lm.STEP_TOKENS)):
+            rows = [at[k] + int(f[i]) for k, f in enumerate(features)]
+            z = sum(weights[r] for r in rows) + (0 if place is None else factor.base[place[i]])
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            p[y[i]] -= 1
+            for r in rows:
+                grad[r] += p
+        seen = np.flatnonzero(np.abs(grad).sum(1))
+        speed[seen] += (grad[seen] ** 2).mean(1)
+        weights[seen] -= grad[seen] * (maxent_lm.RATE / len(features) / np.sqrt(speed[seen]))[:, None]
+    return weights
+
+
+def test_training_follows_a_plain_softmax(monkeypatch):
+    monkeypatch.setattr(maxent_lm, "STEP_TOKENS", 50)
+    rng = np.random.default_rng(5)
+    for width, sizes, based in ((7, (5, 3), False), (4, (6, 6), True)):
+        start = maxent_lm.Factor(rng.normal(0, 0.1, (sum(sizes), width)).astype(np.float32), sizes, rng.normal(0, 1, (3, width)).astype(np.float32) if based else None)
+        features = [rng.integers(0, n, 180).astype(np.uint16) for n in sizes]
+        y, place = rng.integers(0, width, 180), rng.integers(0, 3, 180) if based else None
+        now = start.trainable()
+        now.train(features, y, place)
+        want = plain_softmax(features, y, place, start)
+        assert np.abs(now.weights - want).max() < 1e-3 and np.abs(want - start.weights).max() > 0.05
+        chances = np.stack([now.log_chances(features, np.full(180, c), place) for c in range(width)])
+        assert np.allclose(np.exp(chances).sum(0), 1, atol=1e-5)
+
+
+def test_scores_do_not_follow_the_storage(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "PART_TOKENS", 500)
+    rng = random.Random(9)
+    rows = [(i, text_of(rng, 60)) for i in range(150)]
+    one, two = ({r.doc_id: r.score for r in maxent_lm.score_documents(frame(spark, given).repartition(n), head_words=40).collect()} for given, n in ((rows, 1), (rows[::-1], 7)))
+    # only the last digits of single precision follow the blocks that are scored at once
+    worst = max(abs(one[i] - two[i]) / abs(one[i]) for i in one)
+    assert worst < 1e-6
+
+
 def labelled(rng, n=400):
     """Texts of which some hold a marker word, and some are shouted; labels for most."""
     rows, labels = [], []

@@ -10,10 +10,11 @@ their classes come from the documents they occur in (grouped by the bin of word
 frequency. All other words form one class, whose members' counts are looked up by a distributed join, so no table that grows with the
 corpus is sent to the workers. Unseen words count as one further member of that class, so that probabilities sum to one.
 
-Training: in each of ROUNDS rounds every partition runs minibatch gradient steps from the shared weights over its share of the
-training documents, of which half teach the class factor and half the cell factor; the changes, weighted by each row's number of steps, are averaged by Spark and applied. Weights have a
-fixed size. Minibatches and averages follow the partitions of the input, so scores (not base scores) differ a little where the same
-rows are partitioned otherwise. A word is known by a 58-bit hash; of a billion words, two pairs may share one.
+Training: in each of ROUNDS rounds every part runs minibatch gradient steps from the shared weights over its share of the training
+documents, each of which teaches both factors; the changes, weighted by each row's number of steps, are averaged by Spark and
+applied. Weights have a fixed size. The parts are dealt by a hash of the document, their number follows from the number of tokens,
+and each is read in the order of doc_id and text, so that equal tables give equal scores however they are stored. A word is known
+by a 58-bit hash; of a billion words, two pairs may share one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +50,7 @@ RATE = 0.5
 PIECE = 512  # weight rows sent as one
 BLOCK_BYTES = 1 << 18
 COUNT_TOKENS = 1 << 22  # words counted at once
+PART_TOKENS = 1 << 21  # training tokens of one part, about
 _DOC_GROUPS = 64
 _HASH_BITS = 58
 _BEGIN = np.uint64(0x25A5A5A55A5A5A5)
@@ -279,8 +280,8 @@ def _head(counts: DataFrame, size: int) -> Head:
     return Head(h, c, classes, cells, logs, n_docs, tokens + n_docs, types + (n_docs > 0), tokens - int(c.sum()), types - len(h))
 
 
-def _train(docs: DataFrame, shared, factors: list[Factor], round_: int, rounds: int) -> list[Factor]:
-    """One round: gradient steps in every partition on its documents of this round, then the weighted mean of the changes."""
+def _train(docs: DataFrame, shared, factors: list[Factor], parts: int) -> list[Factor]:
+    """One round: gradient steps in every part on its documents, then the weighted mean of the changes."""
     sent = docs.sparkSession.sparkContext.broadcast(factors)
     widths = [f.weights.shape[1] for f in factors]
 
@@ -288,11 +289,9 @@ def _train(docs: DataFrame, shared, factors: list[Factor], round_: int, rounds:
         head = shared.value
         of_class, of_cell = (f.trainable() for f in sent.value)
         for b in batches:
-            for block in blocks(b.filter(b.column(1)).column(0), BLOCK_BYTES):
+            for block in blocks(b.column(0), BLOCK_BYTES):
                 t = Tokens(block, head)
                 of_class.train(t.class_features, t.cls)
-            for block in blocks(b.filter(pc.invert(b.column(1))).column(0), BLOCK_BYTES):
-                t = Tokens(block, head)
                 of_cell.train(t.cell_features, t.cell, t.cell_class)
         pid = TaskContext.get().partitionId()
         for k, (now, old) in enumerate(zip((of_class, of_cell), sent.value, strict=True)):
@@ -306,6 +305,7 @@ def _train(docs: DataFrame, shared, factors: list[Factor], round_: int, rounds:
         width = widths[int(pdf["factor"].iloc[0])]
         n = len(pdf["steps"].iloc[0]) // 4
         total, count = np.zeros((n, width), np.float32), np.zeros(n, np.float32)
+        pdf = pdf.sort_values("pid")  # sums of rounded numbers depend on their order
         for d, s in zip(pdf["delta"], pdf["steps"], strict=True):
             s = np.frombuffer(s, np.float32)
             total += np.frombuffer(d, np.float16).reshape(n, width) * s[:, None]
@@ -313,12 +313,11 @@ def _train(docs: DataFrame, shared, factors: list[Factor], round_: int, rounds:
         total /= np.maximum(count, 1)[:, None]
         return pdf.head(1).assign(delta=[total.astype(np.float16).tobytes()], steps=[count.tobytes()])
 
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(2 * rounds))
-    own = docs.where(F.floor(turn / 2) == round_).select("text", (turn % 2 == 0).alias("for_class"))
     kind = "factor long, piece long, pid long, delta binary, steps binary"
-    changes = own.mapInArrow(run, kind)
-    # in two levels, so that no group grows beyond the root of the number of partitions
-    fan = max(1, round(own.rdd.getNumPartitions() ** 0.5))
+    dealt = docs.repartition(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    changes = dealt.select("text").mapInArrow(run, kind)
+    # in two levels, so that no group grows beyond the root of the number of parts
+    fan = max(1, round(parts**0.5))
     once = changes.groupBy("factor", "piece", F.pmod("pid", F.lit(fan)).alias("fan")).applyInPandas(lambda pdf: mean(pdf), kind)
     out = [Factor(f.weights.copy(), f.sizes, f.base) for f in factors]
     for r in once.groupBy("factor", "piece").applyInPandas(mean, kind).collect():
@@ -382,8 +381,10 @@ def score_documents(docs: DataFrame, head_words: int = HEAD, rounds: int = ROUND
     head = _head(counts, head_words)
     shared = docs.sparkSession.sparkContext.broadcast(head)
     factors = head.factors()
+    parts = max(1, round(head.tokens / max(1, rounds) / PART_TOKENS))
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rounds)))
     for r in range(rounds if head.docs else 0):
-        factors = _train(train, shared, factors, r, rounds)
+        factors = _train(train.where(turn == r), shared, factors, parts)
     scored = spool(_score_head(docs, shared, factors), "scored")
     shared.destroy()
     tail = scored.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("uid", F.col("x.tail").alias("h"), F.col("x.times").alias("times"))
