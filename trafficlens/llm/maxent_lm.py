@@ -287,25 +287,35 @@ def _train(docs: DataFrame, shared, factors: list[Factor], parts: int) -> list[F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
-        of_class, of_cell = (f.trainable() for f in sent.value)
+        part, now = None, []
         for b in batches:
-            for block in blocks(b.column(0), BLOCK_BYTES):
-                t = Tokens(block, head)
-                of_class.train(t.class_features, t.cls)
-                of_cell.train(t.cell_features, t.cell, t.cell_class)
-        pid = TaskContext.get().partitionId()
-        for k, (now, old) in enumerate(zip((of_class, of_cell), sent.value, strict=True)):
+            key = b.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+            for first, end in zip(edges[:-1], edges[1:], strict=True):
+                if first == end:
+                    continue
+                if key[first] != part:
+                    yield from changed(part, now)
+                    part, now = key[first], [f.trainable() for f in sent.value]
+                for block in blocks(b.column(0).slice(first, end - first), BLOCK_BYTES):
+                    t = Tokens(block, head)
+                    now[0].train(t.class_features, t.cls)
+                    now[1].train(t.cell_features, t.cell, t.cell_class)
+        yield from changed(part, now)
+
+    def changed(part: int, factors_: list[Factor]) -> Iterator[pa.RecordBatch]:
+        for k, (now, old) in enumerate(zip(factors_, sent.value if factors_ else [], strict=True)):
             for p in range(0, len(now.steps), PIECE):
                 steps = now.steps[p : p + PIECE]
                 if steps.any():
                     d = (now.weights[p : p + PIECE] - old.weights[p : p + PIECE]).astype(np.float16)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([p]), pa.array([pid]), pa.array([d.tobytes()]), pa.array([steps.tobytes()])], ["factor", "piece", "pid", "delta", "steps"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([p]), pa.array([part], pa.int64()), pa.array([d.tobytes()]), pa.array([steps.tobytes()])], ["factor", "piece", "part", "delta", "steps"])
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
         width = widths[int(pdf["factor"].iloc[0])]
         n = len(pdf["steps"].iloc[0]) // 4
         total, count = np.zeros((n, width), np.float32), np.zeros(n, np.float32)
-        pdf = pdf.sort_values("pid")  # sums of rounded numbers depend on their order
+        pdf = pdf.sort_values("part")  # sums of rounded numbers depend on their order
         for d, s in zip(pdf["delta"], pdf["steps"], strict=True):
             s = np.frombuffer(s, np.float32)
             total += np.frombuffer(d, np.float16).reshape(n, width) * s[:, None]
@@ -313,12 +323,14 @@ def _train(docs: DataFrame, shared, factors: list[Factor], parts: int) -> list[F
         total /= np.maximum(count, 1)[:, None]
         return pdf.head(1).assign(delta=[total.astype(np.float16).tobytes()], steps=[count.tobytes()])
 
-    kind = "factor long, piece long, pid long, delta binary, steps binary"
-    dealt = docs.repartition(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    changes = dealt.select("text").mapInArrow(run, kind)
+    kind = "factor long, piece long, part long, delta binary, steps binary"
+    # one change of the weights is sent for each part, however many partitions there are
+    part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(parts)).alias("part")
+    dealt = docs.select("doc_id", "text", part).repartition(parts, "part").sortWithinPartitions("part", "doc_id", "text")
+    changes = dealt.select("text", "part").mapInArrow(run, kind)
     # in two levels, so that no group grows beyond the root of the number of parts
     fan = max(1, round(parts**0.5))
-    once = changes.groupBy("factor", "piece", F.pmod("pid", F.lit(fan)).alias("fan")).applyInPandas(lambda pdf: mean(pdf), kind)
+    once = changes.groupBy("factor", "piece", F.pmod("part", F.lit(fan)).alias("fan")).applyInPandas(lambda pdf: mean(pdf), kind)
     out = [Factor(f.weights.copy(), f.sizes, f.base) for f in factors]
     for r in once.groupBy("factor", "piece").applyInPandas(mean, kind).collect():
         delta = np.frombuffer(r["delta"], np.float16).reshape(-1, widths[r["factor"]])
