@@ -12,18 +12,22 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject, all columns. Null and empty texts are scored like others; rows without id are judged by their text; repeated rows stay or go together."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model does not reject, all columns. Null and empty texts and rows without id are judged like others."""
     return cotrain.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, all columns: the one of the smallest id, once. Rows without id, and texts without words, link with nothing and stay."""
     return near_dup.keep_one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4,096 tokens. Null texts are empty ones: their end token alone."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
