@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..sources.shared import written
+from ..sources.shared import shared_folder, written
 
 #: Component names in order, which decides ties.
 COMPONENTS = ["lines", "bytes", "avg bytes/line", "errs", "marked", "b16", "peak balance", "word wave"]
@@ -253,31 +253,52 @@ def lane_maxima(lanes: DataFrame, names: list[str], totals: DataFrame, depth: in
     return per.select("interval_no", "top", "bound", F.avg("most").over(recent).alias("line_mean"))
 
 
-def promote_bots(bots: DataFrame, lanes: DataFrame, most: int = 1, first: int = 3) -> DataFrame:
+def promote_bots(bots: DataFrame, lanes: DataFrame, most: int = 1, first: int = 3, span: int = 1_000) -> DataFrame:
     """(name, valid_from, hits): bot names that become rules of their own.
 
     bots: (interval_no, key, hits). lanes: (interval_no, top, bound) of lane_maxima. In an interval where the bots together exceed
     every compete lane, the most frequent name that reaches the mean of the lanes' maxima so far is promoted (ties to the smaller
-    name); up to three at the first interval. One ordered fold over interval-sized rows.
+    name); up to three at the first interval. Promotions depend on those before, so intervals are folded in order, in spans. Spark
+    sums each interval and finds the names that could be promoted at all: those that reach the bound in an interval that could
+    promote and rank there among the first that a span can take. Only their rows come to the fold; names promoted in earlier spans
+    are left out by a join, so nothing passes the driver.
     """
-    rows = bots.join(lanes.select("interval_no", "top", "bound"), "interval_no", "left").fillna(0, ["top", "bound"])
+    spark, out = bots.sparkSession, "name string, valid_from long, hits long"
+    rows = written(bots.join(lanes.select("interval_no", "top", "bound"), "interval_no", "left").fillna(0, ["top", "bound"]), "bot-keys")
+    folder = shared_folder(spark, "promoted")
+    spark.createDataFrame([], out).write.parquet(f"{folder}/span=-1")  # so that a table without bots has a result
+    promoted = lambda: spark.read.schema(out).parquet(folder).select("name", "valid_from", "hits")
+    lo, hi = rows.agg(F.min("interval_no"), F.max("interval_no")).first()
+    best = Window.partitionBy("interval_no").orderBy(F.desc("hits"), "key")
+    for start in range(lo, hi + 1, span) if lo is not None else []:
+        part = rows.where((F.col("interval_no") >= start) & (F.col("interval_no") < start + span))
+        left = part.join(promoted().select(F.col("name").alias("key")), "key", "left_anti")
+        left = left.join(left.groupBy("interval_no").agg(F.sum("hits").alias("total")), "interval_no").where("total > top")
+        able = left.withColumn("place", F.row_number().over(best)).where((F.col("place") <= most * span + first) & (F.col("hits") >= F.col("bound")))
+        own = left.join(able.select("key").distinct(), "key", "left_semi").withColumn("all", F.lit(1))
+        own.groupBy("all").applyInPandas(_promote(lo, most, first), out).write.parquet(f"{folder}/span={start}")
+    return promoted()
+
+
+def _promote(start: int, most: int, first: int):
+    """Promotes the names of a span's intervals in order; start: the very first interval, which may promote several."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         done: set = set()
         out = []
-        for i, (now, g) in enumerate(pdf.sort_values("interval_no").groupby("interval_no")):
-            g = g[~g["key"].isin(done)].sort_values(["hits", "key"], ascending=[False, True])
-            total = int(g["hits"].sum())
-            if not len(g) or int(g["top"].max()) >= total:
+        for now, g in pdf.sort_values("interval_no").groupby("interval_no"):
+            gone = g["key"].isin(done)
+            left = int(g["total"].iloc[0]) - int(g.loc[gone, "hits"].sum())
+            if int(g["top"].iloc[0]) >= left:
                 continue
-            bound = float(g["bound"].max())
-            for k in range(min(len(g), first if i == 0 else most)):
-                name, n = g["key"].iloc[k], int(g["hits"].iloc[k])
-                if n < (bound if k == 0 or bound else total // 4):
+            bound = float(g["bound"].iloc[0])
+            ranked = g[~gone].sort_values(["hits", "key"], ascending=[False, True])
+            for k, (name, n) in enumerate(ranked[["key", "hits"]].head(first if now == start else most).itertuples(index=False)):
+                if n < (bound if k == 0 or bound else left // 4):
                     break
-                out.append((name, int(now) + 1, n))
+                out.append((name, int(now) + 1, int(n)))
                 done.add(name)
-                total -= n
+                left -= n
         return pd.DataFrame(out, columns=["name", "valid_from", "hits"])
 
-    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fold, "name string, valid_from long, hits long")
+    return fold

@@ -12,7 +12,7 @@ from ..operators import rules as R
 from ..sources.shared import written
 from ..sources.tables_view import hourly_requests
 from .common import over_requests, query
-from .keys import CANDIDATES, KEYS, _silent, _state, agent_islands, candidates, key_intervals
+from .keys import CANDIDATES, KEYS, MAXIMA, _silent, _state, agent_islands, candidates, key_intervals
 from .requests import CLAIMED, COMPETE, TOTALS, known, lanes, totals
 
 
@@ -187,7 +187,21 @@ def _(spark, d):
     return C.change_scores(shape(spark, d), input_distances(spark, d)).select("interval_no", "score", "primary")
 
 
-@query("w17_promote_bots")
+#: Bot names promoted interval by interval: each step takes what is left of an interval's names and hands on those done.
+_PROMOTED = """, ly AS (SELECT lp.interval_no, coalesce(max(hits), 0) AS top, avg(peak) AS bound FROM lp LEFT JOIN lanes ON lanes.name = lp.name AND lanes.interval_no = lp.interval_no GROUP BY lp.interval_no),
+bk AS (SELECT interval_no, list_filter(ua_tokens, lambda t: regexp_matches(t, '(?i).(bot|spider|crawler|agent)$'))[1] AS key FROM r WHERE regexp_matches(user_agent, '(?i)bot|spider|crawler|agent')),
+bh AS (SELECT interval_no, key, count(*) AS hits FROM bk WHERE key IS NOT NULL GROUP BY ALL),
+bl AS MATERIALIZED (SELECT bh.interval_no, row_number() OVER (ORDER BY bh.interval_no) AS step, list({'key': key, 'hits': hits} ORDER BY hits DESC, key) AS names, coalesce(any_value(ly.top), 0) AS top, coalesce(any_value(ly.bound), 0.0) AS bound FROM bh LEFT JOIN ly ON ly.interval_no = bh.interval_no GROUP BY bh.interval_no),
+bw AS (WITH RECURSIVE walk AS (SELECT CAST(0 AS BIGINT) AS step, CAST(-1 AS BIGINT) AS interval_no, CAST([] AS STRUCT(key VARCHAR, hits BIGINT)[]) AS got, CAST([] AS VARCHAR[]) AS done
+ UNION ALL SELECT step, interval_no, got, list_concat(done, list_transform(got, lambda g: g.key)) FROM (
+  SELECT *, CASE WHEN own[1] IS NULL OR top >= total OR own[1].hits < bound THEN own[1:0] WHEN step > 1 OR own[2] IS NULL OR own[2].hits < CASE WHEN bound > 0 THEN bound ELSE (total - own[1].hits) // 4 END THEN own[1:1]
+   WHEN own[3] IS NULL OR own[3].hits < CASE WHEN bound > 0 THEN bound ELSE (total - own[1].hits - own[2].hits) // 4 END THEN own[1:2] ELSE own[1:3] END AS got FROM (
+   SELECT *, coalesce(CAST(list_sum(list_transform(own, lambda x: x.hits)) AS BIGINT), 0) AS total FROM (
+    SELECT bl.step, bl.interval_no, bl.top, bl.bound, walk.done, list_filter(bl.names, lambda x: NOT list_contains(walk.done, x.key)) AS own FROM walk JOIN bl ON bl.step = walk.step + 1)))) SELECT * FROM walk),
+bp AS (SELECT interval_no, unnest(got, recursive := true) FROM bw)"""
+
+
+@query("w17_promote_bots", over_requests(CLAIMED + TOTALS + MAXIMA + _PROMOTED + " SELECT key AS name, interval_no + 1 AS valid_from, hits FROM bp"))
 def _(spark, d):
     bots = R.bot_keys(hourly_requests(spark, d)).groupBy("interval_no", "key").agg(F.count("*").alias("hits"))
     return C.promote_bots(bots, C.lane_maxima(lanes(spark, d), COMPETE, totals(spark, d)))
