@@ -111,11 +111,12 @@ def check_alert_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     return j.where("reason is null").select("lane", "direction", "threshold"), j.where("reason is not null").select("lane", "direction", "threshold", "reason")
 
 
-def alert_states(rules: DataFrame, lanes: DataFrame, flux: int = 3) -> DataFrame:
-    """(lane, direction, threshold, interval_no, value, active): on after flux hits in a row, off after flux clears in a row.
+def alert_states(rules: DataFrame, lanes: DataFrame, flux: int = 3, start: DataFrame | None = None) -> DataFrame:
+    """(lane, direction, threshold, interval_no, value, streak, active): on after flux hits in a row, off after flux clears in a row.
 
     lanes: (lane, interval_no, value), every interval present. Runs are islands of equal hits; a run's flux-th row carries the
-    signal, and the state is the last signal.
+    signal, and the state is the last signal. start: (lane, direction, threshold, active) before the first interval, for lanes whose
+    earlier intervals are not among the rows; where it has no row, the bound is off.
     """
     j = lanes.join(F.broadcast(rules), "lane")
     hit = F.when(F.col("direction") == "above", F.col("value") >= F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
@@ -124,13 +125,24 @@ def alert_states(rules: DataFrame, lanes: DataFrame, flux: int = 3) -> DataFrame
     j = j.withColumn("run", F.sum("turn").over(order))
     j = j.withColumn("streak", F.row_number().over(Window.partitionBy("lane", "direction", "threshold", "run").orderBy("interval_no")))
     signal = F.when(F.col("streak") >= flux, F.col("hit"))
-    return j.withColumn("signal", signal).withColumn("active", F.coalesce(F.last("signal", ignorenulls=True).over(order), F.lit(False))).select("lane", "direction", "threshold", "interval_no", "value", "streak", "active")
+    active = F.coalesce(F.last(signal, ignorenulls=True).over(order), "initial")
+    return _initial(j, start).withColumn("active", active).select("lane", "direction", "threshold", "interval_no", "value", "streak", "active")
 
 
-def alert_transitions(states: DataFrame) -> DataFrame:
+def _initial(rows: DataFrame, start: DataFrame | None) -> DataFrame:
+    """Adds initial: whether a row's bound was on before the first interval. start has one row for each bound, as many as rules."""
+    if start is None:
+        return rows.withColumn("initial", F.lit(False))
+    bounds = ["lane", "direction", "threshold"]
+    j = rows.join(F.broadcast(start.select(*bounds, F.col("active").alias("initial"))), bounds, "left")
+    return j.withColumn("initial", F.coalesce("initial", F.lit(False)))
+
+
+def alert_transitions(states: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(lane, direction, threshold, interval_no, value, event): where a bound turns on or off. start: as in alert_states."""
     order = Window.partitionBy("lane", "direction", "threshold").orderBy("interval_no")
-    before = F.coalesce(F.lag("active").over(order), F.lit(False))
-    return states.withColumn("before", before).where("active <> before").select("lane", "direction", "threshold", "interval_no", "value", F.when(F.col("active"), "triggered").otherwise("recovered").alias("event"))
+    before = F.coalesce(F.lag("active").over(order), "initial")
+    return _initial(states, start).withColumn("before", before).where("active <> before").select("lane", "direction", "threshold", "interval_no", "value", F.when(F.col("active"), "triggered").otherwise("recovered").alias("event"))
 
 
 def active_alerts(states: DataFrame) -> DataFrame:

@@ -170,11 +170,15 @@ _WITH_DIST = f" UNION ALL SELECT pr.interval_no, 'peak balance', 6, greatest({_s
 _WIDE = ", wd AS (SELECT interval_no, " + ", ".join(f"max(CASE WHEN stream = '{p}' THEN distance END) AS {p}" for p in ("words", "refs", "ips", "wave")) + " FROM dd GROUP BY 1)"
 
 
+def input_keys(spark, d):
+    """(stream, key, interval_no, hits) of the peaks of the three streams and of the wave."""
+    rows, spells, last = _peak_parts(spark, d)
+    return C.change_inputs(_ranked(rows), rows, C.members_before(spells, last))
+
+
 def input_distances(spark, d):
     """(part, interval_no, distance) of the peaks of the three streams and of the wave."""
-    rows, spells, last = _peak_parts(spark, d)
-    inputs = C.change_inputs(_ranked(rows), rows, C.members_before(spells, last))
-    return C.distribution_distance(inputs).select(F.col("stream").alias("part"), "interval_no", "distance")
+    return C.distribution_distance(input_keys(spark, d)).select(F.col("stream").alias("part"), "interval_no", "distance")
 
 
 @query("c5_change_inputs", over_requests(_FULL + " SELECT stream AS part, interval_no, round(distance, 6) AS distance FROM dd"))

@@ -12,7 +12,7 @@ from ..operators import rules as R
 from ..sources.access_log import render_line
 from ..sources.tables_view import requests_view
 from ..streaming import live as S
-from .change import _DENSE, _PARTS, _scores, alert_rules
+from .change import _DENSE, _FULL, _PARTS, _WIDE, _WITH_DIST, _scores, alert_rules, input_keys, shape
 from .common import over_requests, query
 from .keys import KEYS, key_intervals
 from .requests import _CLAIM, _HIT, CLAIMED, TOTALS, lanes, rules, totals
@@ -79,6 +79,14 @@ def _(spark, d):
     return S.stream_change(spark, S.replay(spark, totals(spark, d), "interval_no"), S.shared_folder(spark, "change"))
 
 
+@query("r7_stream_change_full", over_requests(_FULL + _WIDE + _scores(_WITH_DIST, "pr") + " SELECT * FROM cs"))
+def _(spark, d):
+    """All eight components; each interval's row carries what its distributions consist of."""
+    inputs = input_keys(spark, d).groupBy("interval_no").agg(F.collect_list(F.struct("stream", "key", "hits")).alias("inputs"))
+    shapes = shape(spark, d).join(inputs, "interval_no", "left")
+    return S.stream_change(spark, S.replay(spark, shapes, "interval_no"), S.shared_folder(spark, "change"))
+
+
 @query("r8_stream_rules", over_requests(CLAIMED + " SELECT line_id, claim FROM c"))
 def _(spark, d):
     folder = S.shared_folder(spark, "rules")
@@ -109,3 +117,15 @@ def _(spark, d):
     t = totals(spark, d)
     S.write_intervals(S.replay(spark, t, "interval_no"), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(t.schema).json(f"{folder}/log").select(*t.columns)
+
+
+_LOG = _DENSE + """, al AS (SELECT interval_no, lane, direction, threshold, value, CASE WHEN active THEN 'triggered' ELSE 'recovered' END AS event FROM tr WHERE active <> was)"""
+
+
+@query("r9_stream_log_alerts", over_requests(CLAIMED + TOTALS + _LOG + " SELECT interval_no, 0 AS place, 'interval' AS kind, NULL AS lane, NULL AS direction, NULL AS threshold, coalesce(n_lines, 0) AS value, NULL AS event FROM (SELECT DISTINCT interval_no FROM g) n LEFT JOIN t USING (interval_no) UNION ALL SELECT interval_no, row_number() OVER (PARTITION BY interval_no ORDER BY lane, direction, threshold), 'alert', lane, direction, threshold, value, event FROM al"))
+def _(spark, d):
+    t = totals(spark, d)
+    values = C.dense_lanes(lanes(spark, d), t).groupBy("interval_no").agg(F.map_from_entries(F.collect_list(F.struct("lane", "value"))).alias("values"))
+    lines = t.select("interval_no", "n_lines")  # intervals without lines are closed too
+    rows = values.join(lines, "interval_no", "left").select("interval_no", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "values")
+    return S.write_log(S.replay(spark, rows, "interval_no"), alert_rules(spark), S.shared_folder(spark, "log"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -132,10 +132,10 @@ def stream_key_retention(keys: DataFrame, quiet: dict[str, int] | None = None, i
 
 
 def write_intervals(stream: DataFrame, path: str, checkpoint: str, then=None):
-    """Appends each batch's closed intervals as JSON, then calls `then` (alerts, change scores, rules read anew) with that batch."""
+    """Writes each batch's closed intervals as JSON, a batch that is run again over its own rows, then calls `then` (alerts, change scores, rules read anew) with that batch."""
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").json(f"{path}/batch={number}")
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")
         if then is not None:
             then(batch, number)
 
@@ -199,28 +199,74 @@ def replay(spark: SparkSession, df: DataFrame, order: str, parts: int = 3) -> Da
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def stream_change(spark: SparkSession, totals: DataFrame, folder: str) -> DataFrame:
-    """Change scores of closed intervals. totals: a stream of (interval_no, n_lines, bytes, errors), in order across batches.
+def write_log(lanes: DataFrame, rules: DataFrame, folder: str, flux: int = 3) -> DataFrame:
+    """(interval_no, place, kind, lane, direction, threshold, value, event): each closed interval, then its alerts, written exactly once.
 
-    Each batch is appended to the table of closed intervals; its rows are scored against it, the row before the batch included.
+    lanes: a stream of (interval_no, n_lines, values: map of lane to hits), in order of intervals across batches, every interval
+    present. Place 0 of an interval is its own record (kind interval, value: its lines); its alerts follow from 1, by lane, direction
+    and threshold. Every batch writes, each into a folder of its number, its log, the state of each bound and the last flux - 1
+    intervals. It starts from those of the batch before, so its work does not grow with the past, and a batch that is run again
+    replaces its own rows. Call it again with the same folder to go on after a stop.
     """
-    from ..operators.change import change_scores
+    from ..operators.change import alert_states, alert_transitions
 
-    fields = ["n_lines", "bytes", "errors"]
+    spark = lanes.sparkSession
+    bounds = ["lane", "direction", "threshold"]
+    state, row = "lane string, direction string, threshold long, active boolean", "interval_no long, n_lines long, values map<string, long>"
+    line = "interval_no long, place long, kind string, lane string, direction string, threshold long, value long, event string"
+    at = lambda kind, number: f"{folder}/{kind}/batch={number}"
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.select("interval_no", "n_lines", "values").write.mode("overwrite").parquet(at("intervals", number))
+        new = spark.read.schema(row).parquet(at("intervals", number))
+        start = spark.read.schema(state).parquet(at("states", number - 1))
+        rows = spark.read.schema(row).parquet(at("recent", number - 1)).unionByName(new)
+        first, last = new.agg(F.min("interval_no")).first()[0], rows.agg(F.max("interval_no")).first()[0]
+        states = alert_states(rules, rows.select("interval_no", F.explode("values").alias("lane", "value")), flux, start)
+        turned = alert_transitions(states, start).where(F.col("interval_no") >= F.lit(first))
+        turned = turned.withColumn("place", F.row_number().over(Window.partitionBy("interval_no").orderBy(*bounds)).cast("long"))
+        head = new.select("interval_no", F.lit(0).cast("long").alias("place"), F.lit("interval").alias("kind"), F.col("n_lines").alias("value"))
+        log = head.unionByName(turned.withColumn("kind", F.lit("alert")), allowMissingColumns=True)
+        log.repartitionByRange("interval_no").sortWithinPartitions("interval_no", "place").write.mode("overwrite").json(at("log", number))
+        known = start.withColumn("interval_no", F.lit(-1).cast("long")).unionByName(states.select(*bounds, "active", "interval_no"))
+        known.groupBy(*bounds).agg(F.max_by("active", "interval_no").alias("active")).write.mode("overwrite").parquet(at("states", number))
+        rows.where(F.col("interval_no") > F.lit(last) - (flux - 1)).write.mode("overwrite").parquet(at("recent", number))
+
+    for kind, schema in (("states", state), ("recent", row)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(at(kind, -1))
+    spark.createDataFrame([], line).write.mode("overwrite").json(at("log", -1))
+    lanes.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(line).json(f"{folder}/log/batch=*")
+
+
+def stream_change(spark: SparkSession, shapes: DataFrame, folder: str) -> DataFrame:
+    """Change scores of closed intervals, in order across batches.
+
+    shapes: a stream of (interval_no, n_lines, bytes, errors), of the other fields of change_shape as far as there, and of `inputs`,
+    an array of (stream, key, hits): what the interval's distributions consist of (change_inputs). Fields that are not there take
+    their components away. Each batch is written to the table of closed intervals; its rows are scored against it, the row before
+    the batch included.
+    """
+    from ..operators.change import change_scores, distribution_distance
+
+    fields = ["n_lines", "bytes", "errors", "mean_bytes", "marked_pct", "b16_pct"]
 
     def each(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        if batch.isEmpty():
-            return
         batch.write.mode("overwrite").parquet(f"{folder}/closed/batch={number}")
-        first = batch.agg(F.min("interval_no")).first()[0]
-        closed = spark.read.parquet(f"{folder}/closed")
+        first = spark.read.schema(batch.schema).parquet(f"{folder}/closed/batch={number}").agg(F.min("interval_no")).first()[0]
+        if first is None:
+            return
+        closed = spark.read.schema(batch.schema).parquet(f"{folder}/closed").select(*batch.columns)
         start = closed.where(F.col("interval_no") < first).agg(F.max("interval_no")).first()[0]
-        shape = closed.where(F.col("interval_no") >= (start if start is not None else first)).select("interval_no", *fields, *(F.lit(None).cast("double").alias(c) for c in ("mean_bytes", "marked_pct", "b16_pct")))
-        change_scores(shape).where(F.col("interval_no") >= first).select("interval_no", "score", "primary").write.mode("overwrite").parquet(f"{folder}/scores/batch={number}")
-        batch.unpersist()
-
-    totals.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        now = closed.where(F.col("interval_no") >= (start if start is not None else first))
+        shape = now.select("interval_no", *(F.col(c) if c in batch.columns else F.lit(None).cast("double").alias(c) for c in fields))
+        distances = None
+        if "inputs" in batch.columns:
+            keys = now.select("interval_no", F.explode("inputs").alias("k")).select("k.stream", "k.key", "interval_no", "k.hits")
+            distances = distribution_distance(keys).withColumnRenamed("stream", "part")
+        change_scores(shape, distances).where(F.col("interval_no") >= first).select("interval_no", "score", "primary").write.mode("overwrite").parquet(f"{folder}/scores/batch={number}")
+
+    shapes.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/scores").drop("batch")
 
 
