@@ -149,11 +149,18 @@ def claim_lines(matched: DataFrame) -> DataFrame:
     return matched.withColumn("first", first).withColumn("claim", F.col("first.name")).withColumn("claim_rank", F.col("first.rank")).withColumn("claim_scope", F.col("first.scope")).drop("first")
 
 
+def remembering(claimed: DataFrame) -> DataFrame:
+    """(ip, line_id, name, rank, lane): the rules that remember a line's address: the claiming one, and every observe rule met, but no regex rule and no bots lane. One walk over the lines, so that it also serves a stream."""
+    fields = lambda r, n, k, lane: F.struct(r[n].alias("name"), r[k].alias("rank"), lane.alias("lane"))
+    here = {"claim": F.col("claim"), "claim_rank": F.col("claim_rank")}
+    own = F.when(F.col("claim").isNotNull() & ~F.col("claim_scope").isin("regex", "bots"), fields(here, "claim", "claim_rank", F.lit("compete")))
+    seen = F.transform(F.filter("hits", lambda h: (h["lane"] == "observe") & (h["scope"] != "regex")), lambda h: fields(h, "name", "rank", h["lane"]))
+    return claimed.select("ip", "line_id", F.explode(F.array_compact(F.concat(F.array(own), seen))).alias("m")).select("ip", "line_id", "m.name", "m.rank", "m.lane")
+
+
 def rule_memory(claimed: DataFrame) -> DataFrame:
     """(ip, name, rank, lane, start): from which line on a rule remembers an address. Regex and bots lanes remember none."""
-    own = claimed.where("claim is not null and claim_scope not in ('regex', 'bots')").select("ip", F.col("claim").alias("name"), F.col("claim_rank").alias("rank"), F.lit("compete").alias("lane"), "line_id")
-    seen = claimed.select("ip", "line_id", F.explode(F.filter("hits", lambda h: (h["lane"] == "observe") & (h["scope"] != "regex"))).alias("h")).select("ip", F.col("h.name").alias("name"), F.col("h.rank").alias("rank"), F.col("h.lane").alias("lane"), "line_id")
-    return own.unionByName(seen).groupBy("ip", "name", "rank", "lane").agg(F.min("line_id").alias("start"))
+    return remembering(claimed).groupBy("ip", "name", "rank", "lane").agg(F.min("line_id").alias("start"))
 
 
 def with_memory(claimed: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ def request_stream(spark, d) -> DataFrame:
     return r.withColumn("ts", F.col("ts").cast("timestamp"))  # event time in the session's zone
 
 
-def _result(spark, stream, mode="complete"):
-    out = S.run_to_table(spark, stream, "live_" + uuid.uuid4().hex, mode)
+def _result(spark, stream, mode="complete", conf=None):
+    out = S.run_to_table(spark, stream, "live_" + uuid.uuid4().hex, mode, conf=conf)
     return out.select(*(F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes))
 
 
@@ -53,6 +53,11 @@ def _(spark, d):
     return _result(spark, S.stream_ip_memory(R.claim_lines(R.match_rules(request_stream(spark, d), rules(spark)))))
 
 
+@query("r5_stream_rule_memory", over_requests(CLAIMED + f" SELECT name, 'compete' AS lane, ip, start FROM m UNION ALL SELECT 'mailed', 'observe', ip, min(line_id) FROM r WHERE {_HIT['mailed']} GROUP BY ip UNION ALL SELECT 'orgs', 'observe', ip, min(line_id) FROM r WHERE {_HIT['orgs']} GROUP BY ip"))
+def _(spark, d):
+    return _result(spark, S.stream_rule_memory(R.claim_lines(R.match_rules(request_stream(spark, d), rules(spark)))), conf=S.ROCKS)
+
+
 @query("r11_sliding_flux", over_requests(", x AS (SELECT interval_start - to_hours(k) AS span_start FROM r, (SELECT unnest([0, 1, 2, 3]) AS k)) SELECT span_start, span_start + INTERVAL 4 HOUR AS span_end, count(*) AS flux FROM x GROUP BY 1"))
 def _(spark, d):
     return _result(spark, S.sliding_flux(request_stream(spark, d), "4 hours", "1 hour", "1 hour"))

@@ -45,10 +45,20 @@ def sliding_flux(requests: DataFrame, span: str = "4 minutes", step: str = "1 mi
     return out.select(F.col("window.start").alias("span_start"), F.col("window.end").alias("span_end"), "flux")
 
 
+def stream_rule_memory(claimed: DataFrame) -> DataFrame:
+    """(name, lane, ip, start): from which line on each rule, observe rules included, remembers an address: state keyed by rule and address.
+
+    What is remembered stays, so the state grows with the addresses that rules meet; run it with run_to_table(conf=ROCKS), which
+    keeps it on the executors' disks.
+    """
+    from ..operators.rules import remembering
+
+    return remembering(claimed).groupBy("name", "lane", "ip").agg(F.min("line_id").alias("start"))
+
+
 def stream_ip_memory(claimed: DataFrame) -> DataFrame:
-    """From which line on each rule remembers an address: state keyed by rule and address."""
-    own = claimed.where("claim is not null and claim_scope not in ('regex', 'bots')")
-    return own.groupBy(F.col("claim").alias("name"), "ip").agg(F.min("line_id").alias("start"))
+    """(name, ip, start): the memory of compete rules alone."""
+    return stream_rule_memory(claimed.withColumn("hits", F.filter("hits", lambda h: h["lane"] != "observe"))).drop("lane")
 
 
 def stream_alerts(lanes: DataFrame, rules: DataFrame, flux: int = 3) -> DataFrame:
