@@ -6,15 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Tokens that say nothing about traffic (methods, protocols, browser and platform names, filler).
-STOP_WORDS = (
-    "GET POST PUT HEAD OPTIONS DELETE CONNECT TRACE PATCH "
-    "+http http +https https HTTP HTTP/1.1 HTTP/2.0 HTTPS "
-    "Mozilla Gecko Safari Chrome Firefox KHTML "
-    "en-us en-gb en-US in-id id-ID "
-    "Android Linux Mobile SAMSUNG iPhone iPad Windows Macintosh Mac Intel Edg OPR "
-    "Win64 x64 x86_64 X11 iOS EdgiOS Darwin CrOS CPU GSA Ddg CriOS "
-    "like Version Build Nexus AppleWebKit https: compatible"
-).split()
+STOP_WORDS = [
+    "GET", "POST", "PUT", "HEAD", "OPTIONS", "DELETE", "CONNECT", "TRACE", "PATCH",
+    "+http", "http", "+https", "https", "HTTP", "HTTP/1.1", "HTTP/2.0", "HTTPS",
+    "Mozilla", "Gecko", "Safari", "Chrome", "Firefox", "KHTML",
+    "en-us", "en-gb", "en-US", "in-id", "id-ID",
+    "Android", "Linux", "Mobile", "SAMSUNG", "iPhone", "iPad", "Windows", "Macintosh", "Mac", "Intel", "Edg", "OPR",
+    "Win64", "x64", "x86_64", "X11", "iOS", "EdgiOS", "Darwin", "CrOS", "CPU", "GSA", "Ddg", "CriOS",
+    "like", "Version", "Build", "Nexus", "AppleWebKit", "https:", "compatible",
+]
 #: Characters that separate tokens, the marker tokens, the bot words, the shortest token in bytes.
 SYMBOLS = "(),[]:;/\\?&"
 FILTERED, EMPTY = "--filtered--", "--empty--"
