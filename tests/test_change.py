@@ -269,3 +269,21 @@ def test_agents_of_very_many_tokens(spark):
     rows = [(0, "1.1.1.1", 0, " ".join(base), base), (1, "1.1.1.1", 0, " ".join(other), other), (2, "1.1.1.1", 0, "", [])]
     df = spark.createDataFrame(rows, "line_id long, ip string, interval_no long, user_agent string, ua_tokens array<string>")
     assert {r.line_id: r.distance for r in K.with_agent_distance(df).collect()} == {0: 0.0, 1: round(50 / 700, 6), 2: 2.0}
+
+
+def test_components_that_tie_are_ordered_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from trafficlens.plans.change import _scores
+
+    rows = []
+    for i, (n, marked) in enumerate((n, marked) for n in range(12, 60) for marked in range(3)):
+        # three times as many b16 lines as marked ones come: both components are equal, and places decide
+        for k, (m, b) in enumerate(((marked, 0), (marked + 1, 3))):
+            rows.append((3 * i + k, n, 1000, 0, 1000 / n, 100 * m / n, 100 * b / n))
+    names = ["interval_no", "n_lines", "bytes", "errors", "mean_bytes", "marked_pct", "b16_pct"]
+    got = C.change_scores(spark.createDataFrame(rows, "interval_no long, n_lines long, bytes long, errors long, mean_bytes double, marked_pct double, b16_pct double"))
+    values = ", ".join(map(str, rows))
+    before = ", ".join(f"lag({c}) OVER (ORDER BY interval_no) AS {c}0" for c in names[1:])
+    sql = f"WITH sh0({', '.join(names)}) AS (VALUES {values}), sh AS (SELECT interval_no, n_lines, bytes, errors, CAST(mean_bytes AS DOUBLE) AS mean_bytes, CAST(marked_pct AS DOUBLE) AS marked_pct, CAST(b16_pct AS DOUBLE) AS b16_pct FROM sh0), pr AS (SELECT *, {before} FROM sh)"
+    want = duckdb.sql(sql + _scores("", "pr") + ' SELECT interval_no, "primary" FROM cs').fetchall()
+    assert sorted(map(tuple, got.select("interval_no", "primary").collect())) == sorted(want)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +34,12 @@ def token_band(count: Column) -> Column:
 
 
 def soft_score(value: Column, half: float) -> Column:
-    """100 v^2 / (v^2 + half^2); 0 for values that are not above 0."""
-    square = value * value
-    return F.when((value > 0) & ~F.isnan(value), 100 * square / (square + half * half)).otherwise(F.lit(0.0))
+    """100 v^2 / (v^2 + half^2); 0 for values that are not above 0.
+
+    Multiplied from left to right and with the exact decimal square of half, as the SQL does: equal components then tie alike.
+    """
+    square = float(Decimal(str(half)) ** 2)
+    return F.when((value > 0) & ~F.isnan(value), 100 * value * value / (value * value + square)).otherwise(F.lit(0.0))
 
 
 def relative_change(a: Column, b: Column, floor: float, half: float) -> Column:
