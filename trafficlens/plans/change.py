@@ -45,7 +45,7 @@ cs AS (SELECT sh.interval_no, CASE WHEN p IS NOT NULL THEN round(least(100.0, p
 
 
 def shape(spark, d):
-    k = R.mark_lines(known(spark, d))
+    k = written(R.mark_lines(known(spark, d)).select("interval_no", "bytes", "status", "ua_token_count", "mark"), "marked")  # three aggregates read these lines
     return C.change_shape(I.interval_totals(k), I.marked_share(k), I.token_band_breakdown(k))
 
 
@@ -94,8 +94,13 @@ def alert_rules(spark):
     return spark.createDataFrame(_ALERTS, "lane string, direction string, threshold long")
 
 
+def lane_table(spark, d):
+    """lanes, computed once: for the names and for the counts."""
+    return written(lanes(spark, d), "lanes")
+
+
 def states(spark, d):
-    return C.alert_states(alert_rules(spark), C.dense_lanes(lanes(spark, d), totals(spark, d)), 3)
+    return C.alert_states(alert_rules(spark), C.dense_lanes(lane_table(spark, d), totals(spark, d)), 3)
 
 
 @query("c8_alert_transitions", over_requests(CLAIMED + _DENSE + " SELECT lane, direction, threshold, interval_no, value, CASE WHEN active THEN 'triggered' ELSE 'recovered' END AS event FROM tr WHERE active <> was"))
@@ -208,7 +213,7 @@ bp AS (SELECT interval_no, unnest(got, recursive := true) FROM bw)"""
 @query("w17_promote_bots", over_requests(CLAIMED + TOTALS + MAXIMA + _PROMOTED + " SELECT key AS name, interval_no + 1 AS valid_from, hits FROM bp"))
 def _(spark, d):
     bots = R.bot_keys(hourly_requests(spark, d)).groupBy("interval_no", "key").agg(F.count("*").alias("hits"))
-    return C.promote_bots(bots, C.lane_maxima(lanes(spark, d), COMPETE, totals(spark, d)))
+    return C.promote_bots(bots, C.lane_maxima(lane_table(spark, d), COMPETE, totals(spark, d)))
 
 
 @query("j4_compare_lanes", over_requests(CLAIMED + ", x AS (SELECT name, hits, row_number() OVER (ORDER BY hits DESC, name) AS place FROM lanes WHERE interval_no = 30), y AS (SELECT name, hits, row_number() OVER (ORDER BY hits DESC, name) AS place FROM lanes WHERE interval_no = 60) SELECT coalesce(x.name, y.name) AS name, x.hits AS hits_a, y.hits AS hits_b, x.place AS place_a, y.place AS place_b, coalesce(y.hits, 0) - coalesce(x.hits, 0) AS delta FROM x FULL OUTER JOIN y ON x.name = y.name"))

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..operators import change as C
 from ..operators import rules as R
 from ..sources.access_log import render_line
+from ..sources.shared import written
 from ..sources.tables_view import requests_view
 from ..streaming import live as S
-from .change import _DENSE, _FULL, _PARTS, _WIDE, _WITH_DIST, _scores, alert_rules, input_keys, shape
+from .change import _DENSE, _FULL, _PARTS, _WIDE, _WITH_DIST, _scores, alert_rules, input_keys, lane_table, shape
 from .common import over_requests, query
 from .keys import KEYS, key_intervals
-from .requests import _CLAIM, _HIT, CLAIMED, TOTALS, lanes, rules, totals
+from .requests import _CLAIM, _HIT, CLAIMED, TOTALS, rules, totals
 
 
 def request_stream(spark, d) -> DataFrame:
@@ -72,7 +73,7 @@ def _(spark, d):
 
 @query("r6_stream_alerts", over_requests(CLAIMED + _DENSE + " SELECT lane, direction, threshold, interval_no, value, CASE WHEN active THEN 'triggered' ELSE 'recovered' END AS event FROM tr WHERE active <> was"))
 def _(spark, d):
-    dense = C.dense_lanes(lanes(spark, d), totals(spark, d))
+    dense = C.dense_lanes(lane_table(spark, d), totals(spark, d))
     return _result(spark, S.stream_alerts(S.replay(spark, dense, "interval_no"), alert_rules(spark), 3), "append")
 
 
@@ -129,8 +130,8 @@ _LOG = _DENSE + """, al AS (SELECT interval_no, lane, direction, threshold, valu
 
 @query("r9_stream_log_alerts", over_requests(CLAIMED + TOTALS + _LOG + " SELECT interval_no, 0 AS place, 'interval' AS kind, NULL AS lane, NULL AS direction, NULL AS threshold, coalesce(n_lines, 0) AS value, NULL AS event FROM (SELECT DISTINCT interval_no FROM g) n LEFT JOIN t USING (interval_no) UNION ALL SELECT interval_no, row_number() OVER (PARTITION BY interval_no ORDER BY lane, direction, threshold), 'alert', lane, direction, threshold, value, event FROM al"))
 def _(spark, d):
-    t = totals(spark, d)
-    values = C.dense_lanes(lanes(spark, d), t).groupBy("interval_no").agg(F.map_from_entries(F.collect_list(F.struct("lane", "value"))).alias("values"))
+    t = written(totals(spark, d), "totals")
+    values = C.dense_lanes(lane_table(spark, d), t).groupBy("interval_no").agg(F.map_from_entries(F.collect_list(F.struct("lane", "value"))).alias("values"))
     lines = t.select("interval_no", "n_lines")  # intervals without lines are closed too
     rows = values.join(lines, "interval_no", "left").select("interval_no", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "values")
     return S.write_log(S.replay(spark, rows, "interval_no"), alert_rules(spark), S.shared_folder(spark, "log"))
