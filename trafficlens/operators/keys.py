@@ -18,13 +18,13 @@ def stream_tokens() -> dict[str, Column]:
 
 
 def key_hits(requests: DataFrame, streams: dict[str, Column] | None = None) -> DataFrame:
-    """(stream, key, interval_no, line_id, bytes, status): one row for each token; repeats count. A line's distance is kept if there."""
-    more = [c for c in ("distance",) if c in requests.columns]
-    parts = [requests.select(F.lit(n).alias("stream"), F.explode(c).alias("key"), "interval_no", "line_id", "bytes", "status", *more) for n, c in (streams or stream_tokens()).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(stream, key, interval_no, line_id, bytes, status): one row for each token; repeats count. A line's distance is kept if there.
+
+    One walk over the lines for all streams, however costly the lines are.
+    """
+    own = ["interval_no", "line_id", "bytes", "status", *(c for c in ("distance",) if c in requests.columns)]
+    lists = requests.select(*own, F.inline(F.array(*(F.struct(F.lit(n).alias("stream"), c.alias("keys")) for n, c in (streams or stream_tokens()).items()))))
+    return lists.select("stream", F.explode("keys").alias("key"), *own)
 
 
 def key_intervals(hits: DataFrame) -> DataFrame:
@@ -207,12 +207,16 @@ def ip_groups(scored: DataFrame, min_members: int = 15, k: int | None = None) ->
 def ip_group_history(scored: DataFrame, groups: DataFrame, depth: int = DEPTH) -> DataFrame:
     """groups (of ip_groups) with history: the zero-filled sums of the members' counts in the intervals before, oldest first.
 
-    Members' histories end together, so they are added by interval; only those of the given groups are.
+    A count belongs to the history of every later interval that its key's island reaches, so counts are summed by how far they reach
+    and only these sums, depth at most of each prefix and interval, are spread over the intervals: no key is paired with its past.
     """
-    past = Window.partitionBy("key", "island_start").orderBy("interval_no").rangeBetween(-depth, -1)
-    own = scored.where("stream = 'ips'").select("key", "interval_no", T.ip_prefix(F.col("key")).alias("ip_prefix"), F.filter(F.collect_list(F.struct("interval_no", "hits")).over(past), lambda x: x["hits"] > 0).alias("past"))
-    own = own.join(groups.select("ip_prefix", "interval_no"), ["ip_prefix", "interval_no"], "left_semi")
-    per = own.select("ip_prefix", "interval_no", F.explode("past").alias("p")).groupBy("ip_prefix", "interval_no", F.col("p.interval_no").alias("at")).agg(F.sum("p.hits").alias("hits"))
+    own = scored.where("stream = 'ips'").select("key", "interval_no", "hits", F.max("interval_no").over(Window.partitionBy("key", "island_start")).alias("ends"))
+    reach = F.least(F.col("ends") - F.col("interval_no"), F.lit(depth))
+    per = own.where("hits > 0").groupBy(T.ip_prefix(F.col("key")).alias("ip_prefix"), F.col("interval_no").alias("at"), reach.alias("reach")).agg(F.sum("hits").alias("hits")).where("reach > 0")
+    far = Window.partitionBy("ip_prefix", "at").orderBy(F.desc("reach"))
+    per = per.select("ip_prefix", "at", "reach", F.sum("hits").over(far).alias("hits"), F.coalesce(F.lead("reach").over(far), F.lit(0)).alias("nearer"))
+    per = per.select("ip_prefix", "at", "hits", F.explode(F.sequence(F.col("at") + F.col("nearer") + 1, F.col("at") + F.col("reach"))).alias("interval_no"))
+    per = per.join(groups.select("ip_prefix", "interval_no"), ["ip_prefix", "interval_no"], "left_semi")
     sums = per.groupBy("ip_prefix", "interval_no").agg(F.map_from_entries(F.collect_list(F.struct("at", "hits"))).alias("sums"))
     i = F.col("interval_no")
     filled = F.transform(F.sequence(i - F.col("depth"), i - 1), lambda at: F.coalesce(F.col("sums")[at], F.lit(0).cast("long")))

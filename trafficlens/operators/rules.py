@@ -143,6 +143,11 @@ def match_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
     return requests.crossJoin(F.broadcast(table)).withColumn("hits", F.array_sort(F.concat(hits, plain))).drop("rules")
 
 
+def without_observed_regexes(rules: DataFrame) -> DataFrame:
+    """The rules that can claim, remember or mark: regex rules of the observe lane only show up among the hits, at the cost of a search of every line."""
+    return rules.where(~((F.col("lane") == "observe") & (F.col("scope") == "regex")))
+
+
 def claim_lines(matched: DataFrame) -> DataFrame:
     """Adds claim, claim_rank, claim_scope: the first compete rule met, else the bots lane; observe rules never claim."""
     first = F.get(F.filter("hits", lambda h: h["lane"] != "observe"), F.lit(0))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import values as V
+from ..operators import intervals as I
 from ..operators import keys as K
 from ..operators import rules as R
 from ..operators.change import lane_maxima
@@ -93,8 +95,9 @@ def retained(spark, d):
 
 
 def agent_islands(spark, d, requests=None):
+    """Keys and intervals with their agent distances. Without the last status, which as a text would make Spark sort all tokens to count them."""
     hits = K.key_hits(K.with_agent_distance(hourly_requests(spark, d) if requests is None else requests))
-    return K.with_agent_delta(K.retention_islands(K.key_intervals(hits), 5, 60))
+    return K.with_agent_delta(K.retention_islands(K.key_intervals(hits).drop("last_status"), 5, 60))
 
 
 def agent_scored(spark, d):
@@ -108,7 +111,7 @@ def agent_retained(spark, d):
 
 
 def candidates(spark, d, islands, t=None):
-    t = totals(spark, d) if t is None else t
+    t = written(totals(spark, d), "totals") if t is None else t
     return K.peak_candidates(K.closed_state(K.with_silent(islands, 5, 60, closing=True)), K.norm_denominator(t), K.line_means(t), 4)
 
 
@@ -230,9 +233,13 @@ SELECT b.interval_no, b.key AS ip, b.hits FROM b JOIN t ON t.interval_no = b.int
 
 
 def _promoted(spark, d, depth, share):
-    t = totals(spark, d)
-    means = lane_maxima(lanes(spark, d), COMPETE, t).withColumn("line_mean", F.col("line_mean") / share)
-    return K.promote_ip(scored(spark, d), R.mark_lines(known(spark, d)), t, means, depth)
+    # the lines once, for totals, lanes and marks
+    k = written(R.mark_lines(known(spark, d)).select("line_id", "interval_no", "ip", "bytes", "status", "claim", "claim_rank", "known", "mark"), "marked")
+    t, lane = written(I.interval_totals(k), "totals"), written(I.lane_intervals(I.lane_hits(k)), "lanes")
+    means = lane_maxima(lane, COMPETE, t).withColumn("line_mean", F.col("line_mean") / share)
+    # addresses alone: the other streams are not promoted
+    own = K.with_scores(K.key_state(K.retention_islands(K.key_intervals(K.key_hits(k, {"ips": T.ip_tokens(F.col("ip"))})), 5, 60)))
+    return K.promote_ip(own, k, t, means, depth)
 
 
 @query("w18_promote_ip", _promoted_sql(5, 1))

@@ -67,7 +67,8 @@ def rules(spark):
 
 
 def claimed(spark, sf_dir):
-    return R.claim_lines(R.match_rules(hourly_requests(spark, sf_dir), rules(spark)))
+    """Claims; the hits are those of the rules that can claim, remember or mark."""
+    return R.claim_lines(R.match_rules(hourly_requests(spark, sf_dir), R.without_observed_regexes(rules(spark))))
 
 
 def known(spark, sf_dir):
