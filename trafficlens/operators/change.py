@@ -170,11 +170,12 @@ def peak_spells(keys: DataFrame, candidates: DataFrame, limit: int = 20, grace:
     """
     hit = F.when(F.col("hits") > 0, F.col("interval_no"))
     order = Window.partitionBy("stream", "key").orderBy("interval_no")
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
-    rows = keys.select("stream", "key", "interval_no", hit.alias("hit"), F.first(hit, ignorenulls=True).over(after).alias("next"))
+    # what comes after is asked of the rows in descending order: frames that grow cost no second walk for each row
+    before, back = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("stream", "key").orderBy(F.desc("interval_no"))
+    rows = keys.select("stream", "key", "interval_no", hit.alias("hit"), F.last(hit, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("next"))
     ends = F.when(F.col("hit").isNotNull() & (F.col("next").isNull() | (F.col("next") - F.col("hit") > grace)), F.col("hit") + grace)
     rows = rows.withColumn("ends", ends)
-    until = F.when(F.col("hit").isNotNull(), F.first("ends", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    until = F.when(F.col("hit").isNotNull(), F.last("ends", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     holds = rows.withColumn("until", until).select("stream", "key", "interval_no", F.last("until", ignorenulls=True).over(before).alias("until"))
     best = Window.partitionBy("stream", "interval_no").orderBy(F.desc("strength"), "key")
     first = candidates.select("stream", "key", "interval_no", "strength").withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2 * limit)

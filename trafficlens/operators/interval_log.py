@@ -51,27 +51,26 @@ def stream_records(scored: DataFrame, members: DataFrame, groups: DataFrame, k:
     scored: retained keys with score, burst, agent_delta and history. members: (stream, interval_no, key), the peaks before the close;
     one that is no longer retained is listed without counts. groups: of ip_groups with place and history.
     """
-    key, score = ["stream", "key", "interval_no"], F.col("score")
-    flagged = scored.join(members.select(*key, F.lit(True).alias("is_peak")), key, "full").withColumn("is_peak", F.coalesce("is_peak", F.lit(False))).withColumn("retained", score.isNotNull())
-    rank = F.row_number().over(Window.partitionBy("stream", "interval_no").orderBy(score.desc_nulls_last(), "key"))
-    peak_rank = F.row_number().over(Window.partitionBy("stream", "interval_no", "is_peak").orderBy(score.desc_nulls_last(), "key"))
+    key = ["stream", "key", "interval_no"]
+    order = Window.partitionBy("stream", "interval_no").orderBy(F.col("score").desc_nulls_last(), "key")
     whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    rows = flagged.select(
-        *key, "is_peak", "retained", rank.alias("rank"), peak_rank.alias("peak_rank"), whole("score").alias("score"), whole("hits").alias("count"), whole("prime_flux").alias("prime_flux"), F.coalesce("burst", F.lit(0.0)).alias("burstiness"),
+    values = [
+        whole("score").alias("score"), whole("hits").alias("count"), whole("prime_flux").alias("prime_flux"), F.coalesce("burst", F.lit(0.0)).alias("burstiness"),
         F.round(F.coalesce("agent_delta", F.lit(0.0)), 6).alias("agent_delta_metric"), whole("history_total").alias("history_total"), whole("history_peak").alias("history_peak"), whole("depth").alias("history_depth"),
-    )
-    fields = ["key", "score", "count", "prime_flux", "burstiness", "agent_delta_metric", "history_total", "history_peak", "history_depth", "is_peak"]
-    entry = lambda place: F.struct(F.col(place).alias("rank"), *fields)
-    n = rows.groupBy("stream", "interval_no").agg(F.count_if("retained").alias("total_keys"))
-    # only what is listed meets in one place
-    listed = rows.where((F.col("rank") <= k) & F.col("retained") | F.col("is_peak"))
-    per = listed.groupBy("stream", "interval_no").agg(
-        F.array_sort(F.collect_list(F.when((F.col("rank") <= k) & F.col("retained"), entry("rank")))).alias("top"),
-        F.array_sort(F.collect_list(F.when(F.col("is_peak"), entry("peak_rank")))).alias("peaks"),
-    )
+    ]
+    fields = ["rank", "key", "score", "count", "prime_flux", "burstiness", "agent_delta_metric", "history_total", "history_peak", "history_depth", "is_peak"]
+    n = scored.groupBy("stream", "interval_no").agg(F.count("*").alias("total_keys"))
+    # the first k and the peaks are found apart, so that no interval's keys are ordered beyond them
+    flags = members.select(*key, F.lit(True).alias("is_peak"))
+    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(flags, key, "left")
+    top = top.select("stream", "interval_no", F.lit("top").alias("list"), "rank", "key", F.coalesce("is_peak", F.lit(False)).alias("is_peak"), *values)
+    peaks = flags.join(scored.join(flags.select(*key), key, "left_semi"), key, "left").withColumn("rank", F.row_number().over(order))
+    listed = top.unionByName(peaks.select("stream", "interval_no", F.lit("peaks").alias("list"), "rank", "key", "is_peak", *values))
+    per = listed.groupBy("stream", "interval_no").agg(*(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct(*fields)))).alias(name) for name in ("top", "peaks")))
+    n = n.join(per, ["stream", "interval_no"], "full").withColumn("total_keys", whole("total_keys"))
     g = groups.select("interval_no", F.col("place").alias("rank"), F.col("ip_prefix").alias("prefix"), "score", F.col("hits").alias("count"), "members", "bytes", F.col("burst").alias("burstiness"), F.col("agent_delta").alias("agent_delta_metric"), F.col("depth").alias("history_depth"), "history")
     g = g.groupBy("interval_no").agg(F.array_sort(F.collect_list(F.struct("rank", *(c for c in g.columns if c not in ("rank", "interval_no"))))).alias("ip_groups")).withColumn("stream", F.lit("ips"))
-    j = n.join(per, ["stream", "interval_no"], "left").join(g, ["stream", "interval_no"], "left")
+    j = n.join(g, ["stream", "interval_no"], "left")
     return j.groupBy("interval_no").agg(F.array_sort(F.collect_list(F.struct(F.col("stream").alias("name"), "total_keys", "top", "peaks", "ip_groups"))).alias("interesting"))
 
 

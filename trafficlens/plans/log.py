@@ -24,7 +24,8 @@ SESSION = 240  # intervals of one session
 
 def log_lines(spark, d) -> DataFrame:
     """(line_no, value): session starts, purge commands, intervals, alerts, and some damaged and blank lines, in file order."""
-    k = written(known(spark, d), "known")  # every part below reads these lines
+    # every part below reads these lines
+    k = written(known(spark, d).select("line_id", "interval_no", "interval_start", "ip", "bytes", "status", "request", "referer", "ua_tokens", "claim", "claim_rank", "known"), "known")
     t, lane = written(I.interval_totals(k), "totals"), written(I.lane_intervals(I.lane_hits(k)), "lanes")
     full = I.running_totals(t).join(t.select("interval_no", "errors"), "interval_no")
     scored = K.with_scores(K.key_state(K.retention_islands(K.key_intervals(K.key_hits(k)))))
@@ -195,7 +196,9 @@ def _(spark, d):
 
 def full_log(spark, d) -> tuple[DataFrame, DataFrame]:
     """(records, issues) of the full log: nested records, notes and damaged lines, written as files and read back."""
-    k = written(R.mark_lines(known(spark, d)), "marked")  # every part below reads these lines
+    k = R.mark_lines(known(spark, d)).withColumn("line", F.when(F.col("status") == "500", F.col("line")))  # only error lines are kept as sources
+    # every part below reads these lines
+    k = written(k.select("line_id", "interval_no", "interval_start", "ip", "bytes", "status", "request", "referer", "user_agent", "ua_tokens", "ua_token_count", "line", "claim", "claim_rank", "known", "mark"), "marked")
     t = written(I.interval_totals(k), "totals")
     rows = written(agent_islands(spark, d, k), "key-islands")
     last = rows.agg(F.max("interval_no").alias("last_no"))
